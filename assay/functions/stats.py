@@ -32,8 +32,14 @@ def attach(df: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def r6(c: Column | str, digits: int = 6) -> Column:
+    """Round to ``digits`` decimals as round(x * 10^d) / 10^d on the binary value.
+
+    Spark's ``round(double, d)`` rounds the shortest decimal string, other
+    engines the binary value; this form gives the same double everywhere.
+    """
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c, digits)
+    m = float(10 ** digits)
+    return F.round(c * F.lit(m)) / F.lit(m)
 
 
 def not_nan(c: Column) -> Column:
