@@ -5,3 +5,4 @@ from assay.plans.registry import ORACLES, QUERIES  # noqa: F401
 from assay.plans import q_clean  # noqa: F401,E402
 from assay.plans import q_encode  # noqa: F401,E402
 from assay.plans import q_profile  # noqa: F401,E402
+from assay.plans import q_sampling  # noqa: F401,E402
