@@ -206,7 +206,7 @@ def with_views(sql: str, *names: str) -> str:
         return sql
     ctes = ",\n".join(f"{n} as ({SQL_VIEWS[n]})" for n in order)
     body = sql.lstrip()
-    if body[:5].lower() == "with ":
+    if body[:4].lower() == "with" and body[4:5].isspace():
         return f"with {ctes},\n{body[5:]}"
     return f"with {ctes}\n{body}"
 
