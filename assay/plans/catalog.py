@@ -7,3 +7,4 @@ from assay.plans import q_encode  # noqa: F401,E402
 from assay.plans import q_profile  # noqa: F401,E402
 from assay.plans import q_sampling  # noqa: F401,E402
 from assay.plans import q_eval  # noqa: F401,E402
+from assay.plans import q_select  # noqa: F401,E402
