@@ -9,3 +9,4 @@ from assay.plans import q_sampling  # noqa: F401,E402
 from assay.plans import q_eval  # noqa: F401,E402
 from assay.plans import q_select  # noqa: F401,E402
 from assay.plans import q_neighbors  # noqa: F401,E402
+from assay.plans import q_models  # noqa: F401,E402
