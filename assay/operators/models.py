@@ -220,3 +220,28 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def cv_scores(est, maps: list, df: DataFrame, fold_col: str = "fold", k: int | None = None,
+              parallelism: int = 4) -> list[tuple[float, float]]:
+    """Mean / population std of fold accuracy per param map, without the final refit.
+
+    Fits run on driver threads (Spark schedules their tasks concurrently), the
+    way ``CrossValidator(parallelism=...)`` does.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+    folds = list(range(k)) if k is not None else sorted(r[0] for r in df.select(fold_col).distinct().collect())
+    ev = MulticlassClassificationEvaluator(labelCol="y", predictionCol="prediction", metricName="accuracy")
+
+    def one(job):
+        i, f = job
+        m = est.copy(maps[i]).fit(df.where(F.col(fold_col) != f))
+        return i, f, ev.evaluate(m.transform(df.where(F.col(fold_col) == f)))
+    with ThreadPoolExecutor(parallelism) as pool:
+        res = list(pool.map(one, [(i, f) for i in range(len(maps)) for f in folds]))
+    out = []
+    for i in range(len(maps)):
+        acc = [a for j, _, a in res if j == i]
+        mu = sum(acc) / len(acc)
+        out.append((mu, (sum((a - mu) ** 2 for a in acc) / len(acc)) ** 0.5))
+    return out

@@ -187,19 +187,17 @@ def screen_then_tune(spark, sf):
     screen = {}
     for name in cands:
         est = md.estimator(name, SEED, numTrees=20)
-        cv = md.cross_validate(est, [{}], t)
-        screen[name] = float(cv.avgMetrics[0])
-        rows.append((name, "screen", round(float(screen[name]), 6)))
+        screen[name] = float(md.cv_scores(est, [{}], t, "fold", CV_FOLDS)[0][0])
+        rows.append((name, "screen", round(screen[name], 6)))
     top = sorted(screen, key=lambda n: (-screen[n], n))[:3]
     for name in top:
         p, vals = cands[name]
         if p is None:
             continue
         est = md.estimator(name, SEED, numTrees=20)
-        grid = md.ParamGridBuilder().addGrid(getattr(est, p), vals).build()
-        tuned = max(md.cross_validate(est, grid, t).avgMetrics)
-        keep = max(tuned, screen[name])
-        rows.append((name, "tuned", round(float(keep), 6)))
+        maps = [{getattr(est, p): v} for v in vals]
+        tuned = max(m for m, _ in md.cv_scores(est, maps, t, "fold", CV_FOLDS))
+        rows.append((name, "tuned", round(float(max(tuned, screen[name])), 6)))
     return spark.createDataFrame(rows, "model string, stage string, cv_accuracy double")
 
 
