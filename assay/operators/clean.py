@@ -75,7 +75,7 @@ def drop_singleton_classes(df: DataFrame, target: str, min_rows: int = 2) -> Dat
     The class-count side has one row per class; AQE broadcasts it when small.
     """
     keep = df.groupBy(target).count().filter(F.col("count") >= min_rows).select(target)
-    return df.join(keep, target, "left_semi")
+    return df.join(keep, target, "left_semi").select(*df.columns)
 
 
 def numeric_detection(df: DataFrame, cols: Sequence[str], threshold: float = 0.7) -> DataFrame:

@@ -245,3 +245,19 @@ def cv_scores(est, maps: list, df: DataFrame, fold_col: str = "fold", k: int | N
         mu = sum(acc) / len(acc)
         out.append((mu, (sum((a - mu) ** 2 for a in acc) / len(acc)) ** 0.5))
     return out
+
+
+def gated_search(est, first_maps: list, wider_maps: list, df: DataFrame, fold_col: str = "fold",
+                 threshold: float = 0.90, k: int | None = None) -> dict:
+    """Run the first search; run the wider one only if its best accuracy is
+    below ``threshold``, and keep the wider result only if it is better."""
+    first = cv_scores(est, first_maps, df, fold_col, k)
+    bi = max(range(len(first)), key=lambda i: first[i][0])
+    out = {"stage": "first", "params": first_maps[bi], "accuracy": first[bi][0], "ran_wider": False}
+    if first[bi][0] < threshold and wider_maps:
+        wide = cv_scores(est, wider_maps, df, fold_col, k)
+        wi = max(range(len(wide)), key=lambda i: wide[i][0])
+        out["ran_wider"] = True
+        if wide[wi][0] > first[bi][0]:
+            out.update(stage="wider", params=wider_maps[wi], accuracy=wide[wi][0])
+    return out

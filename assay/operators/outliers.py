@@ -89,7 +89,11 @@ def fit_isolation_forest(df: DataFrame, id_col: str, features: Sequence[str], n_
 def score_isolation_forest(df: DataFrame, trees: DataFrame, features: Sequence[str],
                            sample_size: int) -> DataFrame:
     """Anomaly score 2^(-E[h(x)] / c(psi)) per row (higher = more anomalous)."""
-    forest = [r.asDict() for r in trees.orderBy("tree").collect()]   # bounded model, O(trees x nodes)
+    forest = []
+    for r in trees.orderBy("tree").collect():   # bounded model, O(trees x nodes)
+        t = {k: np.array(r[k]) for k in ("feat", "thr", "left", "right", "size")}
+        t["leaf_c"] = np.array([_c(x) for x in r["size"]])   # path-length correction per node
+        forest.append(t)
     bc = df.sparkSession.sparkContext.broadcast(forest)
     cpsi = _c(sample_size)
 
@@ -98,8 +102,7 @@ def score_isolation_forest(df: DataFrame, trees: DataFrame, features: Sequence[s
         X = np.column_stack([c.to_numpy(np.float64) for c in cols])
         total = np.zeros(len(X))
         for t in bc.value:
-            feat, thr = np.array(t["feat"]), np.array(t["thr"])
-            left, right, size = np.array(t["left"]), np.array(t["right"]), np.array(t["size"])
+            feat, thr, left, right = t["feat"], t["thr"], t["left"], t["right"]
             node = np.zeros(len(X), dtype=np.int64)
             depth = np.zeros(len(X))
             active = feat[node] >= 0
@@ -109,7 +112,7 @@ def score_isolation_forest(df: DataFrame, trees: DataFrame, features: Sequence[s
                 node[active] = np.where(go_left, left[node[active]], right[node[active]])
                 depth[active] += 1
                 active = feat[node] >= 0
-            total += depth + np.array([_c(s) for s in size[node]])
+            total += depth + t["leaf_c"][node]
         h = total / max(len(bc.value), 1)
         return pd.Series(np.power(2.0, -h / cpsi) if cpsi > 0 else np.zeros(len(X)))
     return df.select("*", score(*[F.col(f).cast("double") for f in features]).alias("anomaly_score"))
@@ -124,10 +127,12 @@ def isolation_forest(df: DataFrame, id_col: str, features: Sequence[str], contam
     a percentile of the scores (sketch-based by default: scores are continuous).
     """
     from assay.operators.clean import impute_median
-    filled = impute_median(df, list(features))
+    from pyspark import StorageLevel
+    filled = impute_median(df, list(features)).persist(StorageLevel.MEMORY_AND_DISK)
     trees = fit_isolation_forest(filled, id_col, features, n_trees, sample_size, seed)
     psi = min(sample_size, max(1, filled.count()))
-    s = score_isolation_forest(filled, trees, features, psi)
+    # scores feed both the cut and the output: keep them (recomputed deterministically on loss)
+    s = score_isolation_forest(filled, trees, features, psi).persist(StorageLevel.MEMORY_AND_DISK)
     cut = one_row(s, {"__cut": quantile("anomaly_score", 1 - contamination, relative_error)})
     return attach(s, cut).select(*df.columns, "anomaly_score",
                                  (F.col("anomaly_score") > F.col("__cut")).alias("is_outlier"))

@@ -47,7 +47,7 @@ g as (select feature, label, count(value) as n, avg(value) as mu, var_pop(value)
 g2 as (select *, sum(n * mu) over (partition by feature) / sum(n) over (partition by feature) as gm,
               sum(n) over (partition by feature) as nn, count(*) over (partition by feature) as k from g),
 s as (select feature, nn, k, sum(n * (mu - gm) * (mu - gm)) as ssb, sum(n * vp) as ssw from g2 group by feature, nn, k),
-anova as (select feature, case when ssw = 0 or k = 1 then null else (ssb / (k - 1)) / (ssw / (nn - k)) end as f_score from s)"""
+anova as (select feature, round(case when ssw = 0 or k = 1 then null else (ssb / (k - 1)) / (ssw / (nn - k)) end, 6) as f_score from s)"""
 
 SQL_MI = SQL_LONG + """,
 e as (select feature, list_distinct([quantile_cont(value, 0.2), quantile_cont(value, 0.4), quantile_cont(value, 0.6),
@@ -57,17 +57,19 @@ ct as (select l.feature, len(list_filter(edges, lambda x: x < l.value)) as bin,
 t as (select feature, n * 1.0 / sum(n) over (partition by feature)
              * ln((n * sum(n) over (partition by feature)) / (sum(n) over (partition by feature, bin) * sum(n) over (partition by feature, label))) as term
       from ct),
-mi as (select feature, sum(term) as mi from t group by feature)"""
+mi as (select feature, round(sum(term), 9) as mi from t group by feature)"""
 
 SQL_VAR = "var as (select feature, var_pop(value) as variance from long group by feature)"
 
 
+# Scores are rounded before ranking so that mathematically equal scores (e.g. MI of
+# monotone transforms of one column) tie exactly and the name decides.
 def _anova(spark, sf):
-    return se.anova_f(feature_long(spark, sf))
+    return se.anova_f(feature_long(spark, sf)).select("feature", r6("f_score").alias("f_score"))
 
 
 def _mi(spark, sf):
-    return se.mutual_information(feature_long(spark, sf))
+    return se.mutual_information(feature_long(spark, sf)).select("feature", r6("mi", 9).alias("mi"))
 
 
 def _kept(spark, sf):
