@@ -1,0 +1,21 @@
+"""Partitioning helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread_scan(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition a bare scan on ``keys`` when it arrives in fewer partitions
+    than ``spark.sql.shuffle.partitions``.
+
+    Single-file inputs (one row group) scan as one task, which would leave every
+    narrow operator downstream single-threaded.  On many-file inputs this is a
+    no-op.  The partition count of a bare scan comes from file listing only (no
+    job).  Partitioning on the join key with the shuffle-partition count lets a
+    later sort-merge join on that key reuse it without another exchange.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n, *keys)

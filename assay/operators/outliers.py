@@ -131,6 +131,10 @@ def isolation_forest(df: DataFrame, id_col: str, features: Sequence[str], contam
     filled = impute_median(df, list(features)).persist(StorageLevel.MEMORY_AND_DISK)
     trees = fit_isolation_forest(filled, id_col, features, n_trees, sample_size, seed)
     psi = min(sample_size, max(1, filled.count()))
+    # the scorer is CPU-bound Python: never run it on fewer tasks than the cluster has cores
+    par = filled.sparkSession.sparkContext.defaultParallelism
+    if filled.rdd.getNumPartitions() < par:
+        filled = filled.repartition(par)
     # scores feed both the cut and the output: keep them (recomputed deterministically on loss)
     s = score_isolation_forest(filled, trees, features, psi).persist(StorageLevel.MEMORY_AND_DISK)
     cut = one_row(s, {"__cut": quantile("anomaly_score", 1 - contamination, relative_error)})

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.functions.hashing import hex4, sql_hex4, sql_uniform, uniform
+from assay.functions.partitioning import spread_scan
 from assay.sources.tables import read_table
 
 # Fixed values of the rule-based scorers: model -> bonus added to the score of
@@ -31,7 +32,7 @@ N_FOLDS = 5
 
 
 def obs(spark: SparkSession, sf: str) -> DataFrame:
-    o = read_table(spark, sf, "orders").select(
+    o = spread_scan(read_table(spark, sf, "orders"), "o_orderkey").select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
     c = read_table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     n = read_table(spark, sf, "nation").select("n_nationkey", "n_name")
