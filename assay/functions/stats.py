@@ -27,8 +27,17 @@ def one_row(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
 
 
 def attach(df: DataFrame, stats: DataFrame) -> DataFrame:
-    """Join a one-row statistics table to every row (broadcast, no shuffle)."""
-    return df.crossJoin(F.broadcast(stats))
+    """Make the columns of a one-row statistics table available on every row.
+
+    The whole row travels as ONE struct-valued scalar subquery: Spark runs the
+    aggregate once, before the main query, and inlines the result as a literal,
+    so there is no join (and one pass even when hash and object-hash
+    aggregates, e.g. avg and percentile, are mixed).
+    """
+    fields = stats.columns
+    packed = stats.select(F.struct(*[F.col(c) for c in fields]).alias("__stats")).scalar()
+    j = df.select("*", packed.alias("__stats"))
+    return j.select(*df.columns, *[F.col("__stats").getField(c).alias(c) for c in fields])
 
 
 def r6(c: Column | str, digits: int = 6) -> Column:

@@ -61,14 +61,14 @@ def describe(df: DataFrame, cols: Sequence[str], relative_error: float | None =
     return _unpivot(w, cols, ["count", "mean", "std", "min", "p25", "p50", "p75", "max"])
 
 
-def range_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def range_profile(df: DataFrame, cols: Sequence[str], relative_error: float | None = None) -> DataFrame:
     """Min / max / mean / median / non-negative count."""
     ex = {}
     for c in cols:
         ex[f"{c}__min"] = F.min(c).cast("double")
         ex[f"{c}__max"] = F.max(c).cast("double")
         ex[f"{c}__mean"] = F.avg(c)
-        ex[f"{c}__median"] = quantile(c, 0.5)
+        ex[f"{c}__median"] = quantile(c, 0.5, relative_error)
         ex[f"{c}__n_non_negative"] = F.sum((F.col(c) >= 0).cast("bigint"))
     return _unpivot(one_row(df, ex), cols, ["min", "max", "mean", "median", "n_non_negative"])
 
@@ -138,9 +138,10 @@ def histogram(df: DataFrame, col: str, bins: int = 20, by: str | None = None) ->
                       F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"))
 
 
-def box_stats(df: DataFrame, col: str, by: str, k: float = 1.5) -> DataFrame:
+def box_stats(df: DataFrame, col: str, by: str, k: float = 1.5,
+              relative_error: float | None = None) -> DataFrame:
     """Quartiles, whiskers at the outermost data points inside the fences, outlier count."""
-    q = df.groupBy(by).agg(quantile(col, [0.25, 0.5, 0.75]).alias("__q"))
+    q = df.groupBy(by).agg(quantile(col, [0.25, 0.5, 0.75], relative_error).alias("__q"))
     q = q.select(by, F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"), F.col("__q")[2].alias("q3"))
     j = df.select(by, col).join(q, by)  # one row per class: AQE broadcasts it
     lo = F.col("q1") - k * (F.col("q3") - F.col("q1"))

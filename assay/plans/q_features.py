@@ -34,10 +34,10 @@ g as (
          when qty_f > 100 and qty_f <= 150 then 2 when qty_f > 150 and qty_f <= 200 then 3
          when qty_f > 200 and qty_f <= 500 then 4 end as qty_bin
   from f)
-select label, qty_bin, count(*) as n, round(avg(price_per_qty), 6) as avg_price_per_qty,
+select label, qty_bin, count(*) as n, round(avg(price_per_qty), 4) as avg_price_per_qty,
        round(avg(bal_z), 6) as avg_bal_z, cast(sum(hi_price) as bigint) as n_hi_price,
-       cast(sum(low_bal) as bigint) as n_low_bal, round(avg(price_c), 4) as avg_price_c,
-       round(avg(bal_c), 6) as avg_bal_c
+       cast(sum(low_bal) as bigint) as n_low_bal, round(avg(price_c), 2) as avg_price_c,
+       round(avg(bal_c), 4) as avg_bal_c
 from g group by label, qty_bin
 """
 
@@ -68,10 +68,10 @@ def feature_summary(spark, sf):
     g = g.select("*", (F.col("price_c") / (F.col("qty_f") + 1)).alias("price_per_qty"),
                  fe.bin_fixed(F.col("qty_f"), QTY_EDGES).alias("qty_bin"))
     return g.groupBy("label", "qty_bin").agg(
-        F.count(F.lit(1)).alias("n"), r6(F.avg("price_per_qty")).alias("avg_price_per_qty"),
+        F.count(F.lit(1)).alias("n"), r6(F.avg("price_per_qty"), 4).alias("avg_price_per_qty"),
         r6(F.avg("bal_z")).alias("avg_bal_z"), F.sum("hi_price").cast("bigint").alias("n_hi_price"),
-        F.sum("low_bal").cast("bigint").alias("n_low_bal"), r6(F.avg("price_c"), 4).alias("avg_price_c"),
-        r6(F.avg("bal_c")).alias("avg_bal_c"))
+        F.sum("low_bal").cast("bigint").alias("n_low_bal"), r6(F.avg("price_c"), 2).alias("avg_price_c"),
+        r6(F.avg("bal_c"), 4).alias("avg_bal_c"))
 
 
 NUM = ["qty_sum", "total_price", "acct_bal"]

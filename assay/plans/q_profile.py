@@ -43,21 +43,21 @@ def value_share(spark, sf):
 
 
 @register("describe_numeric", " union all ".join(
-    f"""select '{c}' as feature, count({c}) as count, round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as std,
-  round(min({c}), 6) as min, round(quantile_cont({c}, 0.25), 6) as p25, round(quantile_cont({c}, 0.5), 6) as p50,
-  round(quantile_cont({c}, 0.75), 6) as p75, round(max({c}), 6) as max from obs""" for c in NUM), ("obs",))
+    f"""select '{c}' as feature, count({c}) as count, round(avg({c}), 4) as mean, round(stddev_samp({c}), 4) as std,
+  round(min({c}), 4) as min, round(quantile_cont({c}, 0.25), 4) as p25, round(quantile_cont({c}, 0.5), 4) as p50,
+  round(quantile_cont({c}, 0.75), 4) as p75, round(max({c}), 4) as max from obs""" for c in NUM), ("obs",))
 def describe_numeric(spark, sf):
     """A5: describe with exact quartiles."""
-    return _round_cols(pr.describe(obs(spark, sf), NUM))
+    return _round_cols(pr.describe(obs(spark, sf), NUM), 4)
 
 
 @register("range_profile", " union all ".join(
-    f"""select '{c}' as feature, round(min({c}), 6) as min, round(max({c}), 6) as max, round(avg({c}), 6) as mean,
-  round(quantile_cont({c}, 0.5), 6) as median, cast(sum(case when {c} >= 0 then 1 else 0 end) as bigint) as n_non_negative
+    f"""select '{c}' as feature, round(min({c}), 4) as min, round(max({c}), 4) as max, round(avg({c}), 4) as mean,
+  round(quantile_cont({c}, 0.5), 4) as median, cast(sum(case when {c} >= 0 then 1 else 0 end) as bigint) as n_non_negative
 from obs""" for c in NUM), ("obs",))
 def range_profile(spark, sf):
     """Range profile."""
-    return _round_cols(pr.range_profile(obs(spark, sf), NUM))
+    return _round_cols(pr.range_profile(obs(spark, sf), NUM), 4)
 
 
 PROBS = [0.1, 0.25, 0.5, 0.75, 0.9]

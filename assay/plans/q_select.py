@@ -89,11 +89,11 @@ def mutual_information(spark, sf):
 
 
 @register("variance_filter", f"with {SQL_LONG}, {SQL_VAR}\n"
-          f"select feature, round(variance, 6) as variance, variance > {VARIANCE_THRESHOLD} as kept from var", ("obs",))
+          f"select feature, round(variance, 4) as variance, variance > {VARIANCE_THRESHOLD} as kept from var", ("obs",))
 def variance_filter(spark, sf):
     """population variance and the 0.005 threshold decision."""
     v = se.variance_table(feature_long(spark, sf))
-    return v.select("feature", r6("variance").alias("variance"), (F.col("variance") > VARIANCE_THRESHOLD).alias("kept"))
+    return v.select("feature", r6("variance", 4).alias("variance"), (F.col("variance") > VARIANCE_THRESHOLD).alias("kept"))
 
 
 @register("top_features", f"with {SQL_ANOVA}\nselect feature, round(f_score, 6) as f_score, rank from "
