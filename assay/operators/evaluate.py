@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assay.functions.stats import attach
+
 AUC_BUCKETS = 4096
 
 
@@ -30,10 +32,11 @@ def confusion_matrix(df: DataFrame, label: str = "label", pred: str = "pred", by
     map-side combined group-by.
     """
     by = list(by)
-    cls = (df.select(*by, F.col(label).alias("c")).union(df.select(*by, F.col(pred).alias("c")))
-           .distinct())
-    grid = cls.select(*by, F.col("c").alias(label)).join(cls.select(*by, F.col("c").alias(pred)), by) \
-        if by else cls.select(F.col("c").alias(label)).crossJoin(cls.select(F.col("c").alias(pred)))
+    # class set per group (k values, bounded by the number of classes) -> k x k grid by two explodes
+    cls = df.select(*by, F.col(label).alias("c")).union(df.select(*by, F.col(pred).alias("c")))
+    sets = cls.groupBy(*by).agg(F.array_sort(F.collect_set("c")).alias("__cs"))
+    grid = (sets.select(*by, F.explode("__cs").alias(label), "__cs")
+            .select(*by, label, F.explode("__cs").alias(pred)))
     cnt = df.groupBy(*by, label, pred).agg(F.count(F.lit(1)).alias("n"))
     return grid.join(cnt, by + [label, pred], "left").select(
         *by, label, pred, F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"))
@@ -162,7 +165,7 @@ def best_of(board: DataFrame, score: str = "test_accuracy", name: str = "model",
     def best(rows, tag):
         return rows.agg(F.min_by(F.col(name), F.struct(-F.col(score), F.col(name))).alias(f"best_{tag}"),
                         F.max(score).alias(f"{tag}_score"))
-    s = best(board.where(~ens), "single").crossJoin(best(board.where(ens), "ensemble"))
+    s = attach(best(board.where(~ens), "single"), best(board.where(ens), "ensemble"))
     chosen = F.when(F.col("ensemble_score") > F.col("single_score"), F.col("best_ensemble")) \
         .otherwise(F.col("best_single"))
     return s.select("best_single", "single_score", "best_ensemble", "ensemble_score", chosen.alias("chosen"),

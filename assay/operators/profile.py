@@ -129,9 +129,9 @@ def histogram(df: DataFrame, col: str, bins: int = 20, by: str | None = None) ->
     keys = [by] if by else []
     counts = (attach(df.where(F.col(col).isNotNull()), st).select(*keys, b.alias("bin"))
               .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n")))
-    grid = st.select("__lo", "__hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    if by:
-        grid = grid.crossJoin(df.select(by).distinct())
+    groups = df.select(by).distinct() if by else st.select()
+    grid = attach(groups, st).select(*keys, "__lo", "__hi",
+                                     F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     out = grid.join(counts, keys + ["bin"], "left")
     return out.select(*keys, "bin", (F.col("__lo") + F.col("bin") * width).alias("bin_lo"),
                       (F.col("__lo") + (F.col("bin") + 1) * width).alias("bin_hi"),

@@ -207,8 +207,9 @@ def tree_importance(spark, sf):
     pm, train, test = prepared(spark, sf)
     m = md.estimator("rf", SEED, numTrees=30).fit(train)
     t = md.importance_table(m, FEATURES, spark)
+    from assay.functions.stats import attach
     med = t.agg(F.median("importance").alias("med"))
-    return t.crossJoin(med).select("feature", r6("importance").alias("importance"),
+    return attach(t, med).select("feature", r6("importance").alias("importance"),
                                    (F.col("importance") >= F.col("med")).alias("selected"))
 
 
