@@ -203,7 +203,7 @@ with st as (select quantile_cont(total_price, 0.75) as p75, quantile_cont(acct_b
 f as (select obs_id, coalesce(cast(total_price > p75 as int), 0) as a, coalesce(cast(acct_bal < b25 as int), 0) as b,
              coalesce(cast(qty_sum > q75 as int), 0) as c, coalesce(cast(total_price < p25 as int), 0) as d
       from obs cross join st)
-select obs_id, 2.0 * a + 2.0 * b + 1.0 * c + 0.5 * d as risk_score from f""", ("obs",))
+select obs_id, cast(2.0 * a + 2.0 * b + 1.0 * c + 0.5 * d as double) as risk_score from f""", ("obs",))
 def feat_risk_score(spark, sf):
     """Weighted risk score 2a + 2b + 1c + 0.5d over quantile flags."""
     rules = [("a", "total_price", ">", 0.75), ("b", "acct_bal", "<", 0.25), ("c", "qty_sum", ">", 0.75),
@@ -213,9 +213,9 @@ def feat_risk_score(spark, sf):
 
 
 @register("feat_combined_score", """
-select obs_id, case segment when 'AUTOMOBILE' then -1 when 'BUILDING' then 0 when 'FURNITURE' then 1 end
+select obs_id, cast(case segment when 'AUTOMOBILE' then -1 when 'BUILDING' then 0 when 'FURNITURE' then 1 end
   + case priority when '1-URGENT' then 2.0 when '2-HIGH' then 1.0 when '3-MEDIUM' then 0.5
-      when '4-NOT SPECIFIED' then 0.0 end as combined_score from obs""", ("obs",))
+      when '4-NOT SPECIFIED' then 0.0 end as double) as combined_score from obs""", ("obs",))
 def feat_combined_score(spark, sf):
     """Sum of ordinal codes (null-propagating)."""
     from assay.operators.encode import encode_fixed

@@ -64,7 +64,7 @@ PROBS = [0.1, 0.25, 0.5, 0.75, 0.9]
 
 
 @register("quantiles", " union all ".join(
-    f"select '{c}' as feature, {p} as p, round(quantile_cont({c}, {p}), 6) as value from obs"
+    f"select '{c}' as feature, cast({p} as double) as p, round(quantile_cont({c}, {p}), 6) as value from obs"
     for c in NUM for p in PROBS), ("obs",))
 def quantiles(spark, sf):
     """Interpolated quantiles."""
