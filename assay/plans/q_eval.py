@@ -225,7 +225,7 @@ def confusion_matrix(spark, sf):
 
 
 @register("confusion_wide", f"""with {_CM_SQL}
-select label, {", ".join(f"sum(case when pred = '{c}' then n else 0 end) as {c}" for c in CLASSES)}
+select label, {", ".join(f"cast(sum(case when pred = '{c}' then n else 0 end) as bigint) as {c}" for c in CLASSES)}
 from cm group by label""", ("pred",))
 def confusion_wide(spark, sf):
     """Confusion matrix as a headerless-style wide integer table."""
