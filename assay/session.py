@@ -40,8 +40,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     when the setting is missing (local tests).
     """
     sc = spark.sparkContext
-    d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="assay-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(d)
-    return d
+    return sc.getCheckpointDir() or d

@@ -40,8 +40,9 @@ def stream_score(spark: SparkSession, model: PipelineModel, source_dir: str, sch
 
 def scratch_dir(spark: SparkSession, *parts: str) -> str:
     """A folder under the session's shared checkpoint directory."""
-    base = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = base.replace("file:", "") if base and base.startswith("file:") else base
+    from assay.session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(spark)
+    base = base.replace("file:", "") if base.startswith("file:") else base
     return os.path.join(base, *parts)
 
 
