@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.stats import attach
 
-AUC_BUCKETS = 4096
+AUC_BUCKETS = 65536
 
 
 def accuracy(df: DataFrame, label: str = "label", pred: str = "pred", by: Sequence[str] = ()) -> DataFrame:

@@ -162,11 +162,17 @@ def smote(df: DataFrame, label: str, k: int = 5, seed: int = 42) -> DataFrame:
              need.select(label, F.col("id").alias("rid"), F.col("vec").alias("rvec")), k,
              part=label, exclude_self=True)
     # synthetic slot j of class c (0 <= j < t - n_c) is generated by the row of rank j mod n_c
+    from assay.operators.sampling import SLOT_CHUNK
     n, t, rk = F.col("__n"), F.col("__t"), F.col("__rk")
     per_row = F.ceil((t - n - rk) / n).cast("bigint")
-    s = need.where(rk < t - n).select(label, "__n", "__rk",
-                                      F.explode(F.sequence(F.lit(0).cast("bigint"), per_row - 1)).alias("__i"))
-    j = F.col("__rk") + F.col("__i") * F.col("__n")
+    # slots are generated in bounded chunks so a tiny class with a large deficit
+    # never materialises one huge array
+    chunks = F.sequence(F.lit(0).cast("bigint"), F.ceil(per_row / SLOT_CHUNK).cast("bigint") - 1)
+    s = need.where(rk < t - n).select(label, "__n", "__rk", per_row.alias("__m"), F.explode(chunks).alias("__c"))
+    inner = F.sequence(F.lit(0).cast("bigint"),
+                       F.least(F.lit(SLOT_CHUNK).cast("bigint"), F.col("__m") - F.col("__c") * SLOT_CHUNK) - 1)
+    s = s.select(label, "__n", "__rk", "__c", F.explode(inner).alias("__i"))
+    j = F.col("__rk") + (F.col("__c") * SLOT_CHUNK + F.col("__i")) * F.col("__n")
     slots = s.select(label, "__n", j.alias("slot"))
     kc = F.least(F.lit(k), F.col("__n") - 1)
     slots = slots.select(label, "slot", (hash60(F.col(label), seed, F.col("slot"), "base") % F.col("__n")).alias("__base"),
