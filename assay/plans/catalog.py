@@ -11,3 +11,4 @@ from assay.plans import q_select  # noqa: F401,E402
 from assay.plans import q_neighbors  # noqa: F401,E402
 from assay.plans import q_models  # noqa: F401,E402
 from assay.plans import q_misc  # noqa: F401,E402
+from assay.plans import analysis  # noqa: F401,E402
