@@ -119,3 +119,13 @@ def smote(spark, sf):
     s = nb.smote(emb(spark, sf), "label", 5, SEED)
     return s.select("id", "label", "synthetic", "base_id", "neighbor_id", "gap",
                     F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+
+
+@register("knn_lsh_join")
+def knn_lsh_join(spark, sf):
+    """J4 scale variant: 7 approximate nearest neighbours via random-projection LSH (rows-only)."""
+    e = emb(spark, sf)
+    nn = nb.knn_lsh(e.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")),
+                    e.select(F.col("id").alias("rid"), F.col("vec").alias("rvec")), K, bucket_length=50.0)
+    return nn.select(F.col("qid").alias("vec_id"), F.col("rid").alias("neighbor_id"),
+                     F.col("rank").cast("bigint").alias("rank"), r6(F.sqrt("dist2")).alias("distance"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assay.functions.hashing import sql_hash60
+from assay.functions.hashing import sql_hash60, sql_uniform
 from assay.operators import sampling as sa
 from assay.plans.registry import register
 from assay.sources.views import doc_obs, obs
@@ -105,3 +105,11 @@ def balance_noise_max(spark, sf):
 def balance_poisson(spark, sf):
     """R1 scale variant: Poisson copies by hash, sizes right in expectation (rows-only)."""
     return sa.poisson_oversample(doc_obs(spark, sf).select("doc_id", "label"), "label", "doc_id", SEED)
+
+
+@register("split_hash", f"""
+select obs_id, label, case when {sql_uniform("cast(obs_id as string)", f"'{SEED}'", "'split'")} < 0.2
+  then 'test' else 'train' end as split from obs""", ("obs",))
+def split_hash(spark, sf):
+    """R9/R10 scale variant: Bernoulli 80/20 split by hash threshold (no shuffle, no window)."""
+    return sa.split_hash(obs(spark, sf).select("obs_id", "label"), "obs_id", 0.2, SEED)
