@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from assay.functions.hashing import sql_hash60, sql_uniform
 from assay.operators import sampling as sa
 from assay.plans.registry import register
@@ -52,7 +50,6 @@ def seeded_shuffle(spark, sf):
 
 
 def _draw_sql(base, label, id_col, target_sql, under=None):
-    h = sql_hash60(label if label != "label" else "label", f"'{SEED}'", "cast(draw as string)")
     h = sql_hash60(f"cast({label} as string)", f"'{SEED}'", "cast(draw as string)")
     keep_cond = "r.n >= t.target" if under is None else f"r.n >= t.target and r.n <= t.target * {under}"
     under_sql = "" if under is None else f"""
