@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assay.llm.common import table
+from assay.llm import langid
+from assay.llm import rules
+from assay.llm import urls
+from assay.llm.common import remainder, table
+from assay.llm.html import extract_main_text
+from assay.llm.importance import importance_resample
 from assay.llm.packing import pack_documents
 from assay.llm.tokens import token_counts
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +37,130 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op5_token_counts")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
+
+
+@_query("op1_importance")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return importance_resample(table(spark, sf_dir, "documents"), good)
+
+
+@_query("op3_main_text")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@_query("op6_langid")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 4) == 2
+    model = langid.fit(docs.where(~held_out), "doc_id")
+    return langid.predict(docs, model).withColumn("held_out", held_out).select(
+        "doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+#: Rules of the URL query: the longest that fits decides.
+URL_RULES = (urls.Rule("block", "net", "/"), urls.Rule("allow", "example.net", "/en/"),
+             urls.Rule("block", "example.com", "/de/"), urls.Rule("allow", "org", "/fr/"))
+#: Host names whose pages make up the list of the URL query.
+LISTED_HOSTS = ("casino-win", "ads-track", "spam-farm", "adult-x", "cheap-pills", "free-bets")
+
+
+@_query("op7_url_filter", """
+with p as (
+  select page_id, coalesce(url, '') as url from pages
+), h as (
+  select page_id,
+    translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+      as host,
+    regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') as path
+  from p
+), c as (
+  select *, regexp_replace(host, '^(www|m|blog)\\.', '') as bare,
+    case when (host = 'example.net' or host like '%.example.net') and starts_with(path, '/en/') then 'example.net/en/'
+         when (host = 'example.com' or host like '%.example.com') and starts_with(path, '/de/') then 'example.com/de/'
+         when (host = 'org' or host like '%.org') and starts_with(path, '/fr/') then 'org/fr/'
+         when (host = 'net' or host like '%.net') and starts_with(path, '/') then 'net/' end as rule
+  from h
+), k as (
+  select *, case when bare <> '' then bare || regexp_replace(path, '(\\.html)?/*$', '') end as canonical from c
+), listed as (
+  select distinct canonical from k
+  where split_part(bare, '.', 1) in ('casino-win', 'ads-track', 'spam-farm', 'adult-x', 'cheap-pills', 'free-bets')
+)
+select page_id, host, path, rule,
+  case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
+       when k.canonical in (select canonical from listed) then 'block' else 'allow' end as verdict
+from k
+""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    name = urls.canonical(urls.host_of(F.col("url")), urls.path_of(F.col("url")))
+    listed = pages.select(name.alias("url")).where(F.substring_index("url", ".", 1).isin(*LISTED_HOSTS))
+    return urls.filter_urls(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@_query("op10_quality_rules", """
+with w as (
+  select doc_id, lang, coalesce(text, '') as t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines
+  from documents
+), win as (
+  select doc_id, i, [words[i], words[i + 1], words[i + 2]] as g
+  from (select doc_id, words, unnest(range(1, len(words) - 1)) as i from w where len(words) >= 3)
+), twice as (
+  select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as n from win) where n >= 2
+), rep as (
+  select doc_id, count(distinct j) as n_repeat_words
+  from (select doc_id, unnest([i, i + 1, i + 2]) as j from twice) group by doc_id
+), fig as (
+  select w.doc_id, lang, len(words) as n_words,
+    length(t) - length(regexp_replace(t, '[^\\x20\\x09-\\x0D]', '', 'g')) as word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+    len(lines) - len(list_distinct(lines)) as n_dup_lines,
+    coalesce(n_repeat_words, 0) as n_repeat_words, len(lines) as n_lines
+  from w left join rep on w.doc_id = rep.doc_id
+), f as (
+  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+    n_symbols / greatest(n_words, 1)::double as symbol_ratio,
+    n_dup_lines / greatest(n_lines, 1)::double as dup_line_ratio,
+    n_repeat_words / greatest(n_words, 1)::double as repeat_ratio,
+    word_chars / greatest(n_words, 1)::double as mean_word_chars
+  from fig
+), grid as (
+  select 'symbol_ratio' as rule, unnest([0.05, 0.1, 0.2, 0.4, 0.8, 1.6])::double as cutoff
+  union all select 'dup_line_ratio', unnest([0.05, 0.1, 0.2, 0.3, 0.5, 0.7])::double
+  union all select 'repeat_ratio', unnest([0.05, 0.1, 0.15, 0.2, 0.3, 0.4])::double
+  union all select 'mean_word_chars', unnest([6, 7, 8, 10, 12, 16])::double
+), good as (
+  select f.* from f where not base_failed
+    and doc_id in (select doc_id from labels group by doc_id having min(quality) = 1)
+), tested as (
+  select lang, rule, cutoff, count(*) as n,
+    sum(case when case rule when 'symbol_ratio' then symbol_ratio when 'dup_line_ratio' then dup_line_ratio
+                  when 'repeat_ratio' then repeat_ratio else mean_word_chars end > cutoff then 1 else 0 end)::bigint as k
+  from good cross join grid group by lang, rule, cutoff
+), p as (
+  select lang, rule, cutoff, case when k < n * 0.01 then (
+      select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99)))
+      from (select unnest(range(k + 1)) as i)) else 1 end as p_value
+  from tested
+), chosen as (
+  select lang, rule, min(cutoff) as cutoff from p
+  where p_value <= 0.05 / greatest(24 * (select count(distinct coalesce(lang, '')) from good), 1) group by lang, rule
+), cut as (
+  select lang, min(cutoff) filter (rule = 'symbol_ratio') as c1, min(cutoff) filter (rule = 'dup_line_ratio') as c2,
+    min(cutoff) filter (rule = 'repeat_ratio') as c3, min(cutoff) filter (rule = 'mean_word_chars') as c4
+  from chosen group by lang
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  case when symbol_ratio > c1 then 'symbol_ratio' when dup_line_ratio > c2 then 'dup_line_ratio'
+       when repeat_ratio > c3 then 'repeat_ratio' when mean_word_chars > c4 then 'mean_word_chars' end as rule,
+  not base_failed and not coalesce(symbol_ratio > c1, false) and not coalesce(dup_line_ratio > c2, false)
+    and not coalesce(repeat_ratio > c3, false) and not coalesce(mean_word_chars > c4, false) as kept
+from f left join cut on f.lang is not distinct from cut.lang
+""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("good"))
+    return rules.judge(table(spark, sf_dir, "documents"), labels)
