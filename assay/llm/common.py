@@ -103,7 +103,7 @@ class Words:
         self.data, self.edges = data, edges
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         up, down = _powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
+        self._total = total = np.zeros(n + 1, np.uint64)
         if n:
             np.cumsum(table.code[data] * up[:n], out=total[1:])
         self.hash = mix((total[self.end] - total[self.start]) * down[self.start])
@@ -112,6 +112,12 @@ class Words:
         # the first word of each row, and the end of the last row's words
         self.first = np.searchsorted(self.row, np.arange(self.rows + 1))
 
+    def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the first ``size`` bytes of the words that have as many, and the indexes of these words."""
+        at = np.flatnonzero(self.end - self.start >= size)
+        start = self.start[at]
+        return mix((self._total[start + size] - self._total[start]) * _POWERS["down"][start]), at
+
     def ngrams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of ``n`` consecutive words of a row, and their rows."""
         if n == 1:

@@ -14,6 +14,7 @@ from assay.llm.html import extract_main_text
 from assay.llm.importance import importance_resample
 from assay.llm.packing import pack_documents
 from assay.llm.tokens import token_counts
+from assay.llm.toxicity import score_toxicity
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +165,11 @@ from f left join cut on f.lang is not distinct from cut.lang
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("good"))
     return rules.judge(table(spark, sf_dir, "documents"), labels)
+
+
+@_query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder("doc_id", 3) == 1
+    labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
+    return score_toxicity(table(spark, sf_dir, "documents"), labels).select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted", "hits", "hit_density", "near_you")
