@@ -12,6 +12,7 @@ from assay.llm import urls
 from assay.llm.common import remainder, table
 from assay.llm.html import extract_main_text
 from assay.llm.importance import importance_resample
+from assay.llm.neardup import near_duplicates
 from assay.llm.packing import pack_documents
 from assay.llm.tokens import token_counts
 from assay.llm.toxicity import score_toxicity
@@ -173,3 +174,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
     return score_toxicity(table(spark, sf_dir, "documents"), labels).select(
         "doc_id", held_out.alias("held_out"), "score", "predicted", "hits", "hit_density", "near_you")
+
+
+@_query("op8_neardup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, pct=80)
