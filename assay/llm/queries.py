@@ -10,6 +10,7 @@ from assay.llm import langid
 from assay.llm import rules
 from assay.llm import urls
 from assay.llm.common import remainder, table
+from assay.llm.decontam import find_leaks
 from assay.llm.html import extract_main_text
 from assay.llm.importance import importance_resample
 from assay.llm.neardup import near_duplicates
@@ -179,3 +180,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_neardup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, pct=80)
+
+
+@_query("op9_decontam")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
