@@ -97,9 +97,10 @@ def features() -> dict[str, Column]:
 
 
 def _ln_factorial(x: Column) -> Column:
-    """Stirling's series at ``x + 10``, less the ten factors in between: exact to about 1e-13."""
+    """Stirling's series at ``x + 10``, less the ten factors in between: exact to about 1e-10."""
     z = x.cast("double") + 10
-    series = z * F.log(z) - z + 0.5 * F.log(2 * 3.141592653589793 * z) + 1 / (12 * z) - 1 / (360 * z * z * z)
+    series = z * F.log(z) - z + 0.5 * F.log(2 * 3.141592653589793 * z) + 1 / (12 * z) - 1 / (360 * z * z * z) \
+        + 1 / (1260 * z * z * z * z * z)
     return series - reduce(lambda a, b: a + b, [F.log(x.cast("double") + i) for i in range(1, 11)])
 
 
