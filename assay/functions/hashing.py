@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 # 15 hex digits of md5 give a non-negative 60-bit integer.
 HASH_HEX_DIGITS = 15
 HASH_RANGE = float(1 << 60)
-# Top bits of the 60-bit hash used as a salt bucket (1024 buckets).
-SALT_SHIFT = 50
 
 
 def _key(parts) -> Column:
@@ -38,16 +36,6 @@ def uniform(*parts) -> Column:
     return hash60(*parts) / F.lit(HASH_RANGE)
 
 
-def salt_of(h: Column) -> Column:
-    """Salt bucket taken from the top bits of a :func:`hash60` value.
-
-    Because the bucket is a prefix of the hash, ordering by (bucket, hash)
-    is the same as ordering by hash, which lets a rank over a whole class be
-    computed from many small windows (see ``operators.sampling``).
-    """
-    return F.shiftright(h, SALT_SHIFT)
-
-
 # SQL text of the same functions, for the DuckDB oracles.
 def sql_hash60(*parts: str) -> str:
     return (f"cast(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, {HASH_HEX_DIGITS}))"

@@ -2,23 +2,97 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def quantile(c: Column | str, p, relative_error: float | None = None) -> Column:
-    """Linear-interpolated quantile (pandas ``quantile`` / DuckDB ``quantile_cont``).
+#: Accuracy of the sketch that brackets an exact quantile: a bracket holds about 4 / SKETCH of the rows.
+SKETCH = 10_000
+
+
+def _value(c: Column | str) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("double")
+
+
+def quantile_row(df: DataFrame, spec: Mapping[str, tuple], relative_error: float | None = None,
+                 by: str | None = None) -> DataFrame:
+    """Linear-interpolated quantiles (pandas ``quantile`` / DuckDB ``quantile_cont``), exact by default.
+
+    ``spec`` maps an output column to ``(column, p)`` (a double) or ``(column, [p, ...])`` (an array).  One row, or one
+    row per value of ``by`` (few by contract; a null group is left out).
 
-    ``relative_error=None`` is exact: Spark keeps a value->count map per group,
-    which is cheap for low-cardinality columns (ages, counts) and map-side
-    combined.  For continuous columns at scale pass ``relative_error`` to use
-    the mergeable GK sketch (``percentile_approx``) instead.
+    No task holds the values of a column.  A mergeable sketch gives bounds that surely enclose the wanted ranks; a
+    second pass counts what lies below the bounds and, value by value, what lies between them (map-side combined, about
+    ``4 / SKETCH`` of the rows at most), and the ranks are read off these counts.  With ``relative_error`` the sketch's
+    answer (``percentile_approx``) is returned after one pass.
     """
-    c = F.col(c) if isinstance(c, str) else c
-    if relative_error is None:
-        return F.percentile(c, F.lit(p) if not isinstance(p, (list, tuple)) else F.array(*map(F.lit, p)))
-    acc = int(round(1.0 / relative_error))
-    return F.percentile_approx(c, list(p) if isinstance(p, (list, tuple)) else p, acc)
+    points = {n: (list(p) if isinstance(p, (list, tuple)) else [p]) for n, (_, p) in spec.items()}
+    cols = {n: f"__v{i}" for i, n in enumerate(spec)}
+    keys = [by] if by else []
+    src = df.select(*keys, *[_value(c).alias(cols[n]) for n, (c, _) in spec.items()])
+    if by:
+        src = src.where(F.col(by).isNotNull())
+    if relative_error is not None:
+        acc = int(round(1.0 / relative_error))
+        out = src.groupBy(*keys).agg(*[F.percentile_approx(cols[n], points[n], acc).alias(n) for n in spec])
+        return out.select(*keys, *[F.col(n) if isinstance(spec[n][1], (list, tuple)) else F.col(n)[0].alias(n) for n in spec])
+    slack = 2.0 / SKETCH
+    ex = []
+    for n in spec:
+        v = cols[n]
+        ex += [F.percentile_approx(v, [max(0.0, p - slack) for p in points[n]], SKETCH).alias(f"{v}_lo"),
+               F.percentile_approx(v, [min(1.0, p + slack) for p in points[n]], SKETCH).alias(f"{v}_hi"),
+               F.min(v).alias(f"{v}_min"), F.max(v).alias(f"{v}_max"), F.count(v).alias(f"{v}_n")]
+    bounds = src.groupBy(*keys).agg(*ex)
+    j = attach_by(src, bounds, by) if by else attach(src, bounds)
+    cells = []
+    for i, n in enumerate(spec):
+        v = F.col(cols[n])
+        for k, p in enumerate(points[n]):
+            lo = F.col(f"{cols[n]}_min") if p - slack <= 0 else F.col(f"{cols[n]}_lo")[k]
+            hi = F.col(f"{cols[n]}_max") if p + slack >= 1 else F.col(f"{cols[n]}_hi")[k]
+            side = F.when(v < lo, -1).when(v > hi, 1).otherwise(0)
+            cells.append(F.when(v.isNotNull(), F.struct(
+                F.lit(i).alias("i"), F.lit(k).alias("k"), ((F.col(f"{cols[n]}_n") - 1) * F.lit(float(p))).alias("rank"),
+                side.alias("side"), F.when(side == 0, v).alias("inner"), v.alias("v"))))
+    # one cell below the bounds (its largest value may be wanted), one for each value inside, one above (its smallest)
+    seen = j.select(*keys, F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("c")).groupBy(
+        *keys, "c.i", "c.k", "c.rank", "c.side", "c.inner").agg(
+        F.count(F.lit(1)).alias("n"), F.when(F.col("side") < 0, F.max("c.v")).otherwise(F.min("c.v")).alias("value"))
+    upto = F.sum("n").over(Window.partitionBy(*keys, "i", "k").orderBy("side", "value"))
+    r = F.col("rank")
+    picked = seen.select(*keys, "i", "k", "rank", "value", upto.alias("upto")).groupBy(*keys, "i", "k", "rank").agg(
+        F.min(F.when(F.col("upto") > F.floor(r), F.col("value"))).alias("below"),
+        F.min(F.when(F.col("upto") > F.ceil(r), F.col("value"))).alias("above"))
+    part = r - F.floor(r)
+    value = F.when((part == 0) | (F.col("below") == F.col("above")), F.col("below")).otherwise((1 - part) * F.col("below") + part * F.col("above"))
+    found = picked.select(*keys, (F.col("i") * 1000 + F.col("k")).alias("key"), value.alias("value")).groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("found"))
+    if by:  # groups whose values are all null keep their row
+        found = bounds.select(by).join(found, by, "left")
+    out = []
+    for i, n in enumerate(spec):
+        vals = [F.col("found")[F.lit(i * 1000 + k)] for k in range(len(points[n]))]
+        out.append((F.array(*vals) if isinstance(spec[n][1], (list, tuple)) else vals[0]).alias(n))
+    return found.select(*keys, *out)
+
+
+def attach_by(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Make the columns of a table with one row per value of ``key`` available on the rows of that value.
+
+    The table is small by contract (classes, features, levels that are kept).  It travels as one map-valued scalar
+    subquery, so the rows are neither shuffled nor joined, and a value that a third of the rows share costs nothing.
+    Values that the table lacks, and null, get nulls.
+    """
+    fields = [c for c in table.columns if c != key]
+    entries = table.where(F.col(key).isNotNull()).select(F.struct(
+        F.col(key).alias("k"), F.struct(*[F.col(c) for c in fields]).alias("v")).alias("e"))
+    packed = entries.agg(F.map_from_entries(F.collect_list("e")).alias("__map")).scalar()
+    j = df.select("*", packed.alias("__map"))
+    j = j.select(*df.columns, F.when(F.col(key).isNotNull(), F.try_element_at(F.col("__map"), F.col(key))).alias("__row"))
+    return j.select(*df.columns, *[F.col("__row").getField(c).alias(c) for c in fields])
 
 
 def one_row(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:

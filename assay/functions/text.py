@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -19,10 +19,6 @@ def sanitize_name(name: str) -> str:
     return re.sub(UNSAFE_NAME_PATTERN, "_", name)
 
 
-def sanitize_columns(df: DataFrame) -> DataFrame:
-    return df.toDF(*[sanitize_name(c) for c in df.columns])
-
-
 def sanitize_value(c: Column) -> Column:
     return F.regexp_replace(c, UNSAFE_NAME_PATTERN, "_")
 
@@ -44,6 +40,12 @@ def strip_numeric_symbols(c: Column) -> Column:
     return F.when(t == "", F.lit("0")).otherwise(t)
 
 
+def title_case(c: Column) -> Column:
+    """Upper case for every letter that follows no letter, lower case for the others (``str.title``: B-Cell, O'Neil)."""
+    runs = F.regexp_extract_all(c, F.lit(r"(?s)(\p{L}+|\P{L}+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 2**31 - 1)))), "")
+
+
 def normalize_target(c: Column) -> Column:
     """C3 (target): trim + upper; null reads as the text 'NAN'."""
     return F.upper(F.trim(F.coalesce(c, F.lit("nan"))))
@@ -51,5 +53,5 @@ def normalize_target(c: Column) -> Column:
 
 def normalize_category(c: Column) -> Column:
     """C3 (categories): trim + title case; null tokens -> 'Unknown' (C9)."""
-    t = F.initcap(F.lower(F.trim(F.coalesce(c, F.lit("nan")))))
+    t = title_case(F.trim(F.coalesce(c, F.lit("nan"))))
     return F.when(t.isin(*NULL_TOKENS), F.lit("Unknown")).otherwise(t)

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.functions.stats import attach, one_row, quantile
+from assay.functions.stats import attach, attach_by, one_row, quantile_row
 from assay.functions.text import parse_number, strip_numeric_symbols
 
 
@@ -70,12 +70,12 @@ def outlier_counts(df: DataFrame, bounds: Mapping[str, tuple]) -> DataFrame:
 
 
 def drop_singleton_classes(df: DataFrame, target: str, min_rows: int = 2) -> DataFrame:
-    """Keep classes with at least ``min_rows`` rows (left-semi join).
+    """Keep classes with at least ``min_rows`` rows (null is no class).
 
-    The class-count side has one row per class; AQE broadcasts it when small.
+    The class counts reach the rows as a map (:func:`attach_by`): rows are not shuffled on their class.
     """
-    keep = df.groupBy(target).count().filter(F.col("count") >= min_rows).select(target)
-    return df.join(keep, target, "left_semi").select(*df.columns)
+    sizes = df.groupBy(target).agg(F.count(F.lit(1)).alias("__size"))
+    return attach_by(df, sizes, target).where(F.col("__size") >= min_rows).select(*df.columns)
 
 
 def numeric_detection(df: DataFrame, cols: Sequence[str], threshold: float = 0.7) -> DataFrame:
@@ -130,11 +130,11 @@ def merge_rare_classes(df: DataFrame, col: str, min_share: float = 0.01, min_cou
     tot = counts.agg(F.sum("n").alias("total"),
                      F.min_by(F.col(col), F.struct(-F.col("n"), F.col(col))).alias("top"))
     thr = F.greatest(F.lit(min_count), F.floor(F.col("total") * min_share).cast("bigint"))
-    mapping = (attach(counts, tot)
-               .select(F.col(col).alias("__v"),
-                       F.when(F.col("n") < thr, F.col("top")).otherwise(F.col(col)).alias("__new")))
-    out = df.join(mapping, df[col].eqNullSafe(mapping["__v"]), "left")
-    return out.select(*[F.col("__new").alias(col) if c == col else F.col(c) for c in df.columns])
+    rare = attach(counts, tot).where(F.col("n") < thr).select(col, F.col("top").alias("__top"))
+    null_top = rare.where(F.col(col).isNull()).agg(F.max("__top").alias("__null_top"))
+    out = attach(attach_by(df, rare, col), null_top)
+    new = F.when(F.col(col).isNull(), F.col("__null_top")).otherwise(F.coalesce(F.col("__top"), F.col(col)))
+    return out.select(*[new.alias(col) if c == col else F.col(c) for c in df.columns])
 
 
 def top_k_or_other(df: DataFrame, col: str, max_levels: int = 10, keep: int = 8,
@@ -142,28 +142,29 @@ def top_k_or_other(df: DataFrame, col: str, max_levels: int = 10, keep: int = 8,
     """When a column has more than ``max_levels`` values keep the ``keep``
     commonest (ties: smaller value first) and replace the rest by ``other``.
 
-    Ranking runs on the distinct-value count table, never on the rows.
+    The kept values are the top ``keep`` of the distinct-value counts (a distributed top-k) and reach the rows as one
+    array; neither the rows nor all distinct values are sorted or gathered, whatever the cardinality.
     """
-    from pyspark.sql import Window
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc("n"), F.asc(col))
-    ranked = counts.select(col, F.row_number().over(w).alias("rk"),
-                           F.count(F.lit(1)).over(Window.partitionBy()).alias("levels"))
-    mapping = ranked.select(F.col(col).alias("__v"),
-                            F.when((F.col("levels") <= max_levels) | (F.col("rk") <= keep), F.col(col))
-                            .otherwise(F.lit(other)).alias("__new"))
-    out = df.join(mapping, df[col].eqNullSafe(mapping["__v"]), "left")
-    return out.select(*[F.col("__new").alias(col) if c == col else F.col(c) for c in df.columns])
+    levels = counts.agg((F.count(F.lit(1)) > max_levels).alias("__cut"))
+    top = counts.orderBy(F.desc("n"), F.asc(col)).limit(keep).agg(
+        F.collect_list(col).alias("__kept"), F.max(F.col(col).isNull()).alias("__null_kept"))
+    out = attach(attach(df, levels), top)
+    x = F.col(col)
+    held = F.when(x.isNull(), F.col("__null_kept")).otherwise(F.array_contains(F.col("__kept"), x))
+    new = F.when(F.col("__cut") & ~F.coalesce(held, F.lit(False)), F.lit(other)).otherwise(x)
+    return out.select(*[new.alias(col) if c == col else F.col(c) for c in df.columns])
 
 
 # ---------------------------------------------------------------- imputation
 def fit_median(df: DataFrame, cols: Sequence[str], relative_error: float | None = None) -> DataFrame:
-    return one_row(df, {f"{c}__median": quantile(c, 0.5, relative_error) for c in cols})
+    return quantile_row(df, {f"{c}__median": (c, 0.5) for c in cols}, relative_error)
 
 
-def impute_median(df: DataFrame, cols: Sequence[str], stats: DataFrame | None = None) -> DataFrame:
-    """Fill nulls with the column median (fitted on ``stats`` source)."""
-    stats = stats if stats is not None else fit_median(df, cols)
+def impute_median(df: DataFrame, cols: Sequence[str], stats: DataFrame | None = None,
+                  relative_error: float | None = None) -> DataFrame:
+    """Fill nulls with the column median (of ``stats``, fitted on other rows, if given)."""
+    stats = stats if stats is not None else fit_median(df, cols, relative_error)
     j = attach(df, stats)
     return j.select(*[F.coalesce(F.col(c), F.col(f"{c}__median")).alias(c) if c in cols else F.col(c)
                       for c in df.columns])
@@ -183,11 +184,8 @@ def impute_mode(df: DataFrame, cols: Sequence[str], stats: DataFrame | None = No
 
 
 def fit_iqr(df: DataFrame, cols: Sequence[str], relative_error: float | None = None) -> DataFrame:
-    """Quartiles of every column in one aggregate pass."""
-    ex = {}
-    for c in cols:
-        ex[f"{c}__q"] = quantile(c, [0.25, 0.75], relative_error)
-    st = one_row(df, ex)
+    """Quartiles of every column."""
+    st = quantile_row(df, {f"{c}__q": (c, [0.25, 0.75]) for c in cols}, relative_error)
     return st.select(*[x for c in cols for x in (F.col(f"{c}__q")[0].alias(f"{c}__q1"),
                                                    F.col(f"{c}__q")[1].alias(f"{c}__q3"))])
 
@@ -205,38 +203,49 @@ def cap_expr(c: str, k: float, guard_zero_iqr: bool) -> Column:
 
 
 def iqr_cap(df: DataFrame, cols: Sequence[str], k: float = 1.5, guard_zero_iqr: bool = False,
-            stats: DataFrame | None = None) -> DataFrame:
+            stats: DataFrame | None = None, relative_error: float | None = None) -> DataFrame:
     """C12 (k=1.5) / C13 (k=2, skipped when IQR is 0): winsorise at the IQR fences."""
-    stats = stats if stats is not None else fit_iqr(df, cols)
+    stats = stats if stats is not None else fit_iqr(df, cols, relative_error)
     j = attach(df, stats)
     return j.select(*[cap_expr(c, k, guard_zero_iqr).alias(c) if c in cols else F.col(c)
                       for c in df.columns])
 
 
-def fit_imputer_model(df: DataFrame, cols: Sequence[str], relative_error: float = 0.0):
-    """Spark ML ``Imputer(strategy='median')`` fitted on the given (train) rows."""
+def fit_imputer_model(df: DataFrame, cols: Sequence[str], relative_error: float = 1e-4):
+    """Spark ML ``Imputer(strategy='median')`` fitted on the given (train) rows.
+
+    ``relative_error`` bounds the quantile summaries that tasks build and merge; at 0 they would hold every value.
+    """
     from pyspark.ml.feature import Imputer
     return Imputer(strategy="median", inputCols=list(cols), outputCols=list(cols),
                    relativeError=relative_error).fit(df)
 
 
-def impute_regression(df: DataFrame, target: str, predictors: Sequence[str],
-                      rounds: int = 1) -> DataFrame:
-    """C11: fill ``target`` nulls with a linear regression on ``predictors``.
+def impute_regression(df: DataFrame, targets: Sequence[str], rounds: int = 2) -> DataFrame:
+    """C11: chained regression imputation of all ``targets`` from each other.
 
-    Each round fits ``LinearRegression`` on the rows where the target is
-    present (distributed fit) and predicts the null rows.
+    Missing values start at the column median; in every round each target that has any is fitted by ``LinearRegression`` on
+    the rows where it is present (a distributed fit), with the other columns as they stand, and its missing values are
+    predicted anew.  Predictors are never null this way, so no row is skipped and no value becomes NaN.  A column without any
+    value stays null and is no predictor; a column that has no other predictor keeps its median.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
-    out = df
+    targets = list(targets)
+    n = df.agg(*[F.count(c).alias(c) for c in targets], F.count(F.lit(1)).alias("__rows")).first()
+    used = [c for c in targets if n[c]]
+    gaps = [c for c in used if n[c] < n["__rows"]]
+    marked = df.select("*", *[F.col(c).isNull().alias(f"__gap_{c}") for c in gaps])
+    out = impute_median(marked, used) if used else marked
     for _ in range(rounds):
-        va = VectorAssembler(inputCols=list(predictors), outputCol="__x", handleInvalid="skip")
-        train = va.transform(out.filter(F.col(target).isNotNull()))
-        model = LinearRegression(featuresCol="__x", labelCol=target, predictionCol="__pred",
-                                 regParam=0.0).fit(train)
-        va_keep = VectorAssembler(inputCols=list(predictors), outputCol="__x", handleInvalid="keep")
-        scored = model.transform(va_keep.transform(out))
-        out = scored.select(*[F.coalesce(F.col(c), F.col("__pred")).alias(c) if c == target else F.col(c)
-                              for c in df.columns])
-    return out
+        for c in gaps:
+            others = [x for x in used if x != c]
+            if not others:
+                continue
+            va = VectorAssembler(inputCols=others, outputCol="__x", handleInvalid="error")
+            data = va.transform(out)
+            model = LinearRegression(featuresCol="__x", labelCol=c, predictionCol="__pred", regParam=0.0).fit(
+                data.where(~F.col(f"__gap_{c}")))
+            filled = F.when(F.col(f"__gap_{c}"), F.col("__pred")).otherwise(F.col(c))
+            out = model.transform(data).select(*[filled.alias(x) if x == c else F.col(x) for x in out.columns])
+    return out.select(*df.columns)

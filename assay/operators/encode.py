@@ -67,9 +67,3 @@ def one_hot(df: DataFrame, col: str, levels: Sequence[str], drop_first: bool = T
     keep = list(levels)[1:] if drop_first else list(levels)
     return df.select("*", *[F.coalesce((F.col(col) == lv).cast("int"), F.lit(0))
                             .alias(sanitize_name(f"{col}_{lv}")) for lv in keep])
-
-
-def string_indexer(col: str, out: str):
-    """E3 on the ML path: ``StringIndexer(stringOrderType='alphabetAsc')``."""
-    from pyspark.ml.feature import StringIndexer
-    return StringIndexer(inputCol=col, outputCol=out, stringOrderType="alphabetAsc", handleInvalid="keep")

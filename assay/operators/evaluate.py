@@ -27,19 +27,20 @@ def accuracy(df: DataFrame, label: str = "label", pred: str = "pred", by: Sequen
 def confusion_matrix(df: DataFrame, label: str = "label", pred: str = "pred", by: Sequence[str] = ()) -> DataFrame:
     """V2: long confusion matrix ``(by..., label, pred, n)`` with zero cells kept.
 
-    The class set is the union of truths and predictions; the k x k grid is
-    built from that distinct set (k = number of classes), counts come from a
-    map-side combined group-by.
+    One pass over the rows: a map-side combined count per (truth, prediction).  The class set (truths and predictions)
+    and the k x k grid come from these at most k * k counts per group; null truths and predictions are left out.
     """
     by = list(by)
-    # class set per group (k values, bounded by the number of classes) -> k x k grid by two explodes
-    cls = df.select(*by, F.col(label).alias("c")).union(df.select(*by, F.col(pred).alias("c")))
-    sets = cls.groupBy(*by).agg(F.array_sort(F.collect_set("c")).alias("__cs"))
-    grid = (sets.select(*by, F.explode("__cs").alias(label), "__cs")
-            .select(*by, label, F.explode("__cs").alias(pred)))
-    cnt = df.groupBy(*by, label, pred).agg(F.count(F.lit(1)).alias("n"))
-    return grid.join(cnt, by + [label, pred], "left").select(
-        *by, label, pred, F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"))
+    cnt = df.groupBy(*by, label, pred).agg(F.count(F.lit(1)).alias("n")).where(
+        F.col(label).isNotNull() | F.col(pred).isNotNull())
+    g = cnt.groupBy(*by).agg(
+        F.array_sort(F.array_union(F.collect_set(label), F.collect_set(pred))).alias("__cs"),
+        F.map_from_entries(F.filter(F.collect_list(F.struct(F.struct(label, pred).alias("k"), F.col("n").alias("v"))),
+                                    lambda e: e["k"][label].isNotNull() & e["k"][pred].isNotNull())).alias("__n"))
+    grid = g.select(*by, "__cs", "__n", F.explode("__cs").alias(label)).select(
+        *by, label, "__n", F.explode("__cs").alias(pred))
+    return grid.select(*by, label, pred, F.coalesce(F.try_element_at("__n", F.struct(label, pred)), F.lit(0))
+                       .cast("bigint").alias("n"))
 
 
 def confusion_wide(cm: DataFrame, classes: Sequence[str], label: str = "label", pred: str = "pred") -> DataFrame:
@@ -93,7 +94,7 @@ def roc_auc_ovr(scores: DataFrame, label: str = "label", cls: str = "cls", p: st
     over scores; it is split by score bucket (floor(p * buckets), monotone in p),
     each (class, bucket) window is summed locally and bucket offsets come from
     a small table, so no window holds all scores of a class.
-    Scores must lie in [0, 1].
+    Scores must lie in [0, 1].  A class without positives or without negatives has AUC 0.
     """
     by = list(by)
     k = by + [cls]
@@ -108,7 +109,8 @@ def roc_auc_ovr(scores: DataFrame, label: str = "label", cls: str = "cls", p: st
         Window.partitionBy(*k, "__b").orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     e = j.select(*k, "pos", "neg", below.alias("below"))
     return e.groupBy(*k).agg(
-        (F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+        F.coalesce(F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)),
+                                F.sum("pos").cast("double") * F.sum("neg").cast("double")), F.lit(0.0)).alias("auc"))
 
 
 def macro_auc(auc: DataFrame, by: Sequence[str] = (), zero_if_binary: bool = True) -> DataFrame:

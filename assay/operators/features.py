@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.functions.stats import attach, one_row, quantile
+from assay.functions.stats import attach, one_row, quantile_row
 
 
 def add(df: DataFrame, cols: Mapping[str, Column]) -> DataFrame:
@@ -97,7 +97,7 @@ def zscore_features(df: DataFrame, cols: Sequence[str], stats: DataFrame | None
 def fit_quantile_points(df: DataFrame, spec: Mapping[str, Sequence[float]],
                         relative_error: float | None = None) -> DataFrame:
     """Quantiles ``{col: [p, ...]}`` in one pass -> columns ``col__p<100p>``."""
-    st = one_row(df, {f"{c}__qs": quantile(c, list(ps), relative_error) for c, ps in spec.items()})
+    st = quantile_row(df, {f"{c}__qs": (c, list(ps)) for c, ps in spec.items()}, relative_error)
     return st.select(*[F.col(f"{c}__qs")[i].alias(f"{c}__p{int(round(p * 100))}")
                        for c, ps in spec.items() for i, p in enumerate(ps)])
 
@@ -108,7 +108,7 @@ def flag(cond: Column) -> Column:
 
 
 def quantile_flags(df: DataFrame, rules: Sequence[tuple[str, str, str, float]],
-                   stats: DataFrame | None = None) -> DataFrame:
+                   stats: DataFrame | None = None, relative_error: float | None = None) -> DataFrame:
     """Flags ``name = col (> | <) quantile(col, p)``.
 
     ``rules`` items are (name, col, op, p).  All thresholds come from one pass.
@@ -118,7 +118,7 @@ def quantile_flags(df: DataFrame, rules: Sequence[tuple[str, str, str, float]],
         spec.setdefault(c, [])
         if p not in spec[c]:
             spec[c].append(p)
-    stats = stats if stats is not None else fit_quantile_points(df, spec)
+    stats = stats if stats is not None else fit_quantile_points(df, spec, relative_error)
     j = attach(df, stats)
     out = []
     for name, c, op, p in rules:
@@ -128,9 +128,9 @@ def quantile_flags(df: DataFrame, rules: Sequence[tuple[str, str, str, float]],
     return j.select(*df.columns, *out)
 
 
-def median_flags(df: DataFrame, col: str) -> DataFrame:
+def median_flags(df: DataFrame, col: str, relative_error: float | None = None) -> DataFrame:
     """X > median and x < 0.5 * median."""
-    st = one_row(df, {"__med": quantile(col, 0.5)})
+    st = quantile_row(df, {"__med": (col, 0.5)}, relative_error)
     j = attach(df, st)
     return j.select(*df.columns, flag(F.col(col) > F.col("__med")).alias(f"{col}_above_median"),
                     flag(F.col(col) < 0.5 * F.col("__med")).alias(f"{col}_below_half_median"))
@@ -159,16 +159,16 @@ def bin_fixed(c: Column, edges: Sequence[float]) -> Column:
 
 def fit_quantile_edges(df: DataFrame, col: str, q: int = 5, relative_error: float | None = None) -> DataFrame:
     ps = [i / q for i in range(1, q)]
-    return one_row(df, {f"{col}__edges": quantile(col, ps, relative_error),
-                        f"{col}__lo": F.min(col), f"{col}__hi": F.max(col)})
+    return quantile_row(df, {f"{col}__edges": (col, ps)}, relative_error)
 
 
-def bin_quantile(df: DataFrame, col: str, q: int = 5, stats: DataFrame | None = None) -> DataFrame:
+def bin_quantile(df: DataFrame, col: str, q: int = 5, stats: DataFrame | None = None,
+                 relative_error: float | None = None) -> DataFrame:
     """Quantile bins, right-closed, lowest included; duplicate edges collapse.
 
     bin = number of distinct interior edges strictly below the value.
     """
-    stats = stats if stats is not None else fit_quantile_edges(df, col, q)
+    stats = stats if stats is not None else fit_quantile_edges(df, col, q, relative_error)
     j = attach(df, stats)
     x = F.col(col)
     edges = F.array_distinct(F.col(f"{col}__edges"))

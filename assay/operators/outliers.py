@@ -1,10 +1,10 @@
 """Isolation-forest outlier removal (C14).
 
-Fit: every tree gets up to ``sample_size`` rows chosen by hash.  Rows are
-pre-sampled with a Bernoulli hash test sized for ``n_trees * 2 * sample_size``
-rows in expectation, spread over trees by a second hash, and each tree keeps
-its ``sample_size`` smallest hashes (a window over at most a few hundred
-rows per tree).  Trees are grown in ``applyInPandas`` (one task per tree)
+Fit: every tree gets ``min(sample_size, n)`` rows, chosen by a hash of its own: a
+row goes to a tree if its (row, tree) hash is below a cut that lets about
+``2 * sample_size`` rows through, and the tree keeps the ``sample_size``
+smallest hashes among these (a window over a few hundred rows per tree; a row
+may serve several trees).  Trees are grown in ``applyInPandas`` (one task per tree)
 with numpy, seeded by (seed, tree): deterministic on any cluster.  The
 forest is bounded (n_trees x < 2 * sample_size nodes) and is broadcast to
 an Arrow-batched ``pandas_udf`` that scores every row.  The cut is the
@@ -21,8 +21,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.functions.hashing import hash60, uniform
-from assay.functions.stats import attach, one_row, quantile
+from assay.functions.hashing import hash60
+from assay.functions.stats import attach, quantile_row
+from assay.session import ensure_checkpoint_dir
 
 TREE_SCHEMA = "tree long, feat array<int>, thr array<double>, left array<int>, right array<int>, size array<int>"
 
@@ -75,12 +76,18 @@ def _grow(features: Sequence[str], sample_size: int, seed: int):
 def fit_isolation_forest(df: DataFrame, id_col: str, features: Sequence[str], n_trees: int = 100,
                          sample_size: int = 256, seed: int = 42) -> DataFrame:
     """Grow the forest; returns the tree table (n_trees rows)."""
-    n = df.count()
+    return _grow_forest(df, id_col, features, n_trees, sample_size, seed, df.count())
+
+
+def _grow_forest(df, id_col, features, n_trees, sample_size, seed, n):
     psi = min(sample_size, n)
-    p = min(1.0, 2.0 * n_trees * psi / max(n, 1))
-    cand = df.where(uniform(F.col(id_col), seed, "if-sample") < p).select(
-        id_col, *features, (hash60(F.col(id_col), seed, "if-tree") % n_trees).alias("tree"),
-        hash60(F.col(id_col), seed, "if-order").alias("__h"))
+    # twice the wanted rows in expectation: fewer than psi come through with a chance below 1e-9 at psi = 256;
+    # small samples get a wider margin, and below it every row stands for every tree
+    share = (2.0 * psi + 64) / max(n, 1)
+    h = hash60(F.col(id_col), seed, "if-tree", F.col("tree"))
+    trees = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_trees - 1).cast("long")))
+    cand = df.select(id_col, *features, trees.alias("tree")).select("*", h.alias("__h")).where(
+        F.col("__h") < F.lit(int(min(1.0, share) * (1 << 60))))
     w = Window.partitionBy("tree").orderBy("__h", id_col)
     sample = cand.select("*", F.row_number().over(w).alias("__r")).where(F.col("__r") <= psi)
     return sample.groupBy("tree").applyInPandas(_grow(features, psi, seed), TREE_SCHEMA)
@@ -123,26 +130,18 @@ def isolation_forest(df: DataFrame, id_col: str, features: Sequence[str], contam
                      relative_error: float | None = 1e-4) -> DataFrame:
     """C14: score every row and flag the top ``contamination`` share as outliers.
 
-    Nulls in the features are filled by the column median first.  The cut is
-    a percentile of the scores (sketch-based by default: scores are continuous).
+    Nulls in the features are filled by the column median first.  The cut is a quantile of the scores (sketch-based by
+    default: scores are continuous).  The filled rows and the scores are written to the shared checkpoint folder, since
+    several passes read them and a lost executor must not grow another forest.
     """
     from assay.operators.clean import impute_median
-    from pyspark import StorageLevel
-    filled = impute_median(df, list(features)).persist(StorageLevel.MEMORY_AND_DISK)
-    trees = fit_isolation_forest(filled, id_col, features, n_trees, sample_size, seed)
-    psi = min(sample_size, max(1, filled.count()))
-    # the scorer is CPU-bound Python: never run it on fewer tasks than the cluster has cores
-    par = filled.sparkSession.sparkContext.defaultParallelism
-    if filled.rdd.getNumPartitions() < par:
-        filled = filled.repartition(par)
-    # scores feed both the cut and the output: keep them (recomputed deterministically on loss)
-    s = score_isolation_forest(filled, trees, features, psi).persist(StorageLevel.MEMORY_AND_DISK)
-    cut = one_row(s, {"__cut": quantile("anomaly_score", 1 - contamination, relative_error)})
+    ensure_checkpoint_dir(df.sparkSession)
+    filled = impute_median(df, list(features)).checkpoint()
+    n = filled.count()
+    trees = _grow_forest(filled, id_col, features, n_trees, sample_size, seed, n)
+    # the scorer is CPU-bound Python: deal the rows evenly, whatever the partitions of the input
+    dealt = filled.repartition(F.col(id_col))
+    s = score_isolation_forest(dealt, trees, features, min(sample_size, max(1, n))).checkpoint()
+    cut = quantile_row(s, {"__cut": ("anomaly_score", 1 - contamination)}, relative_error)
     return attach(s, cut).select(*df.columns, "anomaly_score",
                                  (F.col("anomaly_score") > F.col("__cut")).alias("is_outlier"))
-
-
-def remove_outliers(df: DataFrame, id_col: str, features: Sequence[str], contamination: float = 0.05,
-                    seed: int = 42) -> DataFrame:
-    return isolation_forest(df, id_col, features, contamination, seed=seed).where(~F.col("is_outlier")) \
-        .drop("anomaly_score", "is_outlier")

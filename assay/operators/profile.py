@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.functions.stats import attach, one_row, quantile
+from assay.functions.stats import attach, attach_by, one_row, quantile_row
 
 
 def _unpivot(wide: DataFrame, cols: Sequence[str], stats: Sequence[str], key: str = "feature") -> DataFrame:
@@ -26,11 +26,11 @@ def _unpivot(wide: DataFrame, cols: Sequence[str], stats: Sequence[str], key: st
 def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """A2: null count and percent per column, one pass."""
     cols = list(cols or df.columns)
-    ex = {f"{c}__n_null": F.sum(F.col(c).isNull().cast("bigint")) for c in cols}
+    ex = {f"{c}__n_null": F.count_if(F.col(c).isNull()) for c in cols}
     ex["__n"] = F.count(F.lit(1))
     w = one_row(df, ex)
     w = w.select(*[F.col(f"{c}__n_null").alias(f"{c}__n_null") for c in cols],
-                 *[(F.col(f"{c}__n_null") * 100.0 / F.col("__n")).alias(f"{c}__pct_null") for c in cols])
+                 *[F.coalesce(F.try_divide(F.col(f"{c}__n_null") * 100.0, F.col("__n")), F.lit(0.0)).alias(f"{c}__pct_null") for c in cols])
     return _unpivot(w, cols, ["n_null", "pct_null"])
 
 
@@ -40,9 +40,10 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 def value_share(df: DataFrame, col: str) -> DataFrame:
-    """A4: percent of rows per value; the total is a window over the small count table."""
+    """A4: percent of rows per value; the total is a scalar subquery over the count table."""
     c = value_counts(df, col)
-    return c.select(col, "n", (F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy())).alias("pct"))
+    return attach(c, c.agg(F.sum("n").alias("__total"))).select(
+        col, "n", (F.col("n") * 100.0 / F.col("__total")).alias("pct"))
 
 
 def describe(df: DataFrame, cols: Sequence[str], relative_error: float | None = None) -> DataFrame:
@@ -53,9 +54,8 @@ def describe(df: DataFrame, cols: Sequence[str], relative_error: float | None =
         ex[f"{c}__mean"] = F.avg(c)
         ex[f"{c}__std"] = F.stddev_samp(c)
         ex[f"{c}__min"] = F.min(c).cast("double")
-        ex[f"{c}__q"] = quantile(c, [0.25, 0.5, 0.75], relative_error)
         ex[f"{c}__max"] = F.max(c).cast("double")
-    w = one_row(df, ex)
+    w = attach(one_row(df, ex), quantile_row(df, {f"{c}__q": (c, [0.25, 0.5, 0.75]) for c in cols}, relative_error))
     w = w.select("*", *[F.col(f"{c}__q")[i].alias(f"{c}__{n}") for c in cols
                         for i, n in enumerate(["p25", "p50", "p75"])])
     return _unpivot(w, cols, ["count", "mean", "std", "min", "p25", "p50", "p75", "max"])
@@ -68,15 +68,15 @@ def range_profile(df: DataFrame, cols: Sequence[str], relative_error: float | No
         ex[f"{c}__min"] = F.min(c).cast("double")
         ex[f"{c}__max"] = F.max(c).cast("double")
         ex[f"{c}__mean"] = F.avg(c)
-        ex[f"{c}__median"] = quantile(c, 0.5, relative_error)
         ex[f"{c}__n_non_negative"] = F.sum((F.col(c) >= 0).cast("bigint"))
-    return _unpivot(one_row(df, ex), cols, ["min", "max", "mean", "median", "n_non_negative"])
+    w = attach(one_row(df, ex), quantile_row(df, {f"{c}__median": (c, 0.5) for c in cols}, relative_error))
+    return _unpivot(w, cols, ["min", "max", "mean", "median", "n_non_negative"])
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
               relative_error: float | None = None) -> DataFrame:
     """Linear-interpolated quantiles, long form (feature, p, value)."""
-    w = one_row(df, {c: quantile(c, list(probs), relative_error) for c in cols})
+    w = quantile_row(df, {c: (c, list(probs)) for c in cols}, relative_error)
     arr = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(p).alias("p"), F.col(c)[i].alias("value"))
                     for c in cols for i, p in enumerate(probs)])
     return w.select(F.inline(arr))
@@ -117,15 +117,18 @@ def class_balance(df: DataFrame, col: str) -> DataFrame:
 def class_weights(df: DataFrame, col: str) -> DataFrame:
     """Balanced weights n / (k * n_c)."""
     c = value_counts(df, col)
-    w = Window.partitionBy()
-    return c.select(col, "n", (F.sum("n").over(w) / (F.count(F.lit(1)).over(w) * F.col("n"))).alias("weight"))
+    t = c.agg(F.sum("n").alias("__total"), F.count(F.lit(1)).alias("__k"))
+    return attach(c, t).select(col, "n", (F.col("__total") / (F.col("__k") * F.col("n"))).alias("weight"))
 
 
 def histogram(df: DataFrame, col: str, bins: int = 20, by: str | None = None) -> DataFrame:
-    """Equal-width bins over [min, max], last bin closed; empty bins kept."""
+    """Equal-width bins over [min, max], last bin closed; empty bins kept.
+
+    A constant column has all its rows in bin 0 and bins of width 0.
+    """
     st = one_row(df, {"__lo": F.min(col), "__hi": F.max(col)})
     width = (F.col("__hi") - F.col("__lo")) / bins
-    b = F.least(F.floor((F.col(col) - F.col("__lo")) / width), F.lit(bins - 1)).cast("int")
+    b = F.least(F.floor(F.coalesce(F.try_divide(F.col(col) - F.col("__lo"), width), F.lit(0.0))), F.lit(bins - 1)).cast("int")
     keys = [by] if by else []
     counts = (attach(df.where(F.col(col).isNotNull()), st).select(*keys, b.alias("bin"))
               .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n")))
@@ -141,9 +144,9 @@ def histogram(df: DataFrame, col: str, bins: int = 20, by: str | None = None) ->
 def box_stats(df: DataFrame, col: str, by: str, k: float = 1.5,
               relative_error: float | None = None) -> DataFrame:
     """Quartiles, whiskers at the outermost data points inside the fences, outlier count."""
-    q = df.groupBy(by).agg(quantile(col, [0.25, 0.5, 0.75], relative_error).alias("__q"))
+    q = quantile_row(df, {"__q": (col, [0.25, 0.5, 0.75])}, relative_error, by)
     q = q.select(by, F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"), F.col("__q")[2].alias("q3"))
-    j = df.select(by, col).join(q, by)  # one row per class: AQE broadcasts it
+    j = attach_by(df.select(by, col).where(F.col(by).isNotNull()), q, by)
     lo = F.col("q1") - k * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + k * (F.col("q3") - F.col("q1"))
     x = F.col(col)
@@ -153,7 +156,7 @@ def box_stats(df: DataFrame, col: str, by: str, k: float = 1.5,
 
 
 def kde(df: DataFrame, col: str, by: str, points: int = 32) -> DataFrame:
-    """Gaussian kernel density per group on a shared grid.
+    """Gaussian kernel density per group on a shared grid (null for a group of one value, which has no bandwidth).
 
     Bandwidth is Scott's rule (sample std * n^(-1/5)) per group.  Each row is
     expanded by a generator over the fixed grid (``points`` rows, no join)
@@ -161,14 +164,14 @@ def kde(df: DataFrame, col: str, by: str, points: int = 32) -> DataFrame:
     """
     rng = one_row(df, {"__lo": F.min(col), "__hi": F.max(col)})
     bw = df.groupBy(by).agg((F.stddev_samp(col) * F.pow(F.count(col), -0.2)).alias("__h"))
-    j = attach(df.select(by, col).where(F.col(col).isNotNull()), rng).join(bw, by)
+    j = attach_by(attach(df.select(by, col).where(F.col(col).isNotNull() & F.col(by).isNotNull()), rng), bw, by)
     g = F.col("__lo") + F.col("__i") * (F.col("__hi") - F.col("__lo")) / (points - 1)
     e = j.select(by, col, "__h", "__lo", "__hi", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("__i"))
-    u = (g - F.col(col)) / F.col("__h")
+    u = F.try_divide(g - F.col(col), F.col("__h"))
     return (e.groupBy(by, "__i", "__lo", "__hi", "__h")
             .agg(F.avg(F.exp(-u * u / 2)).alias("__m"))
             .select(by, F.col("__i").alias("grid_index"), g.alias("x"),
-                    (F.col("__m") / (F.col("__h") * math.sqrt(2 * math.pi))).alias("density")))
+                    F.try_divide(F.col("__m"), F.col("__h") * math.sqrt(2 * math.pi)).alias("density")))
 
 
 def pair_bins(df: DataFrame, a: str, b: str, by: str, bins: int = 10) -> DataFrame:
@@ -176,7 +179,8 @@ def pair_bins(df: DataFrame, a: str, b: str, by: str, bins: int = 10) -> DataFra
     st = one_row(df, {"__alo": F.min(a), "__ahi": F.max(a), "__blo": F.min(b), "__bhi": F.max(b)})
 
     def bidx(c, lo, hi):
-        return F.least(F.floor((F.col(c) - F.col(lo)) / ((F.col(hi) - F.col(lo)) / bins)), F.lit(bins - 1)).cast("int")
+        share = F.try_divide(F.col(c) - F.col(lo), (F.col(hi) - F.col(lo)) / bins)  # null: a constant column, one bin
+        return F.least(F.floor(F.coalesce(share, F.lit(0.0))), F.lit(bins - 1)).cast("int")
     j = attach(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()), st)
     return (j.select(by, bidx(a, "__alo", "__ahi").alias("bin_a"), bidx(b, "__blo", "__bhi").alias("bin_b"))
             .groupBy(by, "bin_a", "bin_b").agg(F.count(F.lit(1)).alias("n")))

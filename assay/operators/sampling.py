@@ -22,10 +22,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions.hashing import hash60, uniform
-from assay.functions.stats import attach, one_row
+from assay.functions.stats import attach, attach_by, one_row
 
 SALT_BITS = 16          # 65,536 salt buckets per class
 SLOT_CHUNK = 4096       # bound on the array a generator materialises
+MAX_SALTS = 1024        # copies of a row that is picked very often
 
 
 def rank_within(df: DataFrame, keys: Sequence[str], order_key: Column, tiebreak: str,
@@ -112,15 +113,20 @@ def _draws(ranked: DataFrame, label: str, seed: int, cols: Sequence[str]) -> Dat
     src = ranked.where(rk < t)
     per_row = F.ceil((t - rk) / n).cast("bigint")
     chunks = F.sequence(F.lit(0).cast("bigint"), F.ceil(per_row / SLOT_CHUNK).cast("bigint") - 1)
-    s = src.select(label, "__n", "__rk", "__target", per_row.alias("__m"), F.explode(chunks).alias("__c"))
+    # a row of a tiny class is picked very often: its slots carry a salt, and it has a copy for each salt.  The salts
+    # of a class grow with its draws per row, so classes that are drawn a few times per row have one
+    salts = F.least(F.greatest(F.ceil(t / n / SLOT_CHUNK), F.lit(1)), F.lit(MAX_SALTS)).cast("int")
+    s = src.select(label, "__n", "__rk", salts.alias("__salts"), per_row.alias("__m"), F.explode(chunks).alias("__c"))
+    # a row of a tiny class has many chunks: deal them over all tasks before they are expanded
+    s = s.repartition(F.col("__rk"), F.col("__c"))
     inner = F.sequence(F.lit(0).cast("bigint"),
                        F.least(F.lit(SLOT_CHUNK).cast("bigint"), F.col("__m") - F.col("__c") * SLOT_CHUNK) - 1)
-    s = s.select(label, "__n", "__rk", "__c", F.explode(inner).alias("__i"))
+    s = s.select(label, "__n", "__rk", "__salts", "__c", F.explode(inner).alias("__i"))
     k = F.col("__rk") + (F.col("__c") * SLOT_CHUNK + F.col("__i")) * F.col("__n")
-    slots = s.select(label, k.alias("draw"),
-                     (hash60(F.col(label), seed, k) % F.col("__n")).alias("__pick"))
-    rows = ranked.select(*cols, F.col("__rk").alias("__pick"))
-    return slots.join(rows, [label, "__pick"]).select(*cols, "draw")
+    slots = s.select(label, k.alias("draw"), (hash60(F.col(label), seed, k) % F.col("__n")).alias("__pick"),
+                     F.pmod(F.xxhash64(k), F.col("__salts")).cast("int").alias("__salt"))
+    rows = ranked.select(*cols, rk.alias("__pick"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("__salt"))
+    return slots.join(rows, [label, "__pick", "__salt"]).select(*cols, "draw")
 
 
 def resample_to(df: DataFrame, label: str, id_col: str, target: DataFrame, seed: int = 42,
@@ -176,12 +182,12 @@ def add_noise(df: DataFrame, label: str, id_col: str, cols: Sequence[str], scale
     """Gaussian noise N(0, scale * std_c) on ``cols`` of the drawn rows only.
 
     std_c is the sample std of the column over the drawn rows of class c
-    (a per-class aggregate joined back).  Continuous columns only: flags and
+    (a per-class aggregate that reaches the rows as a map).  Continuous columns only: flags and
     codes must not be passed here.
     """
     drawn = df.where(F.col("draw").isNotNull())
     sd = drawn.groupBy(label).agg(*[F.stddev_samp(c).alias(f"__sd_{c}") for c in cols])
-    j = df.join(sd, label, "left")
+    j = attach_by(df, sd, label)
     out = []
     for c in df.columns:
         if c in cols:
@@ -202,30 +208,47 @@ def balance_noise(df: DataFrame, label: str, id_col: str, cols: Sequence[str], f
     return add_noise(resample_to(df, label, id_col, t, seed), label, id_col, cols, scale, seed)
 
 
+POISSON_PIECE = 256.0   # largest rate drawn by one inverse-CDF search (exp(-256) is far from underflow)
+
+
+def _poisson(lam: Column, *key) -> Column:
+    """Poisson draw of rate ``lam`` as a sum of draws of at most ``POISSON_PIECE`` each, every one with a hash of its own."""
+    pieces = F.greatest(F.ceil(lam / POISSON_PIECE), F.lit(1)).cast("int")
+    part = lam / pieces
+
+    def draw(i):
+        u = uniform(*key, "poisson", i)
+        p0 = F.exp(-part)
+        steps = F.sequence(F.lit(1), F.ceil(part + 12 * F.sqrt(part) + 24).cast("int"))
+        zero = F.struct(p0.alias("pm"), p0.alias("cdf"), F.when(p0 >= u, 0).otherwise(-1).alias("ans"))
+
+        def step(acc, m):
+            pm = acc["pm"] * part / m
+            cdf = acc["cdf"] + pm
+            ans = F.when((acc["ans"] < 0) & (cdf >= u), m).otherwise(acc["ans"])
+            return F.struct(pm.alias("pm"), cdf.alias("cdf"), ans.alias("ans"))
+
+        # beyond 12 standard deviations the CDF is 1 to the last bit
+        found = F.aggregate(steps, zero, step, lambda acc: acc["ans"])
+        return F.when(found < 0, F.ceil(part + 12 * F.sqrt(part) + 24).cast("int")).otherwise(found).cast("bigint")
+
+    return F.aggregate(F.sequence(F.lit(1), pieces), F.lit(0).cast("bigint"), lambda acc, i: acc + draw(i))
+
+
 def poisson_oversample(df: DataFrame, label: str, id_col: str, seed: int = 42) -> DataFrame:
-    """Scale variant of R1 without ranks: each row of class c is copied
-    Poisson(target / n_c) times (inverse-CDF from its hash), so the class size
-    is target in expectation; no sort, one small count table."""
+    """Scale variant of R1 without ranks: each row of class c is copied Poisson(target / n_c) times, so the class size is
+    target in expectation; no sort, and the class rates reach the rows as a map.
+
+    Copies are emitted in chunks of ``SLOT_CHUNK`` that are spread over tasks before they are expanded, so that a row of
+    a tiny class neither holds all its copies at once nor fills one task.  Rows of a null class are left out.
+    """
     sizes = _class_sizes(df, label)
-    t = one_row(sizes, {"__target": F.max("__n")})
-    rate = attach(sizes, t).select(label, (F.col("__target") / F.col("__n")).alias("__lam"))
-    j = df.join(rate, label)
-    # copies = smallest m with CDF(m) >= u, searched up to lambda + 10 sqrt(lambda) + 16
-    u = uniform(F.col(id_col), seed, "poisson")
-    lam = F.col("__lam")
-    m_max = F.ceil(lam + 10 * F.sqrt(lam) + 16).cast("int")
-    p0 = F.exp(-lam)
-    init = F.struct(p0.alias("pm"), p0.alias("cdf"),
-                    F.when(p0 >= u, F.lit(0)).otherwise(F.lit(-1)).alias("ans"))
-
-    def step(acc, m):
-        pm = acc["pm"] * lam / m
-        cdf = acc["cdf"] + pm
-        ans = F.when((acc["ans"] < 0) & (cdf >= u), m).otherwise(acc["ans"])
-        return F.struct(pm.alias("pm"), cdf.alias("cdf"), ans.alias("ans"))
-
-    res = F.aggregate(F.sequence(F.lit(1), m_max), init, step)
-    copies = F.when(res["ans"] < 0, m_max).otherwise(res["ans"])
-    out = j.select(*df.columns, copies.alias("__copies"))
-    return out.select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("draw")) \
-        .where(F.col("__copies") > 0)
+    rate = attach(sizes, one_row(sizes, {"__target": F.max("__n")})).select(
+        label, (F.col("__target") / F.col("__n")).alias("__lam"))
+    j = attach_by(df, rate, label).where(F.col("__lam").isNotNull())
+    out = j.select(*df.columns, _poisson(F.col("__lam"), F.col(id_col), seed).alias("__m")).where(F.col("__m") > 0)
+    chunk = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__m") - 1) / SLOT_CHUNK))).alias("__c")
+    spread = out.select("*", chunk).repartition(F.col(id_col), F.col("__c"))
+    first = F.col("__c") * SLOT_CHUNK + 1
+    return spread.select(*df.columns, F.explode(F.sequence(
+        first, F.least(F.col("__m"), first + (SLOT_CHUNK - 1)))).alias("draw"))

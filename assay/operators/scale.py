@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.functions.stats import attach, one_row, quantile
+from assay.functions.stats import attach, one_row, quantile_row
 
 
 def fit_standard(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -28,12 +28,13 @@ def standard_scale(df: DataFrame, cols: Sequence[str], stats: DataFrame | None =
 
 
 def fit_robust(df: DataFrame, cols: Sequence[str], relative_error: float | None = None) -> DataFrame:
-    return one_row(df, {f"{c}__q": quantile(c, [0.25, 0.5, 0.75], relative_error) for c in cols})
+    return quantile_row(df, {f"{c}__q": (c, [0.25, 0.5, 0.75]) for c in cols}, relative_error)
 
 
-def robust_scale(df: DataFrame, cols: Sequence[str], stats: DataFrame | None = None) -> DataFrame:
+def robust_scale(df: DataFrame, cols: Sequence[str], stats: DataFrame | None = None,
+                 relative_error: float | None = None) -> DataFrame:
     """(x - median) / IQR (sklearn RobustScaler); IQR 0 -> divide by 1."""
-    stats = stats if stats is not None else fit_robust(df, cols)
+    stats = stats if stats is not None else fit_robust(df, cols, relative_error)
     j = attach(df, stats)
     out = []
     for c in df.columns:
@@ -49,10 +50,13 @@ def robust_scale(df: DataFrame, cols: Sequence[str], stats: DataFrame | None = N
 def pca(df: DataFrame, cols: Sequence[str], k: int = 2):
     """Z3: centre (Z1), then ``ml.feature.PCA``; returns (projected df, explained variance list).
 
-    Components are sign-normalised so the largest-magnitude loading is positive.
+    Nulls take the column mean (0 after centring), so every row comes back; a column without any value is refused.
     """
     from pyspark.ml.feature import PCA, VectorAssembler
-    z = standard_scale(df, cols)
-    va = VectorAssembler(inputCols=list(cols), outputCol="__x", handleInvalid="skip")
+    void = [c for c, n in df.agg(*[F.count(c).alias(c) for c in cols]).first().asDict().items() if not n]
+    if void:
+        raise ValueError(f"columns without any value: {void}")
+    z = standard_scale(df, cols).na.fill(0.0, list(cols))
+    va = VectorAssembler(inputCols=list(cols), outputCol="__x", handleInvalid="error")
     model = PCA(k=k, inputCol="__x", outputCol="pca").fit(va.transform(z))
     return model.transform(va.transform(z)).drop("__x"), list(model.explainedVariance), model

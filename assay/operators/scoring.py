@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.functions.stats import one_row, quantile
+from assay.functions.stats import attach, one_row, quantile_row
 
 
 def fit_scoring_pipeline(train: DataFrame, features: Sequence[str], label: str = "label",
@@ -36,8 +36,10 @@ def batch_score(model: PipelineModel, df: DataFrame, id_col: str, keep: Sequence
                     *[arr[i].alias(f"p_{lab}") for i, lab in enumerate(labels)])
 
 
-def median_record(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = ()) -> DataFrame:
+def median_record(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (),
+                  relative_error: float | None = None) -> DataFrame:
     """The median of every numeric column and the mode of every categorical one (one row)."""
-    ex = {c: quantile(c, 0.5) for c in numeric}
-    ex.update({c: F.mode(F.col(c), True) for c in categorical})
-    return one_row(df, ex)
+    med = quantile_row(df, {c: (c, 0.5) for c in numeric}, relative_error)
+    if not categorical:
+        return med
+    return attach(one_row(df, {c: F.mode(F.col(c), True) for c in categorical}), med).select(*numeric, *categorical)

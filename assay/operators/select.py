@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.functions.stats import quantile
+from assay.functions.stats import attach_by, quantile_row
 
 
 def to_long(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -46,18 +46,20 @@ def mutual_information(long: DataFrame, label: str = "label", q: int = 5,
     """F2 (re-aimed): MI between the quintile bin of each feature and the label.
 
     Bins follow M14 (right-closed, duplicate edges collapse); the contingency
-    table is a group-by on (feature, bin, label).
+    table is a group-by on (feature, bin, label).  The edges (one row per feature) reach the rows as a map.
     """
     ps = [i / q for i in range(1, q)]
-    edges = long.groupBy("feature").agg(F.array_distinct(quantile("value", ps, relative_error)).alias("__e"))
-    j = long.where(F.col("value").isNotNull()).join(edges, "feature")
+    edges = quantile_row(long, {"__q": ("value", ps)}, relative_error, "feature").select(
+        "feature", F.array_distinct("__q").alias("__e"))
+    j = attach_by(long.where(F.col("value").isNotNull()), edges, "feature")
     b = F.size(F.filter(F.col("__e"), lambda e: e < F.col("value")))
     ct = j.groupBy("feature", b.alias("bin"), label).agg(F.count(F.lit(1)).alias("n"))
     wf = Window.partitionBy("feature")
     nb = F.sum("n").over(Window.partitionBy("feature", "bin"))
     nc = F.sum("n").over(Window.partitionBy("feature", label))
     nt = F.sum("n").over(wf)
-    t = ct.select("feature", (F.col("n") / nt * F.log((F.col("n") * nt) / (nb * nc))).alias("term"))
+    n, nt, nb, nc = (x.cast("double") for x in (F.col("n"), nt, nb, nc))
+    t = ct.select("feature", (n / nt * F.log((n * nt) / (nb * nc))).alias("term"))
     return t.groupBy("feature").agg(F.sum("term").alias("mi"))
 
 
@@ -109,8 +111,3 @@ def union_of(sets: Sequence[DataFrame]) -> DataFrame:
     for s in sets[1:]:
         u = u.union(s.select("feature"))
     return u.distinct()
-
-
-def minus(a: DataFrame, names: Sequence[str], spark) -> DataFrame:
-    """Features of ``a`` not in ``names`` (anti join on a literal list)."""
-    return a.select("feature").where(~F.col("feature").isin(list(names)))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from assay.functions.stats import attach, r6
 from assay.functions.text import (normalize_category, normalize_target, parse_number,
-                                  sanitize_value, strip_numeric_symbols)
+                                  sanitize_value, strip_numeric_symbols, title_case)
 from assay.operators import clean
 from assay.plans.registry import register
-from assay.sources.tables import read_table, require_columns
+from assay.session import ensure_checkpoint_dir
+from assay.sources.tables import read_delimited, read_table, require_columns, write_csv
 from assay.sources.views import obs, obs_raw
 
 # Fixed values used by the cleaning queries.
@@ -44,6 +47,24 @@ def scan_pruned(spark, sf):
     return obs(spark, sf).select("obs_id", "total_price", "acct_bal", "label")
 
 
+@register("csv_by_name", "select c_mktsegment, cast(c_custkey as varchar) as c_custkey from customer")
+def csv_by_name(spark, sf):
+    """``customer`` as a delimited table, two of its columns read back by name, in another order."""
+    path = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    write_csv(read_table(spark, sf, "customer"), path)
+    return read_delimited(spark, path, ["c_mktsegment", "c_custkey"])
+
+
+@register("title_case", r"""
+select o_orderkey, array_to_string(list_transform(regexp_extract_all(
+    lower(o_orderpriority || ' of o''neil b-cell'), '(\p{L}+|[^\p{L}]+)', 1), lambda w: upper(w[1]) || w[2:]), '') as title
+from orders""")
+def title_of(spark, sf):
+    """Title case after every non-letter, on texts of several words."""
+    t = F.concat("o_orderpriority", F.lit(" of o'neil b-cell"))
+    return read_table(spark, sf, "orders").select("o_orderkey", title_case(t).alias("title"))
+
+
 @register("sanitize_text", r"""
 select obs_id, regexp_replace(nation || ' / ' || priority, '[^\w\-_.]', '_', 'g') as safe_name from obs""",
           ("obs",))
@@ -311,4 +332,4 @@ def iqr_cap_guarded(spark, sf):
 def impute_regression(spark, sf):
     """C11: regression imputation of qty_sum from price and balance (rows-only check)."""
     o = obs(spark, sf).select("obs_id", "qty_sum", "total_price", "acct_bal")
-    return clean.impute_regression(o, "qty_sum", ["total_price", "acct_bal"])
+    return clean.impute_regression(o, ["qty_sum", "total_price", "acct_bal"])

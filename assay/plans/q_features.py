@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assay.functions.stats import attach, one_row, quantile, r6
+from assay.functions.stats import attach, one_row, quantile_row, r6
 from assay.operators import clean, features as fe
 from assay.plans.registry import register
 from assay.sources.views import obs
@@ -46,17 +46,15 @@ from g group by label, qty_bin
 def feature_summary(spark, sf):
     """Flagship: C7 median fill -> C12 IQR cap -> M1, M8, M9, M13 -> A3 per class.
 
-    All statistics come from ONE aggregate pass over ``obs`` (one broadcast
-    row); the per-row work is a single projection and the output a map-side
-    combined group-by on (label, bin).
+    The statistics are one-row tables (moments, and exact quantiles read off value counts near the wanted ranks); the
+    per-row work is a single projection and the output a map-side combined group-by on (label, bin).
     """
     o = obs(spark, sf)
-    st = one_row(o, {
-        "qty_sum__median": quantile("qty_sum", 0.5),
-        "total_price__q1": quantile("total_price", 0.25), "total_price__q3": quantile("total_price", 0.75),
-        "acct_bal__q1": quantile("acct_bal", 0.25), "acct_bal__q3": quantile("acct_bal", 0.75),
-        "acct_bal__mean": F.avg("acct_bal"), "acct_bal__sd": F.stddev_samp("acct_bal")})
-    j = attach(o, st)
+    moments = one_row(o, {"acct_bal__mean": F.avg("acct_bal"), "acct_bal__sd": F.stddev_samp("acct_bal")})
+    points = quantile_row(o, {
+        "qty_sum__median": ("qty_sum", 0.5), "total_price__q1": ("total_price", 0.25),
+        "total_price__q3": ("total_price", 0.75), "acct_bal__q1": ("acct_bal", 0.25), "acct_bal__q3": ("acct_bal", 0.75)})
+    j = attach(attach(o, moments), points)
     qty_f = F.coalesce(F.col("qty_sum"), F.col("qty_sum__median"))
     price_c = clean.cap_expr("total_price", 1.5, False)
     g = j.select(

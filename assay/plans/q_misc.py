@@ -68,7 +68,7 @@ def imputer_model(spark, sf):
     """``ml.feature.Imputer(strategy='median')`` fitted on train, applied to test."""
     o = obs(spark, sf).select("obs_id", "qty_sum")
     u = uniform(F.col("obs_id"), "split")
-    m = clean.fit_imputer_model(o.where(u >= 0.2), ["qty_sum"], relative_error=0.0)
+    m = clean.fit_imputer_model(o.where(u >= 0.2), ["qty_sum"])
     return m.transform(o.where(u < 0.2))
 
 
@@ -118,7 +118,7 @@ def stream_score(spark, sf):
     b, model = _scoring_model(spark, sf)
     run_id = uuid.uuid4().hex
     src = scratch_dir(spark, "stream", run_id, "in")
-    b.repartition(4).write.mode("overwrite").parquet(src)
+    b.write.mode("overwrite").parquet(src)
     schema = spark.read.parquet(src).schema
     sink, ck = scratch_dir(spark, "stream", run_id, "out"), scratch_dir(spark, "stream", run_id, "ck")
     run(spark, model, src, schema, sink, ck, "id", ["label"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from assay.functions.hashing import sql_hash60, sql_uniform
 from assay.operators import sampling as sa
 from assay.plans.registry import register
+from assay.sources.tables import read_table
 from assay.sources.views import doc_obs, obs
 
 SEED = 42
@@ -76,12 +77,12 @@ def balance_max(spark, sf):
 
 
 @register("balance_median_band", _draw_sql(
-    "select doc_id, lang from doc_obs", "lang", "doc_id",
+    "select doc_id, lang from documents", "lang", "doc_id",
     "select cast(floor(median(n) * 1.2) as bigint) as target from (select lang, count(*) as n from b group by lang) x",
-    under=1.5), ("doc_obs",))
+    under=1.5))
 def balance_median_band(spark, sf):
     """R2: int(1.2 * median) target; over below, under above 1.5 * target."""
-    return sa.balance_median_band(doc_obs(spark, sf).select("doc_id", "lang"), "lang", "doc_id", SEED)
+    return sa.balance_median_band(read_table(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id", SEED)
 
 
 @register("balance_noise")

@@ -36,8 +36,8 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    The cluster's ``spark.checkpoint.dir`` wins; a scratch folder is set only
-    when the setting is missing (local tests).
+    The cluster's ``spark.checkpoint.dir`` wins.  Where it is missing, a scratch folder is set on a local master only
+    (tests): elsewhere executors would each write to their own disk, so the call fails.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -45,6 +45,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="assay-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,16 +19,41 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+CORRUPT = "_corrupt_record"
+
+
+def _delimited(spark: SparkSession, path: str, sep: str, header: bool, names: Sequence[str] | None,
+               prune: bool = True) -> DataFrame:
+    """All columns of a delimited table as text, named by its header (or by ``names`` where it has none)."""
+    read = spark.read.option("header", header).option("sep", sep).option("mode", "PERMISSIVE")
+    found = read.csv(path).columns if header else list(names or [])
+    fields = [T.StructField(c, T.StringType(), True) for c in [*found, CORRUPT]]
+    # files whose header names other columns, or another order, are an error and not misread
+    return read.option("columnPruning", prune).option("enforceSchema", not header).option("columnNameOfCorruptRecord", CORRUPT).schema(
+        T.StructType(fields)).csv(path)
+
+
 def read_delimited(spark: SparkSession, path: str, columns: Iterable[str],
                    sep: str = ",", header: bool = True) -> DataFrame:
-    """Delimited scan with every column read as text.
+    """The named columns of a delimited table, in the order given, every one read as text.
 
-    No schema inference (it costs a full pass and guesses differently per
-    file); types are decided later with ``try_cast`` behind a numeric regex.
+    With a header, columns are found by their name, whatever their place, and only the ones asked for are parsed; a name
+    that the header lacks raises.  Without a header, ``columns`` names all columns by place.  No schema is inferred (it
+    costs a pass and guesses differently per file); types are decided later with ``try_cast`` behind a numeric regex.
     """
-    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
-    return (spark.read.schema(schema).option("header", header).option("sep", sep)
-            .option("mode", "PERMISSIVE").csv(path))
+    columns = list(columns)
+    table = _delimited(spark, path, sep, header, columns).drop(CORRUPT)
+    return require_columns(table, columns).select(*[F.col(f"`{c}`") for c in columns])
+
+
+def malformed_rows(spark: SparkSession, path: str, sep: str = ",", columns: Iterable[str] = ()) -> DataFrame:
+    """One row ``n_rows, n_malformed``: rows with too few or too many fields.  ``columns``: names, without a header."""
+    names = list(columns)
+    table = _delimited(spark, path, sep, not names, names, prune=False)  # all fields of a row must be parsed
+    # the reader wants another column besides the corrupt record: the first field's count takes part in the total
+    first = F.count(F.col(f"`{table.columns[0]}`"))
+    return table.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(CORRUPT).isNotNull()).alias("n_malformed"),
+                     first.alias("__first")).where("__first >= 0").select("n_rows", "n_malformed")
 
 
 def require_columns(df: DataFrame, required: Iterable[str]) -> DataFrame:

@@ -68,7 +68,7 @@ def test_balance_noise_sizes_and_noise_only_on_draws(spark):
 
 def test_balance_median_band_sizes(spark):
     b = Q["balance_median_band"](spark, SF_SMALL)
-    n = _counts(doc_obs(spark, SF_SMALL), "lang")
+    n = _counts(spark.read.parquet(f"{SF_SMALL}/documents.parquet"), "lang")
     vals = sorted(n.values())
     med = (vals[len(vals) // 2] if len(vals) % 2 else (vals[len(vals) // 2 - 1] + vals[len(vals) // 2]) / 2)
     target = int(med * 1.2)
