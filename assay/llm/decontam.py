@@ -86,6 +86,30 @@ def _frequency(vocabulary: Vocabulary):
     return run
 
 
+def _sum_words(vectors: np.ndarray, code: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sum of the vectors of each passage's words: first words of all passages, then second words, and so on."""
+    first = np.cumsum(size) - size
+    out = np.zeros((len(size), vectors.shape[1]), np.float32)
+    for k in range(int(size.max(initial=0))):
+        at = np.flatnonzero(size > k)
+        out[at] += vectors[code[first[at] + k]]
+    return out
+
+
+def _add_passages(total: np.ndarray, y: np.ndarray, code: np.ndarray, passage: np.ndarray, few: int = 16):
+    """Add to each word's row of ``total`` the vectors of the passages it stands in; frequent words one by one."""
+    order = np.argsort(code, kind="stable")
+    code, passage = code[order], passage[order]
+    first = np.r_[0, np.flatnonzero(code[1:] != code[:-1]) + 1]
+    count = np.diff(np.r_[first, len(code)])
+    for lo, n in zip(first[count > few].tolist(), count[count > few].tolist()):
+        total[code[lo]] += y[passage[lo: lo + n]].sum(0)
+    first, count = first[count <= few], count[count <= few]
+    for k in range(few):
+        at = first[count > k] + k
+        total[code[at]] += y[passage[at]]
+
+
 def _sketch(vocabulary: Vocabulary, idf: np.ndarray, probe: np.ndarray):
     """What the passages of a task add to ``A' A probe`` (A: passages by vocabulary), in slabs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,12 +126,8 @@ def _sketch(vocabulary: Vocabulary, idf: np.ndarray, probe: np.ndarray):
                 size = known[end] - known[start]
                 if not len(code):
                     continue
-                passage = np.repeat(np.arange(len(size)), size)
-                full = np.flatnonzero(size)
-                y = np.zeros((len(size), probe.shape[1]), np.float32)
-                y[full] = np.add.reduceat(weighed[code], (np.cumsum(size) - size)[full])
-                for k in range(probe.shape[1]):
-                    total[:, k] += np.bincount(code, y[passage, k], minlength=len(vocabulary))
+                y = _sum_words(weighed, code, size)
+                _add_passages(total, y, code, np.repeat(np.arange(len(size)), size))
         total *= idf[:, None]
         slabs = range(0, len(vocabulary), SLAB)
         yield pa.RecordBatch.from_arrays(
@@ -176,7 +196,9 @@ class Model:
         self.window_vectors = self.latent(self.window_codes)
 
     def latent(self, codes: np.ndarray) -> np.ndarray:
-        x = self.project[codes].sum(1)
+        x = self.project[codes[:, 0]]
+        for k in range(1, codes.shape[1]):
+            x += self.project[codes[:, k]]
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
     def candidates(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray):

@@ -115,3 +115,19 @@ def test_edges(spark, nasty, empty):
     twice = nasty.unionByName(nasty)
     assert decontam.find_leaks(twice, bench).where(F.col("doc_id") == 1).count() == 2 * decontam.find_leaks(
         nasty, bench).where(F.col("doc_id") == 1).count()
+
+
+def test_sums_over_passages_and_words_equal_plain_loops():
+    rng = np.random.default_rng(0)
+    size = rng.integers(0, 9, 200)
+    code = np.minimum(rng.geometric(0.15, size.sum()), 30) - 1
+    vectors = rng.normal(size=(30, 4)).astype(np.float32)
+    passage = np.repeat(np.arange(200), size)
+    y = decontam._sum_words(vectors, code, size)
+    want = np.zeros((200, 4))
+    np.add.at(want, passage, vectors[code])
+    assert np.allclose(y, want, atol=1e-5)
+    total, want = np.zeros((30, 4)), np.zeros((30, 4))
+    decontam._add_passages(total, y, code, passage)
+    np.add.at(want, code, y[passage])
+    assert np.allclose(total, want, atol=1e-4)
