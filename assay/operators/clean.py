@@ -138,14 +138,14 @@ def merge_rare_classes(df: DataFrame, col: str, min_share: float = 0.01, min_cou
 
 
 def top_k_or_other(df: DataFrame, col: str, max_levels: int = 10, keep: int = 8,
-                   other: str = "Other") -> DataFrame:
+                   other: str = "Other", fit_on: DataFrame | None = None) -> DataFrame:
     """When a column has more than ``max_levels`` values keep the ``keep``
     commonest (ties: smaller value first) and replace the rest by ``other``.
 
     The kept values are the top ``keep`` of the distinct-value counts (a distributed top-k) and reach the rows as one
-    array; neither the rows nor all distinct values are sorted or gathered, whatever the cardinality.
+    array (counted on ``fit_on``, if given); neither the rows nor all distinct values are sorted or gathered, whatever the cardinality.
     """
-    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    counts = (df if fit_on is None else fit_on).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
     levels = counts.agg((F.count(F.lit(1)) > max_levels).alias("__cut"))
     top = counts.orderBy(F.desc("n"), F.asc(col)).limit(keep).agg(
         F.collect_list(col).alias("__kept"), F.max(F.col(col).isNull()).alias("__null_kept"))

@@ -68,13 +68,13 @@ def fit_skew(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return one_row(df, ex)
 
 
-def log_if_skewed(df: DataFrame, cols: Sequence[str], threshold: float = 1.0) -> DataFrame:
-    """M7: add ``c_log`` only for columns with min > 0 and |skew| > threshold.
+def log_if_skewed(df: DataFrame, cols: Sequence[str], threshold: float = 1.0, fit_on: DataFrame | None = None) -> DataFrame:
+    """M7: add ``c_log`` only for columns with min > 0 and |skew| > threshold (of ``fit_on``, if given).
 
     The decision changes the output schema, so the one-row statistics are
     read on the driver (2 values per column) before the projection is built.
     """
-    st = fit_skew(df, cols).first()
+    st = fit_skew(df if fit_on is None else fit_on, cols).first()
     chosen = [c for c in cols
               if st[f"{c}__min"] is not None and st[f"{c}__min"] > 0
               and st[f"{c}__skew"] is not None and abs(st[f"{c}__skew"]) > threshold]

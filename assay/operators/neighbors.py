@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions.hashing import hash60, uniform
-from assay.functions.stats import attach, one_row
+from assay.functions.stats import attach, attach_by, one_row
 
 BLOCK_ROWS = 2048
 
@@ -148,7 +148,8 @@ def predict_gaussian_nb(test_long: DataFrame, model: DataFrame, label: str = "la
 def smote(df: DataFrame, label: str, k: int = 5, seed: int = 42) -> DataFrame:
     """SMOTE.  Every class below the largest gets (n_max - n_c) synthetic
     points x + u * (neighbour - x), the base chosen by hash among the class rows,
-    the neighbour among its k = min(k, n_c - 1) nearest same-class rows.
+    the neighbour among its k = min(k, n_c - 1) nearest same-class rows.  A class of one
+    row has no neighbour and stays as it is.
 
     ``df``: (id, vec, label).  Output: the input rows (synthetic = false) and
     the synthetic rows (new negative ids, synthetic = true, base and neighbour ids).
@@ -157,7 +158,7 @@ def smote(df: DataFrame, label: str, k: int = 5, seed: int = 42) -> DataFrame:
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     tgt = one_row(sizes, {"__t": F.max("__n")})
     ranked = attach(rank_within(df, [label], hash60(F.col("id"), seed, "smote"), "id"), tgt)
-    need = ranked.where(F.col("__n") < F.col("__t"))
+    need = ranked.where((F.col("__n") < F.col("__t")) & (F.col("__n") > 1))
     nn = knn(need.select(label, F.col("id").alias("qid"), F.col("vec").alias("qvec")),
              need.select(label, F.col("id").alias("rid"), F.col("vec").alias("rvec")), k,
              part=label, exclude_self=True)
@@ -174,7 +175,7 @@ def smote(df: DataFrame, label: str, k: int = 5, seed: int = 42) -> DataFrame:
     s = s.select(label, "__n", "__rk", "__c", F.explode(inner).alias("__i"))
     j = F.col("__rk") + (F.col("__c") * SLOT_CHUNK + F.col("__i")) * F.col("__n")
     slots = s.select(label, "__n", j.alias("slot"))
-    kc = F.least(F.lit(k), F.col("__n") - 1)
+    kc = F.greatest(F.least(F.lit(k), F.col("__n") - 1), F.lit(1))
     slots = slots.select(label, "slot", (hash60(F.col(label), seed, F.col("slot"), "base") % F.col("__n")).alias("__base"),
                          (hash60(F.col(label), seed, F.col("slot"), "nn") % kc + 1).alias("__nnr"),
                          uniform(F.col(label), seed, F.col("slot"), "gap").alias("__u"))
@@ -213,6 +214,41 @@ def adasyn_allocation(df: DataFrame, label: str, k: int = 5) -> DataFrame:
                     (F.coalesce(share, F.lit(0.0)) * (F.col("__t") - F.col("__n"))).alias("g"))
 
 
+def adasyn(df: DataFrame, label: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """ADASYN.  Every row gets round(g) synthetic points (:func:`adasyn_allocation`) towards neighbours of its own
+    class, chosen by hash among the min(k, n_c - 1) nearest.
+
+    ``df`` and the output are those of :func:`smote`.  Rows of a class of one row, and rows whose neighbours all share
+    their class, get none.
+    """
+    from assay.operators.sampling import SLOT_CHUNK
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    alloc = adasyn_allocation(df, label, k).select("id", F.round("g").cast("bigint").alias("__m")).where("__m > 0")
+    rows = attach_by(df.select("id", "vec", label), sizes, label).where(F.col("__n") > 1)
+    nn = knn(rows.select(label, F.col("id").alias("qid"), F.col("vec").alias("qvec")),
+             rows.select(label, F.col("id").alias("rid"), F.col("vec").alias("rvec")), k, part=label, exclude_self=True)
+    base = rows.join(alloc, "id").select(
+        F.col("id").alias("base_id"), F.col("vec").cast("array<double>").alias("__bv"), label, "__n", "__m",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__m") - 1) / SLOT_CHUNK))).alias("__c"))
+    first = F.col("__c") * SLOT_CHUNK
+    slots = base.repartition("base_id", "__c").select(
+        "base_id", "__bv", label, "__n",
+        F.explode(F.sequence(first, F.least(F.col("__m"), first + SLOT_CHUNK) - 1)).alias("slot"))
+    kc = F.least(F.lit(k), F.col("__n") - 1)
+    slots = slots.select("*", (hash60(F.col("base_id"), seed, F.col("slot"), "ada-nn") % kc + 1).alias("__nnr"),
+                         uniform(F.col("base_id"), seed, F.col("slot"), "ada-gap").alias("__u"))
+    nbr = nn.select(F.col("qid").alias("base_id"), F.col("rank").alias("__nnr"), F.col("rid").alias("neighbor_id"))
+    vec = df.select(F.col("id").alias("neighbor_id"), F.col("vec").cast("array<double>").alias("__nv"))
+    new = F.zip_with("__bv", "__nv", lambda a, b: a + F.col("__u") * (b - a))
+    syn = slots.join(nbr, ["base_id", "__nnr"]).join(vec, "neighbor_id").select(
+        (-hash60(F.col("base_id"), seed, F.col("slot"), "ada-id") - 1).alias("id"), new.alias("vec"), label,
+        F.lit(True).alias("synthetic"), "base_id", "neighbor_id", F.col("__u").alias("gap"))
+    none = F.lit(None).cast("bigint")
+    orig = df.select("id", F.col("vec").cast("array<double>").alias("vec"), label, F.lit(False).alias("synthetic"),
+                     none.alias("base_id"), none.alias("neighbor_id"), F.lit(None).cast("double").alias("gap"))
+    return orig.unionByName(syn)
+
+
 def tomek_links(df: DataFrame, label: str) -> DataFrame:
     """Pairs that are each other's nearest neighbour and differ in label (a < b)."""
     nn = knn(df.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")),
@@ -234,24 +270,24 @@ def remove_tomek(df: DataFrame, label: str) -> DataFrame:
 
 
 def rebalance_if_needed(df: DataFrame, label: str, threshold: float = 0.7,
-                        methods: Sequence[str] = ("smote", "smote_tomek"), k: int = 5,
+                        methods: Sequence[str] = ("smote", "adasyn", "smote_tomek"), k: int = 5,
                         seed: int = 42) -> tuple[DataFrame, str]:
-    """Rebalance only if min/max class ratio < threshold; try SMOTE first,
-    then SMOTE + Tomek removal (ADASYN's allocation is ``adasyn_allocation``).
+    """Rebalance only if min/max class ratio < threshold, by the first of ``methods`` that the class sizes allow.
 
-    Returns (table, method used or 'none').  The decision reads one ratio.
+    The choice is made before anything is built, from one row of class sizes: SMOTE and SMOTE + Tomek removal need a
+    class below the largest with two rows or more; ADASYN as well, and more than one class.  Returns (table, method used
+    or 'none').  A failure while the table is computed is not caught.
     """
-    from assay.operators.profile import class_balance
-    ratio = class_balance(df, label).first()["balance_ratio"]
-    if ratio is None or ratio >= threshold:
-        return df.select("id", "vec", label), "none"
+    plain = df.select("id", "vec", label)
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    top = sizes.agg(F.max("n").alias("__max"), F.min("n").alias("__min"), F.count(F.lit(1)).alias("__k"))
+    s = attach(sizes, top).agg(F.max("__max").alias("max"), F.max("__min").alias("min"), F.max("__k").alias("k"),
+                               F.count_if((F.col("n") < F.col("__max")) & (F.col("n") > 1)).alias("growable")).first()
+    if not s["max"] or s["min"] / s["max"] >= threshold or not s["growable"]:
+        return plain, "none"
+    build = {"smote": lambda: smote(df, label, k, seed), "adasyn": lambda: adasyn(df, label, k, seed),
+             "smote_tomek": lambda: remove_tomek(smote(df, label, k, seed).select("id", "vec", label), label)}
     for m in methods:
-        try:
-            if m == "smote":
-                return smote(df, label, k, seed).select("id", "vec", label), m
-            if m == "smote_tomek":
-                s = smote(df, label, k, seed).select("id", "vec", label)
-                return remove_tomek(s, label), m
-        except Exception:  # noqa: BLE001 - next method, as the reference does
-            continue
-    return df.select("id", "vec", label), "none"
+        if m in build and (m != "adasyn" or s["k"] > 1):
+            return build[m]().select("id", "vec", label), m
+    return plain, "none"

@@ -1,14 +1,16 @@
 """T4: the whole analysis as one composition of the library's operators.
 
 raw text -> header rows out -> numbers coerced -> target normalised,
-consolidated, validated, rare classes merged -> median fill, IQR cap, ratio,
-conditional log, one-hot -> stratified split -> rebalance train only if
-needed -> two models + soft vote -> per-model accuracy / macro F1 and the
+consolidated, validated, rare classes merged -> stratified split -> median fill,
+IQR cap, ratio, conditional log, one-hot, all fitted on train -> rebalance train
+only if needed -> three models + soft vote -> per-model accuracy / macro F1 and the
 choice between the best single model and the ensemble.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import IndexToString
 from pyspark.sql import functions as F
 
@@ -36,24 +38,30 @@ def cleaned(spark, sf):
 
 
 def featured(spark, sf):
-    c = cleaned(spark, sf)
-    c = clean.impute_median(c, ["qty", "price"])
-    c = clean.iqr_cap(c, ["qty", "price"], k=2.0, guard_zero_iqr=True)
+    """Split first; every statistic (medians, fences, the log choice, kept levels) is that of the train rows."""
+    from assay.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    # the cleaned rows feed several fits: written once to the shared checkpoint folder
+    c = sa.split_stratified(cleaned(spark, sf), "label", "obs_id", 0.2, SEED).checkpoint()
+
+    def train(d):
+        return d.where(F.col("split") == "train")
+
+    num = ["qty", "price"]
+    c = clean.impute_median(c, num, clean.fit_median(train(c), num))
+    c = clean.iqr_cap(c, num, k=2.0, guard_zero_iqr=True, stats=clean.fit_iqr(train(c), num))
     c = fe.ratio_features(c, [("price", "qty")])
-    c = fe.log_if_skewed(c, ["qty", "price"])
-    c = clean.top_k_or_other(c, "segment")
-    return en.one_hot(c, "segment", en.fit_one_hot(c, "segment"))
+    c = fe.log_if_skewed(c, num, fit_on=train(c))
+    c = clean.top_k_or_other(c, "segment", fit_on=train(c))
+    return en.one_hot(c, "segment", en.fit_one_hot(train(c), "segment"))
 
 
 @register("complete_analysis")
 def complete_analysis(spark, sf):
     """T4: end-to-end run; returns the evaluation table (rows-only check)."""
     from pyspark import StorageLevel
-    from assay.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    d = featured(spark, sf)
-    feats = [c for c in d.columns if c not in ("obs_id", "label", "segment")]
-    d = sa.split_stratified(d, "label", "obs_id", 0.2, SEED).withColumnRenamed("obs_id", "id")
+    d = featured(spark, sf).withColumnRenamed("obs_id", "id")
+    feats = [c for c in d.columns if c not in ("id", "label", "segment", "split")]
     # cut the lineage before the iterative fits: a reliable checkpoint in the shared folder
     d = d.checkpoint(eager=True)
     train, test = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
@@ -66,14 +74,14 @@ def complete_analysis(spark, sf):
     labels = prep.stages[0].labels
     k = len(labels)
     probs, preds = [], []
-    for name in ("logreg", "dt"):
+    for name in ("logreg", "dt", "rf"):
         p = md.probability_columns(md.estimator(name, SEED).fit(tr).transform(te), k)
         probs.append(p.select("id", *[F.col(f"p_{i}").alias(f"p_{labels[i]}") for i in range(k)]))
         p = IndexToString(inputCol="prediction", outputCol="pred", labels=labels).transform(p)
         preds.append(p.select("id", "label", "pred", F.lit(name).alias("model")))
     vote = ev.soft_vote(probs, "id", labels).join(test.select("id", "label"), "id")
     preds.append(vote.select("id", "label", "pred", F.lit("Voting_Ensemble").alias("model")))
-    allp = preds[0].unionByName(preds[1]).unionByName(preds[2])
+    allp = reduce(lambda a, b: a.unionByName(b), preds)
     acc = ev.accuracy(allp, by=["model"])
     rep = ev.classification_report(ev.confusion_matrix(allp, by=["model"]), by=["model"])
     macro = rep.where(F.col("cls") == "macro avg").select("model", F.col("f1").alias("macro_f1"))

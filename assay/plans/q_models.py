@@ -25,16 +25,16 @@ CV_FOLDS = 3
 
 
 def model_base(spark, sf):
-    """obs -> numeric feature columns, stratified split (R9) and folds on train."""
-    o = obs(spark, sf)
-    o = clean.impute_median(o, ["qty_sum"], clean.fit_median(o.where(F.col("qty_sum").isNotNull()), ["qty_sum"]))
-    b = o.select(F.col("obs_id").alias("id"), "label", F.col("qty_sum").alias("qty_f"),
+    """obs -> stratified split (R9), numeric feature columns with statistics of the train rows, folds on train."""
+    o = sa.split_stratified(obs(spark, sf), "label", "obs_id", 0.2, SEED)
+    o = clean.impute_median(o, ["qty_sum"], clean.fit_median(o.where(F.col("split") == "train"), ["qty_sum"]))
+    s = o.select(F.col("obs_id").alias("id"), "label", "split", F.col("qty_sum").alias("qty_f"),
                  (F.col("total_price") / 1000).alias("price_k"), (F.col("acct_bal") / 1000).alias("bal_k"),
                  F.coalesce(F.create_map(*[F.lit(x) for kv in {"1-URGENT": 2.0, "2-HIGH": 1.0, "3-MEDIUM": 0.5}.items()
                                            for x in kv])[F.col("priority")], F.lit(0.0)).alias("priority_score"),
                  (F.col("segment") == "AUTOMOBILE").cast("double").alias("is_auto"),
                  (F.col("total_price") / 1000 / (F.col("qty_sum") + 1)).alias("price_per_qty_k"))
-    s = sa.split_stratified(b, "label", "id", 0.2, SEED)
+    s = s.select(*[c for c in s.columns if c != "split"], "split")
     f = sa.folds_stratified(s.where(F.col("split") == "train"), "label", "id", CV_FOLDS, SEED)
     f = f.select("id", F.col("fold").alias("sfold"))
     return s.join(f, "id", "left")

@@ -101,6 +101,13 @@ def adasyn_allocation(spark, sf):
     return a.select("id", "label", r6("r").alias("r"), r6("share").alias("share"), r6("g").alias("g"))
 
 
+@register("adasyn")
+def adasyn(spark, sf):
+    """ADASYN rows over the embeddings (rows-only; sizes and geometry tested)."""
+    s = nb.adasyn(emb(spark, sf), "label", 5, SEED)
+    return s.select("id", "label", "synthetic", "base_id", "neighbor_id", r6("gap").alias("gap"))
+
+
 @register("tomek_links", """
 with nn as (select a.vec_id as a, b.vec_id as b, a.label as label_a, b.label as label_b,
                    row_number() over (partition by a.vec_id order by list_distance(a.embedding::double[], b.embedding::double[]), b.vec_id) as rk

@@ -45,3 +45,29 @@ def test_search_gate(spark):
     always = md.gated_search(est, first, wider, t, threshold=1.01, k=3)
     assert always["ran_wider"] is True
     assert always["accuracy"] >= never["accuracy"]
+
+
+def test_rebalance_is_decided_from_class_sizes(spark):
+    rows = [(i, [float(i), 0.0], "a") for i in range(20)] + [(100, [50.0, 0.0], "b")]
+    one = spark.createDataFrame(rows, "id long, vec array<double>, label string")
+    out, how = nb.rebalance_if_needed(one, "label")
+    assert how == "none" and out.count() == 21
+    more = one.unionByName(spark.createDataFrame([(101, [4.5, 0.0], "b"), (102, [6.5, 0.0], "b")], one.schema))
+    for methods, name in ((("smote",), "smote"), (("adasyn", "smote"), "adasyn"), (("smote_tomek",), "smote_tomek")):
+        out, how = nb.rebalance_if_needed(more, "label", methods=methods)
+        assert how == name and out.count() > 0
+    assert nb.smote(one, "label").where("synthetic").count() == 0  # a class of one row has no neighbour
+
+
+def test_adasyn_rows_follow_the_allocation(spark):
+    rows = [(i, [float(i), float(i % 3)], "a") for i in range(40)] + [(100 + i, [10.0 + i, 0.5], "b") for i in range(8)]
+    d = spark.createDataFrame(rows, "id long, vec array<double>, label string")
+    want = {r["id"]: round(r["g"]) for r in nb.adasyn_allocation(d, "label").collect() if round(r["g"])}
+    out = nb.adasyn(d, "label")
+    got = {r[0]: r[1] for r in out.where("synthetic").groupBy("base_id").count().collect()}
+    assert got == want and out.where("not synthetic").count() == 48
+    vec = {r["id"]: r["vec"] for r in d.collect()}
+    for r in out.where("synthetic").collect():
+        assert r["label"] == "b" and r["id"] < 0 and r["neighbor_id"] >= 100
+        for x, a, b in zip(r["vec"], vec[r["base_id"]], vec[r["neighbor_id"]]):
+            assert abs(x - (a + r["gap"] * (b - a))) < 1e-9
