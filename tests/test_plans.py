@@ -42,3 +42,27 @@ def test_sql_native_queries_have_no_python(spark, name):
     plan = _plan(Q[name](spark, SF_SMALL))
     for marker in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas"):
         assert marker not in plan
+
+
+def test_class_tables_reach_the_rows_without_join_or_percentile(spark):
+    """With broadcasts off, no operator that fits per class or per column joins or shuffles the rows on a class."""
+    from assay.operators import clean, profile, sampling, select
+    d = spark.read.parquet(f"{SF_SMALL}/orders.parquet").selectExpr(
+        "o_orderkey as id", "o_totalprice as v", "o_orderstatus as g")
+    long = select.to_long(d.withColumnRenamed("g", "label"), ["id", "label"], ["v"])
+    plans = {
+        "singletons": lambda: clean.drop_singleton_classes(d, "g"), "rare": lambda: clean.merge_rare_classes(d, "g"),
+        "top": lambda: clean.top_k_or_other(d, "g", 2, 1), "median": lambda: clean.impute_median(d, ["v"]),
+        "cap": lambda: clean.iqr_cap(d, ["v"]), "box": lambda: profile.box_stats(d, "v", "g"),
+        "kde": lambda: profile.kde(d, "v", "g", 4), "copies": lambda: sampling.poisson_oversample(d, "g", "id"),
+        "mi": lambda: select.mutual_information(long)}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, build in plans.items():
+            plan = build()._jdf.queryExecution().toString()
+            # the quantiles of groups are completed by one join of two tables with a row per class
+            assert plan.count("Join") == 0 or name in ("box", "mi"), name
+            assert "percentile(" not in plan, name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
