@@ -4,24 +4,28 @@ A document is its set of distinct word shingles.  Documents with equal sets form
 per class goes on.  Each class has a signature of ``K`` minwise hashes.  Independent trees then split all classes recursively
 (Christiani, Pagh and Sivertsen, "Scalable and robust set similarity join"): a node picks, by its own hash, 1 / threshold
 positions of the signature on average, and a class moves to one child for each of them, named by its minwise token there.  Two sets at
-the threshold stay together in one child on average, others part quickly.  A node with at most ``SMALL`` classes is compared
-exhaustively, a larger one goes on.  ``TREES`` trees leave a pair at the threshold unseen with a probability below 1e-3.
-
-Groups of thousands of near copies never part, and need not be compared pair by pair: members whose signatures agree with the
-node's smallest member beyond doubt (``SURE``) are linked to it, and only the others are compared with everybody.  Every link
-is confirmed on the full shingle sets.  If the exact check refutes one that was sure, all pairs that had been left out
-because of it are compared after all, until none is left.
-
-Tables of entries, candidates and links stay distributed; the driver sees counts.  Edge cases: a null, empty or blank text has
+the threshold stay together in one child on average, others part quickly.  A node with few classes is compared exhaustively by
+signatures, a larger one goes on.  ``TREES`` trees leave a pair at the threshold unseen with a probability below 1e-3.
+
+Groups of thousands of near copies never part, and a list of their pairs would grow with the square of their size.  So
+a node names no pairs but connects what its pairs that may be linked connect, in stars, and a large node links its members to one of
+them and splits on without those that are nearly equal to it (a set within 0.05 of it cannot have a partner at the
+threshold that is not a candidate of it as well: Jaccard distance obeys the triangle inequality).  The stars of all
+nodes, joined by connected components, are *families*: every link lies inside a family.  Each family is then resolved on the
+full shingle sets, which are shipped once: pairs are tested exactly, those already connected are skipped.  A family too
+large for one task is resolved in the nodes that its classes met in, each again of bounded size.
+
+Tables of entries, families and links stay distributed; the driver sees counts.  Edge cases: a null, empty or blank text has
 an empty set, no links, and is its own component; a text shorter than a shingle is one shingle of all its words; rows that
-repeat a key count as one document, linked by any of its texts; ties go to the smallest key; an empty table gives no rows; keys must be integers.
+repeat a key count as one document, linked by any of its texts; ties go to the smallest key; an empty table gives no
+rows; keys must be integers.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +39,14 @@ K = 128
 TREES = 10
 #: Levels that every tree takes before node sizes are counted.
 FIRST_LEVELS = 3
-#: Classes that a node compared exhaustively may hold.
-SMALL = 64
-#: Rows of a dense node that one task compares with the node's open members.
-CHUNK = 2048
-#: Signature agreement beyond which a pair counts as linked until the exact check, and below threshold minus SLACK as unlinked.
-SURE, SLACK = 0.92, 0.14
-#: Levels after which a large node is compared block by block instead of split again.
-LAST_LEVEL = 30
+#: Classes that a node compared exhaustively may hold: at first, and once unrelated sets have parted (from this level on).
+SMALL, DENSE, DENSE_LEVEL = 64, 2048, 4
+#: Signature agreement of nearly equal sets, and how far below the threshold a pair still is a candidate.
+EQUAL, SLACK = 0.95, 0.12
+#: Classes, and shingles in all, of a family that one task resolves.
+FAMILY, FAMILY_ITEMS = 4096, 8_000_000
+#: Levels after which splitting gives up (reached only by groups of many millions).
+LAST_LEVEL = 60
 
 _RNG = np.random.default_rng(8)
 _A = _RNG.integers(1, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -167,213 +171,225 @@ def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return ((x == y).mean(-1) - 1 / 256) / (1 - 1 / 256)
 
 
-def _pairs(cell, sig, member, doubt, low: float):
-    """Candidate pairs of rows sorted by cell: first row, second row, agreement.
+class _Forest:
+    """Union-find over the rows of a batch."""
 
-    Two members of a dense cell are not compared, and two rows that are sure of the same earlier row are left out, unless one of
-    them is in ``doubt``.  With any doubt in the input, only pairs with a doubtful row are given.
-    """
-    edge = np.r_[0, np.flatnonzero(cell[1:] != cell[:-1]) + 1, len(cell)]
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def find(self, x: int) -> int:
+        p = self.parent
+        while p[x] != x:
+            p[x] = p[p[x]]
+            x = p[x]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+    def parent_to(self, rows: list[int], root: int):
+        for r in rows:
+            self.parent[r] = root
+
+    def stars(self) -> list[tuple[int, int]]:
+        """Every row but the first of its component, with that first one."""
+        return [(r, x) for x in range(len(self.parent)) if (r := self.find(x)) != x]
+
+
+def _runs(cell: np.ndarray) -> np.ndarray:
+    """First indexes of runs of equal values, and the length."""
+    return np.r_[0, np.flatnonzero(cell[1:] != cell[:-1]) + 1, len(cell)]
+
+
+def spanning_stars(cell: np.ndarray, sig: np.ndarray, low: float) -> list[tuple[int, int]]:
+    """Pairs of rows that connect what candidate pairs (agreement at least ``low``, same cell) connect: every row with the first
+    one it is connected to.  Input sorted by cell."""
+    edge = _runs(cell)
     size = np.diff(edge)
-    first, second, close = [], [], []
+    forest = _Forest(len(cell))
+    spread = np.repeat(size, size)
     for d in range(1, int(min(size.max(initial=0), SMALL + 1))):
-        i = np.flatnonzero((cell[:-d] == cell[d:])) if d < len(cell) else np.zeros(0, np.int64)
-        i = i[np.repeat(size, size)[i] <= SMALL]
-        for at in range(0, len(i), 1 << 16):
-            part = i[at: at + (1 << 16)]
-            e = agreement(sig[part], sig[part + d])
-            ok = e >= low
-            first.append(part[ok]), second.append(part[ok] + d), close.append(e[ok])
+        i = np.flatnonzero((cell[:-d] == cell[d:]) & (spread[:-d] <= SMALL)) if d < len(cell) else np.zeros(0, np.int64)
+        for at in range(0, len(i), 1 << 15):
+            part = i[at: at + (1 << 15)]
+            for a in part[agreement(sig[part], sig[part + d]) >= low].tolist():
+                forest.join(a, a + d)
     for c in np.flatnonzero(size > SMALL):
-        rows = np.arange(edge[c], edge[c + 1])
-        open_rows = rows[~member[rows]] if not doubt.any() else rows[~member[rows] | doubt[rows]]
-        for i in open_rows:
-            e = agreement(sig[rows], sig[i])
-            ok = (e >= low) & (rows != i)
-            j = rows[ok]
-            first.append(np.minimum(i, j)), second.append(np.maximum(i, j)), close.append(e[ok])
-    if not first:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    first, second, close = np.concatenate(first), np.concatenate(second), np.concatenate(close)
-    if doubt.any():
-        keep = doubt[first] | doubt[second]
-    else:
-        none = len(cell)
-        lead = np.full(none, none)
-        sure = close >= SURE
-        np.minimum.at(lead, second[sure], first[sure])
-        keep = (lead[first] != lead[second]) | (lead[second] == none)
-        keep &= ~(member[first] & member[second])
-    return first[keep], second[keep], close[keep]
-
-
-def _compare(batches: Iterator[pa.RecordBatch], low: float) -> Iterator[pa.RecordBatch]:
-    """Columns ``cell, cls, sig, member, doubt`` sorted by cell; a cell may span batches."""
+        # breadth first: a row reached is compared once with all rows not reached yet
+        left = np.arange(edge[c], edge[c + 1])
+        while len(left):
+            root, left = int(left[0]), left[1:]
+            front = [root]
+            while front and len(left):
+                near = agreement(sig[left], sig[front.pop()]) >= low
+                forest.parent_to(left[near].tolist(), root)
+                front += left[near].tolist()
+                left = left[~near]
+    return forest.stars()
+
+
+def _by_cell(flush):
+    """Run ``flush`` on whole cells of input sorted by its first column; a cell may span batches."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cell = b.column(0).to_numpy()
+            cut = int(_runs(cell)[-2])  # the last cell may go on
+            if cut or held and held[-1].column(0)[-1].as_py() != cell[0]:
+                yield from flush(held + [b.slice(0, cut)] if cut else held)
+                held = []
+            held.append(b.slice(cut))
+        if held:
+            yield from flush(held)
+    return run
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.Table:
+    return pa.Table.from_batches(parts).combine_chunks()
+
+
+def _pair_batch(cls: np.ndarray, pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    x = cls[np.array(pairs, np.int64).reshape(-1, 2)]
+    x = x[x[:, 0] != x[:, 1]]
+    return pa.RecordBatch.from_arrays([pa.array(x.min(1)), pa.array(x.max(1))], names=["a", "b"])
+
+
+def _candidates(low: float):
     def flush(parts):
-        cell, cls, member, doubt = (np.concatenate([p[k] for p in parts]) for k in range(4))
-        sig = np.concatenate([p[4] for p in parts])
-        i, j, e = _pairs(cell, sig, member, doubt, low)
-        a, b = np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
-        ok = a < b
-        return pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(e[ok] >= SURE)], names=["a", "b", "sure"])
-
-    held: list = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cell, cls = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        rows = (cell, cls, batch.column(3).to_numpy(zero_copy_only=False), batch.column(4).to_numpy(zero_copy_only=False),
-                _matrix(batch.column(2), K, np.uint8))
-        cut = len(cell) - 1
-        while cut and cell[cut - 1] == cell[-1]:
-            cut -= 1
-        if cut == 0 and held and held[-1][0][-1] == cell[0]:
-            held.append(rows)
-            continue
-        if cut == 0 and held:
-            yield flush(held)
-            held = [rows]
-            continue
-        head = held + ([tuple(x[:cut] for x in rows)] if cut else [])
-        if head:
-            yield flush(head)
-        held = [tuple(x[cut:] for x in rows)]
-    if held:
-        yield flush(held)
-
-
-def _compare_cells(cells: DataFrame, low: float) -> DataFrame:
-    """Candidate pairs ``a < b, sure`` of rows ``cell, cls, sig8, member, doubt``."""
-    dealt = cells.select("cell", "cls", "sig8", "member", "doubt").repartition("cell").sortWithinPartitions("cell", "cls")
-    return dealt.mapInArrow(partial(_compare, low=low), "a long, b long, sure boolean")
-
-
-class _Search:
-    """Grows the trees over ``classes`` (``cls, sig, sig8``) and keeps the cells that were compared."""
-
-    def __init__(self, classes: DataFrame, threshold: float):
-        self.classes, self.threshold, self.low = classes, threshold, threshold - SLACK
-        self.cells: list[DataFrame] = []
-        self.found: list[DataFrame] = []
-
-    def run(self):
-        sig8 = self.classes.select("cls", "sig8")
-        entries = settle(self.classes.select("cls", "sig").mapInArrow(_plant(self.threshold), "node long, cls long"), "entries")
-        for level in range(FIRST_LEVELS, LAST_LEVEL + 1):
-            sizes = settle(entries.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("pivot"))
-                           .where("size > 1"), "nodes")
-            largest = sizes.agg(F.max("size")).first()[0]
-            if largest is None:
-                break
-            shared = settle(entries.join(sizes, "node"), "shared")
-            self._add(shared.where(f"size <= {SMALL}").join(sig8, "cls").select(
-                F.col("node").alias("cell"), "cls", "sig8", F.lit(False).alias("member")))
-            if largest <= SMALL:
-                break
-            entries = self._split(shared.where(f"size > {SMALL}"), sig8, level == LAST_LEVEL)
-
-    def _add(self, cells: DataFrame):
-        self.cells.append(cells)
-        self.found.append(settle(_compare_cells(cells.withColumn("doubt", F.lit(False)), self.low), "candidates"))
-
-    def _split(self, large: DataFrame, sig8: DataFrame, last: bool) -> DataFrame:
-        """Finish the dense nodes, and give the entries of the others one level down."""
-        pivots = settle(large.select("node", "pivot").distinct().join(
-            sig8.select(F.col("cls").alias("pivot"), F.col("sig8").alias("pivot_sig")), "pivot"), "pivots")
-        near = settle(large.select("node", "cls").join(sig8, "cls").join(pivots, "node").mapInArrow(
-            _near_pivot, "node long, cls long, sig8 binary, pivot long, member boolean"), "near-pivot")
-        self.found.append(near.where("member and cls <> pivot").select(
-            F.least("pivot", "cls").alias("a"), F.greatest("pivot", "cls").alias("b"), F.lit(True).alias("sure")))
-        open_rows = settle(near.groupBy("node").agg(
-            F.sum(F.when(F.col("member"), 0).otherwise(1)).alias("open"), F.count(F.lit(1)).alias("all")), "open")
-        done = open_rows if last else open_rows.where(f"open <= {SMALL}")
-        # a dense node is cut into chunks of its members; its open rows go to every chunk.  A node that is all open at the
-        # last level is compared in the same way, its rows in blocks against all of them
-        chunks = F.greatest(F.ceil(F.col("all") / CHUNK), F.lit(1)).cast("int")
-        rows = near.join(done.where("open > 0").withColumn("chunks", chunks), "node")
-        cell = F.xxhash64("node", "chunk")
-        members = rows.where("member").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
-        opened = rows.where("not member").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        self._add(members.unionByName(opened).select(cell.alias("cell"), "cls", "sig8", "member"))
-        if last:
-            return near.limit(0).select("node", "cls")
-        rest = near.join(open_rows.where(f"open > {SMALL}").select("node"), "node", "left_semi")
-        lists = rest.groupBy("cls").agg(F.collect_list("node").alias("nodes"))
-        return settle(self.classes.select("cls", "sig").join(lists, "cls").select("cls", "sig", "nodes").mapInArrow(
-            _grow(self.threshold), "node long, cls long"), "entries")
-
-    def candidates(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, self.found).groupBy("a", "b").agg(F.max("sure").alias("sure"))
-
-    def again(self, doubtful: DataFrame) -> DataFrame:
-        """All candidate pairs of the classes in ``doubtful`` (``cls``) in the cells they were compared in."""
-        marked = doubtful.select("cls").withColumn("__d", F.lit(True))
-        out = []
-        for cells in self.cells:
-            touched = cells.join(doubtful, "cls", "left_semi").select("cell").distinct()
-            rows = cells.join(touched, "cell", "left_semi").join(marked, "cls", "left")
-            out.append(_compare_cells(rows.withColumn("doubt", F.coalesce("__d", F.lit(False))), self.low))
-        return reduce(DataFrame.unionByName, out).groupBy("a", "b").agg(F.max("sure").alias("sure"))
+        t = _joined(parts)
+        sig = _matrix(t.column(2).combine_chunks(), K, np.uint8)
+        yield _pair_batch(t.column(1).to_numpy(), spanning_stars(t.column(0).to_numpy(), sig, low))
+    return _by_cell(flush)
 
 
 def _near_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        b = pa.RecordBatch.from_arrays([b.column(b.schema.names.index(c)) for c in ("node", "cls", "sig8", "pivot", "pivot_sig")],
-                                       names=["node", "cls", "sig8", "pivot", "pivot_sig"])
-        close = agreement(_matrix(b.column(2), K, np.uint8), _matrix(b.column(4), K, np.uint8))
-        member = (close >= SURE) | (b.column(1).to_numpy() == b.column(3).to_numpy())
-        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(member)], names=["node", "cls", "sig8", "pivot", "member"])
+        close = agreement(_matrix(b.column(3), K, np.uint8), _matrix(b.column(4), K, np.uint8))
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(close)], names=["node", "cls", "pivot", "close"])
+
+
+def _grow_cells(classes: DataFrame, threshold: float) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Cells (``cell, cls``) of the trees over ``classes`` (``cls, sig, sig8``), and family edges (``a, b``)."""
+    sig8 = classes.select("cls", "sig8")
+    low = threshold - SLACK
+    cells, edges = [], []
+    entries = settle(classes.select("cls", "sig").mapInArrow(_plant(threshold), "node long, cls long"), "entries")
+    for level in range(FIRST_LEVELS, LAST_LEVEL + 1):
+        most = SMALL if level < DENSE_LEVEL else DENSE
+        sizes = settle(entries.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("pivot"))
+                       .where("size > 1"), "nodes")
+        largest = sizes.agg(F.max("size")).first()[0]
+        if largest is None:
+            break
+        shared = settle(entries.join(sizes, "node"), "shared")
+        met = shared.where(f"size <= {most}").select(F.col("node").alias("cell"), "cls")
+        cells.append(met)
+        dealt = met.join(sig8, "cls").select("cell", "cls", "sig8").repartition("cell").sortWithinPartitions(
+            "cell", "cls")
+        edges.append(settle(dealt.mapInArrow(_candidates(low), "a long, b long"), "edges"))
+        if largest <= most:
+            break
+        if level == LAST_LEVEL:
+            raise RuntimeError("a group of near copies did not split")
+        large = shared.where(f"size > {most}")
+        pivots = settle(large.select("pivot").distinct().join(
+            sig8.select(F.col("cls").alias("pivot"), F.col("sig8").alias("pivot_sig")), "pivot"), "pivots")
+        near = settle(large.select("node", "cls", "pivot").join(sig8, "cls").join(pivots, "pivot").select(
+            "node", "cls", "pivot", "sig8", "pivot_sig").mapInArrow(
+            _near_pivot, "node long, cls long, pivot long, close double"), "near-pivot")
+        edges.append(near.where(f"close >= {low} and cls <> pivot").select(
+            F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct())
+        if level < DENSE_LEVEL:
+            going = near
+        else:
+            # those nearly equal to the pivot stay behind, and the pivot goes on for them.  Should their family prove
+            # giant, they are compared in chunks with the pivot and all that are near it
+            going = near.where(f"close < {EQUAL} or cls = pivot")
+            stay = f"close >= {EQUAL} and cls <> pivot"
+            chunks = settle(near.where(stay).groupBy("node").agg(
+                F.ceil(F.count(F.lit(1)) / DENSE).cast("int").alias("chunks")), "chunks")
+            rows = near.where(f"close >= {low}").join(chunks, "node")
+            own = rows.where(stay).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
+            other = rows.where(f"not ({stay})").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+            cells.append(own.unionByName(other).select(F.xxhash64("node", "chunk").alias("cell"), "cls"))
+        lists = going.groupBy("cls").agg(F.collect_list("node").alias("nodes"))
+        entries = settle(classes.select("cls", "sig").join(lists, "cls").select("cls", "sig", "nodes").mapInArrow(
+            _grow(threshold), "node long, cls long"), "entries")
+    return cells, edges
 
 
 # --- exact check and result -----------------------------------------------------------------------------------------
 
-def _confirm(pct: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            same = []
-            for x, y in zip(b.column(3), b.column(4)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                inter = int((both[1:] == both[:-1]).sum())
-                same.append(100 * inter >= pct * (len(both) - inter))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(same, pa.bool_())], names=["a", "b", "sure", "linked"])
-    return run
+def _linked(x: np.ndarray, y: np.ndarray, pct: int) -> bool:
+    if 100 * min(len(x), len(y)) < pct * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    inter = int((both[1:] == both[:-1]).sum())
+    return 100 * inter >= pct * (len(both) - inter)
 
 
-def _check(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    left = sets.select(F.col("doc").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("doc").alias("b"), F.col("items").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sure", "x", "y").mapInArrow(
-        _confirm(pct), "a long, b long, sure boolean, linked boolean")
+def exact_links(sets: list[np.ndarray], pct: int) -> list[tuple[int, int]]:
+    """Pairs that connect what links connect: every set with the first one it is connected to.
+
+    Links are tested on the sets; pairs already connected are skipped.
+    """
+    n = len(sets)
+    forest = _Forest(n)
+    sig = None
+    if n > 8:
+        first = np.r_[0, np.cumsum([len(s) for s in sets])]
+        sig = (signatures(np.concatenate(sets), first) & np.uint32(0xFF)).astype(np.uint8)
+    for i in range(n - 1):
+        rest = np.arange(i + 1, n)
+        if sig is not None:
+            close = agreement(sig[rest], sig[i])
+            rest = rest[close >= pct / 100 - SLACK][np.argsort(-close[close >= pct / 100 - SLACK], kind="stable")]
+        for j in rest.tolist():
+            if forest.find(i) != forest.find(j) and _linked(sets[i], sets[j], pct):
+                forest.join(i, j)
+    return forest.stars()
+
+
+def _resolve(pct: int):
+    """Links of each cell: columns ``cell, cls, items``, sorted by cell."""
+    def flush(parts):
+        t = _joined(parts)
+        cls, items = t.column(1).to_numpy(), t.column(2).combine_chunks()
+        edge = _runs(t.column(0).to_numpy())
+        pairs = []
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            sets = [np.frombuffer(items[k].as_buffer(), np.uint64) for k in range(lo, hi)]
+            pairs += [(lo + i, lo + j) for i, j in exact_links(sets, pct)]
+        yield _pair_batch(cls, pairs)
+    return _by_cell(flush)
 
 
 def similar_pairs(docs: DataFrame, classes: DataFrame, n: int, pct: int) -> DataFrame:
-    """Confirmed links ``a < b`` between classes, enough of them to connect all that are linked."""
-    search = _Search(classes, pct / 100)
-    search.run()
-    if not search.found:
+    """Pairs ``a < b`` of classes (``cls, n, sig, sig8``) that connect exactly what confirmed links connect."""
+    cells, edges = _grow_cells(classes, pct / 100)
+    if not cells:
         return classes.limit(0).select(F.col("cls").alias("a"), F.col("cls").alias("b"))
-    pairs = settle(search.candidates(), "pairs")
-
-    def check(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-        texts = docs.select("doc", "text").join(ids, "doc", "left_semi")
-        sets = settle(texts.mapInArrow(_full_sets(n), "doc long, items binary").dropDuplicates(["doc", "items"]), "sets")
-        return settle(_check(pairs, sets, pct), "checked")
-
-    checked = check(pairs)
-    links = checked.where("linked").select("a", "b")
-    seen = pairs.select("a", "b")
-    refuted = checked.where("sure and not linked")
-    while refuted.take(1):
-        doubtful = settle(refuted.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "doubtful")
-        more = settle(search.again(doubtful).join(seen, ["a", "b"], "left_anti"), "pairs")
-        checked = check(more)
-        links = links.unionByName(checked.where("linked").select("a", "b"))
-        seen = seen.unionByName(more.select("a", "b"))
-        refuted = checked.where("sure and not linked")
-    return links
+    families = components(reduce(DataFrame.unionByName, edges).distinct())
+    roots = families.select(F.col("component").alias("cls"), F.col("component").alias("cell")).distinct()
+    member = settle(families.select(F.col("node").alias("cls"), F.col("component").alias("cell")).unionByName(roots).join(
+        classes.select("cls", "n"), "cls"), "families")
+    sizes = member.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("items"))
+    giant = settle(sizes.where(f"size > {FAMILY} or items > {FAMILY_ITEMS}").select("cell"), "giants")
+    rows = member.join(giant, "cell", "left_anti").select("cell", "cls")
+    if giant.take(1):
+        met = member.join(giant, "cell", "left_semi").select("cls")
+        rows = rows.unionByName(reduce(DataFrame.unionByName, cells).join(met, "cls", "left_semi"))
+    texts = docs.join(member.select(F.col("cls").alias("doc")), "doc", "left_semi")
+    sets = settle(texts.mapInArrow(_full_sets(n), "doc long, items binary").where("octet_length(items) > 0")
+                  .dropDuplicates(["doc", "items"]), "sets")
+    dealt = rows.join(sets, F.col("cls") == F.col("doc")).select("cell", "cls", "items").repartition("cell")
+    return settle(dealt.sortWithinPartitions("cell", "cls").mapInArrow(_resolve(pct), "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, pct: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -387,8 +403,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, pct: int = 80, key: str =
     # the partial aggregate leaves one row per class and map task, however many copies there are
     low_bytes = F.expr("unhex(array_join(transform(sequence(1, %d, 4), i -> hex(substring(sig, i, 1))), ''))" % (4 * K))
     classes = settle(signed.where("n > 0 and doc is not null").groupBy("digest").agg(
-        F.min("doc").alias("cls"), F.first("sig").alias("sig")).withColumn("sig8", low_bytes), "classes")
-    links = similar_pairs(rows, classes.select("cls", "sig", "sig8"), shingle, pct)
+        F.min("doc").alias("cls"), F.first("n").alias("n"), F.first("sig").alias("sig")).withColumn("sig8", low_bytes), "classes")
+    links = similar_pairs(rows, classes.select("cls", "n", "sig", "sig8"), shingle, pct)
     found = components(links)
     named = settle(classes.select("digest", "cls").join(found, F.col("cls") == F.col("node"), "left").select(
         "digest", F.coalesce("component", "cls").alias("component_id")), "named")

@@ -61,15 +61,37 @@ def test_signatures_estimate_similarity():
     assert abs((sig[0] == sig[1]).mean() - len(a & b) / len(a | b)) < 0.15
 
 
-def test_pairs_left_out_are_compared_when_in_doubt():
-    """Three rows of one cell: the second and third are both sure of the first, so their pair is left out."""
-    sig = np.zeros((3, neardup.K), np.uint8)
-    sig[1, :3], sig[2, 3:6] = 1, 1
-    cell, member, none = np.zeros(3, np.int64), np.zeros(3, bool), np.zeros(3, bool)
-    i, j, _ = neardup._pairs(cell, sig, member, none, 0.6)
-    assert set(zip(i, j)) == {(0, 1), (0, 2)}
-    i, j, _ = neardup._pairs(cell, sig, member, np.array([False, True, False]), 0.6)
-    assert set(zip(i, j)) == {(0, 1), (1, 2)}
+def test_stars_connect_what_candidates_connect():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (12, neardup.K)).astype(np.uint8)
+    for rows in (30, 300):  # both ways of comparing a cell
+        sig = base[rng.integers(0, 12, rows)]
+        noise = rng.random(sig.shape) < rng.choice([0.02, 0.1, 0.3], (rows, 1))
+        sig = np.where(noise, rng.integers(0, 256, sig.shape), sig).astype(np.uint8)
+        cell = np.repeat([5, 9], [rows - 3, 3])
+        want, got = neardup._Forest(rows), neardup._Forest(rows)
+        for i in range(rows):
+            for j in range(i):
+                if cell[i] == cell[j] and neardup.agreement(sig[i], sig[j]) >= 0.66:
+                    want.join(i, j)
+        pairs = neardup.spanning_stars(cell, sig, 0.66)
+        assert all(got.join(a, b) for a, b in pairs)
+        assert [got.find(i) for i in range(rows)] == [want.find(i) for i in range(rows)]
+
+
+def test_giant_families_are_resolved_in_their_nodes(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(80)]
+    docs = [(k, _edited(rng, base, rng.choice((0.01, 0.05, 0.1)))) for k in range(200)]
+    docs += [(1000 + k, " ".join(f"r{k}x{i}" for i in range(30))) for k in range(50)]
+    want = brute.near_duplicates(docs, 2, 80)
+    frames = frame(spark, [(k, t, "en") for k, t in docs])
+    monkeypatch.setattr(neardup, "FAMILY", 20)
+    assert _got(neardup.near_duplicates(frames, shingle=2)) == want
+    # and where rows nearly equal to a node's first member stay behind
+    monkeypatch.setattr(neardup, "DENSE", 20)
+    monkeypatch.setattr(neardup, "DENSE_LEVEL", 4)
+    assert _got(neardup.near_duplicates(frames, shingle=2)) == want
 
 
 def test_components(spark):
