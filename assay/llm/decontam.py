@@ -34,7 +34,7 @@ WINDOW, STRIDE = 24, 12
 RANK, EXTRA = 128, 16
 BLOCK_ITEMS = 2000
 #: Least cosine of a candidate, and least share of an item window's IDF weight that the passage must hold.
-COSINE, CONTAINED = 0.5, 0.4
+COSINE, CONTAINED = 0.42, 0.4
 #: Least share of the item in a verbatim copy; of an item window in a partial copy; of the item, and of its answer, in a paraphrase.
 VERBATIM, PARTIAL, PARAPHRASE, ANSWER = 0.8, 0.9, 0.55, 0.6
 #: Vocabulary rows of the sketch that travel together.
