@@ -172,3 +172,40 @@ def best_of(board: DataFrame, score: str = "test_accuracy", name: str = "model",
         .otherwise(F.col("best_single"))
     return s.select("best_single", "single_score", "best_ensemble", "ensemble_score", chosen.alias("chosen"),
                     F.greatest("single_score", F.coalesce("ensemble_score", "single_score")).alias("chosen_score"))
+
+
+def macro_f1(counts: DataFrame, by: Sequence[str], label: str = "label", pred: str = "pred", n: str = "n") -> DataFrame:
+    """Macro F1 per group from a table of counts ``(by..., label, pred, n)``; every class seen as truth or prediction counts.
+
+    F1 = 2 tp / (support + predicted): each count adds to its truth's support and to its prediction's total, no join.
+    """
+    by = list(by)
+    hit = F.when(F.col(label) == F.col(pred), F.col(n)).otherwise(0)
+    parts = F.array(F.struct(F.col(label).alias("cls"), F.col(n).alias("m"), hit.alias("tp")),
+                    F.struct(F.col(pred).alias("cls"), F.col(n).alias("m"), F.lit(0).cast("bigint").alias("tp")))
+    per = counts.select(*by, F.inline(parts)).groupBy(*by, "cls").agg(
+        _safe_div(2.0 * F.sum("tp"), F.sum("m")).alias("f1"))
+    return per.groupBy(*by).agg(F.avg("f1").alias("f1"))
+
+
+def full_leaderboard(preds: DataFrame, scores: DataFrame, expected: Sequence[str]) -> DataFrame:
+    """V9: one row per expected model, all columns 0 for a model without predictions.
+
+    ``preds``: ``model, split, fold, label, pred``; ``scores``: ``model, label, cls, p`` of the test rows.  The tables that
+    are joined have one row per model.
+    """
+    keys = ["model", "split", "fold"]
+    c = preds.groupBy(*keys, "label", "pred").agg(F.count(F.lit(1)).alias("n"))
+    train, test = c.where(F.col("split") == "train"), c.where(F.col("split") == "test")
+    ok = F.sum(F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0))
+    fold = train.groupBy("model", "fold").agg((ok / F.sum("n")).alias("a"))
+    tables = [
+        fold.groupBy("model").agg(F.avg("a").alias("cv_accuracy"), F.stddev_pop("a").alias("cv_accuracy_std")),
+        macro_f1(train, ["model", "fold"]).groupBy("model").agg(F.avg("f1").alias("cv_f1"), F.stddev_pop("f1").alias("cv_f1_std")),
+        test.groupBy("model").agg((ok / F.sum("n")).alias("test_accuracy")),
+        macro_f1(test.groupBy("model", "label", "pred").agg(F.sum("n").alias("n")), ["model"]).withColumnRenamed("f1", "test_f1"),
+        macro_auc(roc_auc_ovr(scores, by=["model"]), by=["model"]).select("model", F.col("auc").alias("roc_auc"))]
+    board = preds.sparkSession.createDataFrame([(m,) for m in expected], "model string")
+    for t in tables:
+        board = board.join(t, "model", "left")
+    return board.na.fill(0.0)

@@ -311,3 +311,47 @@ def bind_columns(spark, sf):
     """Row-aligned column bind as an id join (both sides hash-partitioned on the id)."""
     o = obs(spark, sf)
     return o.select("obs_id", "total_price", "acct_bal").join(o.select("obs_id", "segment", "label"), "obs_id")
+
+
+#: Models that a run should deliver; one of them made no prediction and gets a row of zeros.
+EXPECTED_MODELS = [*MODELS, "rule_f"]
+
+
+@register("leaderboard_full", f"""with {SQL_ALL_PREDS},
+c as (select model, split, fold, label, pred, count(*) as n from all_preds group by all),
+x as (select model, split, fold, label as cls, n as s, 0 as p, case when label = pred then n else 0 end as tp from c
+      union all select model, split, fold, pred, 0, n, 0 from c),
+ff as (select model, fold, avg(f1) as f1 from (
+         select model, fold, cls, 2.0 * sum(tp) / (sum(s) + sum(p)) as f1 from x where split = 'train' group by model, fold, cls)
+       group by model, fold),
+tf as (select model, avg(f1) as test_f1 from (
+         select model, cls, 2.0 * sum(tp) / (sum(s) + sum(p)) as f1 from x where split = 'test' group by model, cls)
+       group by model),
+fa as (select model, fold, sum(case when label = pred then n else 0 end) / sum(n) as acc from c where split = 'train'
+       group by model, fold),
+ta as (select model, sum(case when label = pred then n else 0 end) / sum(n) as test_accuracy from c where split = 'test'
+       group by model),
+cv as (select model, avg(acc) as cv_accuracy, stddev_pop(acc) as cv_accuracy_std from fa group by model),
+cf as (select model, avg(f1) as cv_f1, stddev_pop(f1) as cv_f1_std from ff group by model),
+s as (select model, cls, p, sum(case when label = cls then 1 else 0 end) as pos,
+             sum(case when label <> cls then 1 else 0 end) as neg
+      from (select model, label, cls, p from scores where split = 'test'
+            union all select '{VOTE}', label, cls, avg(p) from scores where split = 'test' group by obs_id, label, cls)
+      group by model, cls, p),
+b as (select *, coalesce(sum(neg) over (partition by model, cls order by p rows between unbounded preceding and 1 preceding), 0)
+        as below from s),
+auc as (select model, avg(auc) as roc_auc from (
+          select model, cls, sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)) as auc from b group by model, cls)
+        group by model),
+e(model) as (values {", ".join(f"('{m}')" for m in EXPECTED_MODELS)})
+select e.model, {", ".join(f"round(coalesce({c}, 0.0), 6) as {c}" for c in (
+    "cv_accuracy", "cv_accuracy_std", "cv_f1", "cv_f1_std", "test_accuracy", "test_f1", "roc_auc"))}
+from e left join cv on e.model = cv.model left join cf on e.model = cf.model left join ta on e.model = ta.model
+  left join tf on e.model = tf.model left join auc on e.model = auc.model""", ("model_preds", "scores"))
+def leaderboard_full(spark, sf):
+    """V9: cross-validated and test accuracy and macro F1 and the macro ROC AUC of every expected model; zeros for one
+    that failed.  One pass counts (model, split, fold, truth, prediction); all but the AUC comes from these counts."""
+    s = scores(spark, sf).where(F.col("split") == "test").select("obs_id", "model", "label", "cls", "p")
+    vote = s.groupBy("obs_id", "label", "cls").agg(F.avg("p").alias("p")).select(
+        "obs_id", F.lit(VOTE).alias("model"), "label", "cls", "p")
+    return _rnd(ev.full_leaderboard(all_preds(spark, sf), s.unionByName(vote), EXPECTED_MODELS))
