@@ -7,13 +7,16 @@ positions of the signature on average, and a class moves to one child for each o
 the threshold stay together in one child on average, others part quickly.  A node with few classes is compared exhaustively by
 signatures, a larger one goes on.  ``TREES`` trees leave a pair at the threshold unseen with a probability below 1e-3.
 
-Groups of thousands of near copies never part, and a list of their pairs would grow with the square of their size.  So
-a node names no pairs but connects what its pairs that may be linked connect, in stars, and a large node links its members to one of
-them and splits on without those that are nearly equal to it (a set within 0.05 of it cannot have a partner at the
-threshold that is not a candidate of it as well: Jaccard distance obeys the triangle inequality).  The stars of all
-nodes, joined by connected components, are *families*: every link lies inside a family.  Each family is then resolved on the
-full shingle sets, which are shipped once: pairs are tested exactly, those already connected are skipped.  A family too
-large for one task is resolved in the nodes that its classes met in, each again of bounded size.
+Groups of thousands of near copies part slowly or never, and a list of their pairs would grow with the square of their size.
+So a node names no pairs but connects what its pairs that may be linked connect, in stars, and a large node links its
+members to one of them.  The stars of all nodes, joined by connected components, are *families*: every link lies inside a
+family.  Families that still fill large nodes at ``DENSE_LEVEL`` are resolved on the full shingle sets before the trees go
+on: dealt at random into chunks of bounded size, every chunk with the same ``PIVOTS`` members, so that whatever is densely linked
+is connected by confirmed links.  From then on a node whose members are already connected is done, a node with
+few members (``DENSE``) outside its largest connected set compares those with all others, again in chunks, and only the
+remaining nodes split on, at the end into pairs of chunks.  The other families are resolved on their full sets, which are
+shipped once: pairs are tested exactly, those already connected are skipped.  A family too large for one task is resolved in the
+nodes that its classes met in, each again of bounded size.
 
 Tables of entries, families and links stay distributed; the driver sees counts.  Edge cases: a null, empty or blank text has
 an empty set, no links, and is its own component; a text shorter than a shingle is one shingle of all its words; rows that
@@ -41,12 +44,14 @@ TREES = 10
 FIRST_LEVELS = 3
 #: Classes that a node compared exhaustively may hold: at first, and once unrelated sets have parted (from this level on).
 SMALL, DENSE, DENSE_LEVEL = 64, 2048, 4
-#: Signature agreement of nearly equal sets, and how far below the threshold a pair still is a candidate.
-EQUAL, SLACK = 0.95, 0.12
+#: How far below the threshold a pair still is a candidate.
+SLACK = 0.12
 #: Classes, and shingles in all, of a family that one task resolves.
 FAMILY, FAMILY_ITEMS = 4096, 8_000_000
-#: Levels after which splitting gives up (reached only by groups of many millions).
-LAST_LEVEL = 60
+#: Members (on average) that all chunks of a larger family share, and levels from one attempt to connect families to the next.
+PIVOTS, CONNECT_EVERY = 64, 4
+#: From ``PAIR_LEVEL`` on, nodes of at most ``PAIR_CHUNKS`` chunks are compared chunk by chunk; after ``LAST_LEVEL`` all are.
+PAIR_LEVEL, PAIR_CHUNKS, LAST_LEVEL = 12, 8, 60
 
 _RNG = np.random.default_rng(8)
 _A = _RNG.integers(1, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -273,56 +278,6 @@ def _near_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(close)], names=["node", "cls", "pivot", "close"])
 
 
-def _grow_cells(classes: DataFrame, threshold: float) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Cells (``cell, cls``) of the trees over ``classes`` (``cls, sig, sig8``), and family edges (``a, b``)."""
-    sig8 = classes.select("cls", "sig8")
-    low = threshold - SLACK
-    cells, edges = [], []
-    entries = settle(classes.select("cls", "sig").mapInArrow(_plant(threshold), "node long, cls long"), "entries")
-    for level in range(FIRST_LEVELS, LAST_LEVEL + 1):
-        most = SMALL if level < DENSE_LEVEL else DENSE
-        sizes = settle(entries.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("pivot"))
-                       .where("size > 1"), "nodes")
-        largest = sizes.agg(F.max("size")).first()[0]
-        if largest is None:
-            break
-        shared = settle(entries.join(sizes, "node"), "shared")
-        met = shared.where(f"size <= {most}").select(F.col("node").alias("cell"), "cls")
-        cells.append(met)
-        dealt = met.join(sig8, "cls").select("cell", "cls", "sig8").repartition("cell").sortWithinPartitions(
-            "cell", "cls")
-        edges.append(settle(dealt.mapInArrow(_candidates(low), "a long, b long"), "edges"))
-        if largest <= most:
-            break
-        if level == LAST_LEVEL:
-            raise RuntimeError("a group of near copies did not split")
-        large = shared.where(f"size > {most}")
-        pivots = settle(large.select("pivot").distinct().join(
-            sig8.select(F.col("cls").alias("pivot"), F.col("sig8").alias("pivot_sig")), "pivot"), "pivots")
-        near = settle(large.select("node", "cls", "pivot").join(sig8, "cls").join(pivots, "pivot").select(
-            "node", "cls", "pivot", "sig8", "pivot_sig").mapInArrow(
-            _near_pivot, "node long, cls long, pivot long, close double"), "near-pivot")
-        edges.append(near.where(f"close >= {low} and cls <> pivot").select(
-            F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct())
-        if level < DENSE_LEVEL:
-            going = near
-        else:
-            # those nearly equal to the pivot stay behind, and the pivot goes on for them.  Should their family prove
-            # giant, they are compared in chunks with the pivot and all that are near it
-            going = near.where(f"close < {EQUAL} or cls = pivot")
-            stay = f"close >= {EQUAL} and cls <> pivot"
-            chunks = settle(near.where(stay).groupBy("node").agg(
-                F.ceil(F.count(F.lit(1)) / DENSE).cast("int").alias("chunks")), "chunks")
-            rows = near.where(f"close >= {low}").join(chunks, "node")
-            own = rows.where(stay).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
-            other = rows.where(f"not ({stay})").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-            cells.append(own.unionByName(other).select(F.xxhash64("node", "chunk").alias("cell"), "cls"))
-        lists = going.groupBy("cls").agg(F.collect_list("node").alias("nodes"))
-        entries = settle(classes.select("cls", "sig").join(lists, "cls").select("cls", "sig", "nodes").mapInArrow(
-            _grow(threshold), "node long, cls long"), "entries")
-    return cells, edges
-
-
 # --- exact check and result -----------------------------------------------------------------------------------------
 
 def _linked(x: np.ndarray, y: np.ndarray, pct: int) -> bool:
@@ -340,20 +295,22 @@ def exact_links(sets: list[np.ndarray], pct: int) -> list[tuple[int, int]]:
     Links are tested on the sets; pairs already connected are skipped.
     """
     n = len(sets)
-    forest = _Forest(n)
+    part = np.arange(n)  # the first set each is connected to
     sig = None
     if n > 8:
         first = np.r_[0, np.cumsum([len(s) for s in sets])]
         sig = (signatures(np.concatenate(sets), first) & np.uint32(0xFF)).astype(np.uint8)
     for i in range(n - 1):
-        rest = np.arange(i + 1, n)
-        if sig is not None:
+        rest = i + 1 + np.flatnonzero(part[i + 1:] != part[i])
+        if sig is not None and len(rest):
             close = agreement(sig[rest], sig[i])
-            rest = rest[close >= pct / 100 - SLACK][np.argsort(-close[close >= pct / 100 - SLACK], kind="stable")]
+            near = close >= pct / 100 - SLACK
+            rest = rest[near][np.argsort(-close[near], kind="stable")]
         for j in rest.tolist():
-            if forest.find(i) != forest.find(j) and _linked(sets[i], sets[j], pct):
-                forest.join(i, j)
-    return forest.stars()
+            if part[i] != part[j] and _linked(sets[i], sets[j], pct):
+                lo, hi = sorted((part[i], part[j]))
+                part[part == hi] = lo
+    return [(r, x) for x, r in enumerate(part.tolist()) if r != x]
 
 
 def _resolve(pct: int):
@@ -370,26 +327,144 @@ def _resolve(pct: int):
     return _by_cell(flush)
 
 
+def _members(classes: DataFrame, edges: list[DataFrame]) -> DataFrame:
+    """Families (``cell, cls, n``) that the edges connect, ``cell`` being the smallest member."""
+    families = components(reduce(DataFrame.unionByName, edges).distinct())
+    roots = families.select(F.col("component").alias("cls"), F.col("component").alias("cell")).distinct()
+    return settle(families.select(F.col("node").alias("cls"), F.col("component").alias("cell")).unionByName(roots).join(
+        classes.select("cls", "n"), "cls"), "families")
+
+
+def _confirmed(docs: DataFrame, rows: DataFrame, n: int, pct: int) -> DataFrame:
+    """Links (``a, b``) that connect what confirmed links connect within each cell (``cell, cls``)."""
+    texts = docs.join(rows.select(F.col("cls").alias("doc")).distinct(), "doc", "left_semi")
+    sets = settle(texts.mapInArrow(_full_sets(n), "doc long, items binary").where("octet_length(items) > 0")
+                  .dropDuplicates(["doc", "items"]), "sets")
+    dealt = rows.join(sets, F.col("cls") == F.col("doc")).select("cell", "cls", "items").repartition("cell")
+    return settle(dealt.sortWithinPartitions("cell", "cls").mapInArrow(_resolve(pct), "a long, b long"), "links")
+
+
+def _chunk(level: int):
+    return F.pmod(F.xxhash64("cls", F.lit(level)), F.col("chunks")).cast("int")
+
+
+def _every_chunk():
+    return F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+
+
+def _connect(docs: DataFrame, classes: DataFrame, edges: list[DataFrame], large: DataFrame, n: int, pct: int,
+             level: int) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links (``a, b``) of the families in large nodes, and those of them compared whole (``cls, family``).
+
+    A family of one chunk is compared whole.  Of a larger one every chunk is, with the members that all chunks share.
+    """
+    member = _members(classes, edges)
+    dense = member.join(large.select("cls").distinct(), "cls", "left_semi").select("cell").distinct()
+    sizes = member.join(dense, "cell", "left_semi").groupBy("cell").agg(
+        F.count(F.lit(1)).alias("size"), F.sum("n").alias("items"))
+    chunks = settle(sizes.select("cell", "size", F.ceil(F.greatest(
+        F.col("size") / FAMILY, F.col("items") / FAMILY_ITEMS)).cast("int").alias("chunks")), "chunks")
+    rows = member.join(chunks, "cell")
+    own = rows.select("cell", _chunk(level).alias("chunk"), "cls")
+    # a draw by hash, so that no task ranks a family
+    drawn = F.pmod(F.xxhash64("cls", F.lit(-1 - level)), F.col("size")) < PIVOTS
+    shared = rows.where((F.col("chunks") > 1) & drawn).select("cell", _every_chunk().alias("chunk"), "cls")
+    dealt = own.unionByName(shared).distinct().select(F.xxhash64("cell", "chunk").alias("cell"), "cls")
+    return _confirmed(docs, dealt, n, pct), rows.where("chunks = 1").select("cls", F.col("cell").alias("family"))
+
+
+def _last_cells(large: DataFrame, label: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """What large nodes (``node, cls``) still have to compare: cells of bounded size, and entries that split on.
+
+    Classes with one label (``cls, label``) need no comparison among themselves.
+    """
+    named = settle(large.select("node", "cls").join(label, "cls", "left").select(
+        "node", "cls", F.coalesce("label", "cls").alias("label")), "named")
+    tally = named.groupBy("node", "label").agg(F.count(F.lit(1)).alias("votes")).groupBy("node").agg(
+        F.max_by("label", "votes").alias("major"), F.max("votes").alias("most"), F.sum("votes").alias("size"))
+    few = F.col("size") - F.col("most") <= DENSE
+    pairs = F.lit(True) if level >= LAST_LEVEL else (F.col("size") <= PAIR_CHUNKS * DENSE) & F.lit(level >= PAIR_LEVEL)
+    how = F.when(few, "few").when(pairs, "pairs").otherwise("split")
+    tally = tally.where("most < size").select("node", "major", how.alias("how"), F.ceil(
+        F.when(few, F.col("most")).otherwise(F.col("size")) / DENSE).cast("int").alias("chunks"))
+    rows = settle(named.join(tally, "node"), "open")
+    few, pairs = rows.where("how = 'few'"), rows.where("how = 'pairs'")
+    own = few.where("label = major").select("node", _chunk(level).alias("chunk"), "cls")
+    other = few.where("label <> major").select("node", _every_chunk().alias("chunk"), "cls")
+    met = own.unionByName(other).select(F.xxhash64("node", "chunk").alias("cell"), "cls")
+    with_all = pairs.select("node", "cls", _chunk(level).alias("i"), _every_chunk().alias("j"))
+    met = met.unionByName(with_all.select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), "cls"))
+    return met, rows.where("how = 'split'").select("node", "cls")
+
+
+def _grow_cells(docs: DataFrame, classes: DataFrame, n: int, pct: int):
+    """Cells (``cell, cls``) of the trees over ``classes`` (``cls, n, sig, sig8``), family edges and confirmed links (``a, b``),
+    and the label of classes that need no comparison among themselves (``cls, label``; None if there are none)."""
+    sig8 = classes.select("cls", "sig8")
+    threshold = pct / 100
+    low = threshold - SLACK
+    cells, edges, links, label = [], [], [], None
+    entries = settle(classes.select("cls", "sig").mapInArrow(_plant(threshold), "node long, cls long"), "entries")
+    for level in range(FIRST_LEVELS, LAST_LEVEL + 1):
+        most = SMALL if level < DENSE_LEVEL else DENSE
+        # other pivots in other nodes, so that no odd one out stands for a group everywhere
+        sizes = settle(entries.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min_by(
+            "cls", F.xxhash64("cls", "node")).alias("pivot")).where("size > 1"), "nodes")
+        largest = sizes.agg(F.max("size")).first()[0]
+        if largest is None:
+            break
+        shared = settle(entries.join(sizes, "node"), "shared")
+        met = shared.where(f"size <= {most}").select(F.col("node").alias("cell"), "cls")
+        large = going = shared.where(f"size > {most}")
+        connect = level >= DENSE_LEVEL and (level - DENSE_LEVEL) % CONNECT_EVERY == 0
+        if largest > most and (connect or level < DENSE_LEVEL):
+            pivots = settle(large.select("pivot").distinct().join(
+                sig8.select(F.col("cls").alias("pivot"), F.col("sig8").alias("pivot_sig")), "pivot"), "pivots")
+            near = settle(large.select("node", "cls", "pivot").join(sig8, "cls").join(pivots, "pivot").select(
+                "node", "cls", "pivot", "sig8", "pivot_sig").mapInArrow(
+                _near_pivot, "node long, cls long, pivot long, close double"), "near-pivot")
+            edges.append(near.where(f"close >= {low} and cls <> pivot").select(
+                F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct())
+        if largest > most and level >= DENSE_LEVEL:
+            if connect:
+                found, whole = _connect(docs, classes, edges, large, n, pct, level)
+                links.append(found)
+                # links never leave a family, and families only grow
+                known = components(reduce(DataFrame.unionByName, links)).withColumnRenamed("node", "cls")
+                label = settle(known.join(whole, "cls", "full").select(
+                    "cls", F.coalesce("family", "component").alias("label")), "label")
+            chunked, going = _last_cells(large, label, level)
+            met = met.unionByName(chunked)
+        cells.append(met)
+        dealt = met.join(sig8, "cls").select("cell", "cls", "sig8").repartition("cell").sortWithinPartitions(
+            "cell", "cls")
+        edges.append(settle(dealt.mapInArrow(_candidates(low), "a long, b long"), "edges"))
+        if largest <= most:
+            break
+        lists = going.groupBy("cls").agg(F.collect_list("node").alias("nodes"))
+        entries = settle(classes.select("cls", "sig").join(lists, "cls").select("cls", "sig", "nodes").mapInArrow(
+            _grow(threshold), "node long, cls long"), "entries")
+    return cells, edges + links, links, label
+
+
 def similar_pairs(docs: DataFrame, classes: DataFrame, n: int, pct: int) -> DataFrame:
     """Pairs ``a < b`` of classes (``cls, n, sig, sig8``) that connect exactly what confirmed links connect."""
-    cells, edges = _grow_cells(classes, pct / 100)
+    cells, edges, links, label = _grow_cells(docs, classes, n, pct)
     if not cells:
         return classes.limit(0).select(F.col("cls").alias("a"), F.col("cls").alias("b"))
-    families = components(reduce(DataFrame.unionByName, edges).distinct())
-    roots = families.select(F.col("component").alias("cls"), F.col("component").alias("cell")).distinct()
-    member = settle(families.select(F.col("node").alias("cls"), F.col("component").alias("cell")).unionByName(roots).join(
-        classes.select("cls", "n"), "cls"), "families")
+    member = _members(classes, edges)
     sizes = member.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("items"))
     giant = settle(sizes.where(f"size > {FAMILY} or items > {FAMILY_ITEMS}").select("cell"), "giants")
     rows = member.join(giant, "cell", "left_anti").select("cell", "cls")
     if giant.take(1):
         met = member.join(giant, "cell", "left_semi").select("cls")
         rows = rows.unionByName(reduce(DataFrame.unionByName, cells).join(met, "cls", "left_semi"))
-    texts = docs.join(member.select(F.col("cls").alias("doc")), "doc", "left_semi")
-    sets = settle(texts.mapInArrow(_full_sets(n), "doc long, items binary").where("octet_length(items) > 0")
-                  .dropDuplicates(["doc", "items"]), "sets")
-    dealt = rows.join(sets, F.col("cls") == F.col("doc")).select("cell", "cls", "items").repartition("cell")
-    return settle(dealt.sortWithinPartitions("cell", "cls").mapInArrow(_resolve(pct), "a long, b long"), "links")
+    if label is not None:
+        # cells with one label are settled
+        rows = settle(rows.join(label, "cls", "left").select("cell", "cls", F.coalesce("label", "cls").alias("label")), "rows")
+        mixed = rows.groupBy("cell").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("cell")
+        rows = rows.join(mixed, "cell", "left_semi").select("cell", "cls")
+    return reduce(DataFrame.unionByName, [*links, _confirmed(docs, rows, n, pct)])
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, pct: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -94,6 +94,40 @@ def test_giant_families_are_resolved_in_their_nodes(spark, monkeypatch):
     assert _got(neardup.near_duplicates(frames, shingle=2)) == want
 
 
+@pytest.mark.parametrize("edited, links_left", [(0.02, False), (0.035, True)])
+def test_groups_of_medium_near_copies_finish(spark, monkeypatch, edited, links_left):
+    """Copies at similarities about 0.85, and about 0.75 with few links, in a group 30 times as large as a node or a family."""
+    rng = random.Random(11)
+    base = [f"m{i}" for i in range(100)]
+    docs = [(k, _edited(rng, base, edited)) for k in range(1200)]
+    docs += [(5000 + k, " ".join(f"r{k}x{i}" for i in range(30))) for k in range(50)]
+    want = brute.near_duplicates(docs, 2, 80)
+    parts = len({c for k, (_, c) in want.items() if k < 5000})
+    assert parts > 5 if links_left else parts < 60
+    monkeypatch.setattr(neardup, "FAMILY", 40)
+    monkeypatch.setattr(neardup, "DENSE", 40)
+    levels, grow = [], neardup._grow
+    monkeypatch.setattr(neardup, "_grow", lambda threshold: levels.append(1) or grow(threshold))
+    assert _got(neardup.near_duplicates(frame(spark, [(k, t, "en") for k, t in docs]), shingle=2)) == want
+    assert len(levels) <= 12
+
+
+def test_exact_links_connect_what_links_connect():
+    rng = np.random.default_rng(6)
+    base = np.sort(rng.integers(0, 2**63, (4, 80), dtype=np.uint64), axis=1)
+    sets = []
+    for g in rng.integers(0, 4, 120):
+        keep = rng.random(80) > 0.08
+        sets.append(np.sort(np.r_[base[g][keep], rng.integers(0, 2**63, int((~keep).sum()), dtype=np.uint64)]))
+    want, got = neardup._Forest(len(sets)), neardup._Forest(len(sets))
+    for i in range(len(sets)):
+        for j in range(i):
+            if neardup._linked(sets[i], sets[j], 80):
+                want.join(i, j)
+    assert all(got.join(a, b) for a, b in neardup.exact_links(sets, 80))
+    assert [got.find(i) for i in range(len(sets))] == [want.find(i) for i in range(len(sets))]
+
+
 def test_components(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)]
