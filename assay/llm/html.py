@@ -5,7 +5,9 @@ The standard library's parser is fed each page and its events are taken as they
 are smoothed by a Gaussian along the page, and lines whose smoothed ratio reaches the standard deviation form the
 content clusters.  The clusters choose the content region: the ``article`` or ``main`` element that holds most of their
 text, or else the deepest element that holds nearly all of it.  All lines of the region are returned, however short,
-except those inside elements that are no article text (menus, headers, footers, adverts, forms, comments ...).
+except those inside elements that are no article text (menus, headers, footers, adverts, forms, comments ...).  A word of a
+class or id (``MARKS``) only suggests such an element: it counts where the element holds a minor share (``MINOR_PART``, ``MINOR_WHOLE``) of
+the page's content text, so a wrapper of the page or of the article stays text whatever its name.
 
 Edge cases: null or empty html gives an empty text; markup that never closes or is cut off ends with the page; a page
 without cluster falls back to all lines outside excluded elements; repeated rows are extracted each on its own.
@@ -40,6 +42,8 @@ commentlist comments consent cookie cookies copyright disclaimer disqus foot foo
 nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion
 related replies reply search share sharing sidebar signup social sponsor sponsored subscribe subscription teaser toolbar
 widget""".split())
+#: Share of the page's content text from which an element is no side matter, where a mark is a whole class or id, or a part of one.
+MINOR_WHOLE, MINOR_PART = 0.9, 0.5
 #: An element that opens ends the open elements named here (up to the nearest element of the second set).
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
           "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
@@ -50,18 +54,20 @@ ENDS_P = BLOCK - {"html", "body", "head", "title"}
 
 
 class _Element:
-    __slots__ = ("tag", "skip", "header", "region")
+    __slots__ = ("tag", "skip", "header", "region", "mark")
 
-    def __init__(self, tag, skip, header, region):
-        self.tag, self.skip, self.header, self.region = tag, skip, header, region
+    def __init__(self, tag, skip, header, region, mark):
+        self.tag, self.skip, self.header, self.region, self.mark = tag, skip, header, region, mark
 
 
 class PageLines(HTMLParser):
-    """Collects lines as ``(text, tags, skipped, region, link characters)`` and regions as ``(tag, parent)``."""
+    """Collects lines as ``(text, tags, skipped, region, link characters, mark)``, regions as ``(tag, parent)`` and, of the
+    innermost element marked by its name around each line, the next one outside and the share that clears it (``marks``; 0 is none)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, int, int]] = []
+        self.lines: list[tuple[str, int, bool, int, int, int]] = []
+        self.marks: list[tuple[int, float]] = [(-1, 0.0)]
         self.regions: list[tuple[str, int]] = [("body", -1)]
         self.stack: list[_Element] = []
         self.open: dict[str, int] = defaultdict(int)
@@ -79,7 +85,8 @@ class PageLines(HTMLParser):
     def _end_line(self):
         for parts, skip in ((self.parts, False), (self.skipped, True)):
             if parts and (text := " ".join("".join(parts).split())):
-                self.lines.append((text, self.tags, skip, self.stack[-1].region if self.stack else 0, self.link))
+                top = self.stack[-1] if self.stack else None
+                self.lines.append((text, self.tags, skip, top.region if top else 0, self.link, top.mark if top else 0))
                 self.tags = 0
         self.parts, self.skipped, self.link = [], [], 0
 
@@ -106,13 +113,19 @@ class PageLines(HTMLParser):
         top = self.stack[-1] if self.stack else None
         skip = bool(top and top.skip) or tag in NO_TEXT
         header = bool(top and top.header)
+        mark = top.mark if top else 0
         if not skip and tag not in ("html", "body", "main"):
             names = ()
             if attrs:
                 a = {k: (v or "") for k, v in attrs}
                 names = set(re.split(r"[^a-z0-9]+", f"{a.get('class', '')} {a.get('id', '')}".lower()))
-                skip = (bool(names & MARKS) or a.get("role", "").lower() in ROLES or "hidden" in a
+                skip = (a.get("role", "").lower() in ROLES or "hidden" in a
                         or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", ""))
+                if not skip and names & MARKS:
+                    self._end_line()
+                    whole = f"{a.get('class', '')} {a.get('id', '')}".lower().split()
+                    self.marks.append((mark, MINOR_PART if MARKS.isdisjoint(whole) else MINOR_WHOLE))
+                    mark = len(self.marks) - 1
             if not skip and (tag == "header" or "header" in names):
                 # a header inside the article keeps its headings
                 skip, header = not (self.open["article"] or self.open["main"]), True
@@ -121,7 +134,7 @@ class PageLines(HTMLParser):
             self.regions.append((tag, region))
             region = len(self.regions) - 1
         self.open[tag] += 1
-        self.stack.append(_Element(tag, skip, header, region))
+        self.stack.append(_Element(tag, skip, header, region, mark))
 
     def _last(self, tags, within=()) -> int:
         for k in range(len(self.stack) - 1, -1, -1):
@@ -151,6 +164,8 @@ class PageLines(HTMLParser):
             if self.open[tag] > 0 and tag not in ("html", "body"):
                 self._drop(self._last((tag,)))
         elif self.open[tag] > 0 and (k := self._last((tag,), BLOCK)) >= 0:
+            if self.stack[-1].mark != (self.stack[k - 1].mark if k else 0):
+                self._end_line()
             self._drop(k)
 
     def handle_data(self, data):
@@ -174,6 +189,20 @@ def content_clusters(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return smooth >= smooth.std()
 
 
+def side_matter(page: PageLines, weight: np.ndarray) -> np.ndarray:
+    """Which lines lie in an element that its name marks and that holds a minor share of the content text (``weight``)."""
+    held = np.zeros(len(page.marks))
+    for w, x in zip(weight, page.lines):
+        held[x[5]] += w
+    for m in range(len(held) - 1, 0, -1):  # inner marks come after the outer ones
+        held[page.marks[m][0]] += held[m]
+    side = np.zeros(len(held), bool)
+    for m in range(1, len(held)):
+        outer, share = page.marks[m]
+        side[m] = side[outer] or held[m] < share * weight.sum() or not weight.any()
+    return side[[x[5] for x in page.lines]]
+
+
 def main_text(html: str | None, sigma: float = 1.0, share: float = 0.9) -> str:
     """The article of one page, blocks in page order joined by an empty line."""
     if not html:
@@ -187,6 +216,7 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.9) -> str:
     size = np.array([len(x[0]) for x in lines], float)
     content = content_clusters(size / np.array([max(1, x[1]) for x in lines]), sigma)
     usable = np.array([not x[2] for x in lines])
+    usable &= ~side_matter(page, size * (content & usable) if (content & usable).any() else size * usable)
     weight = size * (content & usable)
     if not weight.any():
         weight = size * usable

@@ -38,6 +38,22 @@ def test_small_pages(page, want):
     assert main_text(page) == want
 
 
+ARTICLE = "<h1>Head line</h1>" + "<p>Some words of an article that goes on for a while, as they do.</p>" * 5
+SIDE = "<div class='comments'><p>I read it and I do not agree with this at all.</p></div><div class='ad'>Buy now!</div>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<article class='post comment-open'>{ARTICLE}</article>", f"<div class='container has-sidebar'>{ARTICLE}</div>",
+    f"<div class='elementor-widget-container'>{ARTICLE}</div>", f"<div id='search-result'><div>{ARTICLE}</div></div>",
+    f"<div class='no-sidebar'><div class='social-page'><article>{ARTICLE}</article></div></div>"])
+def test_a_name_does_not_drop_the_article(page):
+    want = main_text(f"<article>{ARTICLE}</article>")
+    assert want.count("Some words") == 5
+    assert main_text(f"<body>{page}{SIDE}</body>") == want
+    inner = page.replace(ARTICLE, ARTICLE + SIDE)
+    assert main_text(f"<body>{inner}</body>") == want
+
+
 def test_deep_and_long_pages():
     assert main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
     assert main_text("<article>" + "<p>word word</p>" * 20_000 + "</article>").count("word word") == 20_000
