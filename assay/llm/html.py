@@ -3,8 +3,8 @@
 The standard library's parser is fed each page and its events are taken as they come: a stack of open elements, and a
 *line* for every block of text (all text between two block-level tags).  Each line has a text-to-tag ratio; the ratios
 are smoothed by a Gaussian along the page, and lines whose smoothed ratio reaches the standard deviation form the
-content clusters.  The clusters choose the content region: the ``article`` or ``main`` element that holds most of their
-text, or else the deepest element that holds nearly all of it.  All lines of the region are returned, however short,
+content clusters.  The clusters choose the content region: the ``article`` or ``main`` elements that hold their
+text, all of those side by side, or else the deepest element that holds all of it.  All lines of the region are returned, however short,
 except those inside elements that are no article text (menus, headers, footers, adverts, forms, comments ...).  A word of a
 class or id (``MARKS``) only suggests such an element: it counts where the element holds a minor share (``MINOR_PART``, ``MINOR_WHOLE``) of
 the page's content text, so a wrapper of the page or of the article stays text whatever its name.
@@ -203,7 +203,7 @@ def side_matter(page: PageLines, weight: np.ndarray) -> np.ndarray:
     return side[[x[5] for x in page.lines]]
 
 
-def main_text(html: str | None, sigma: float = 1.0, share: float = 0.9) -> str:
+def main_text(html: str | None, sigma: float = 1.0, share: float = 1.0) -> str:
     """The article of one page, blocks in page order joined by an empty line."""
     if not html:
         return ""
@@ -228,14 +228,22 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.9) -> str:
     for r in range(len(held) - 1, 0, -1):  # children come after their parents
         held[page.regions[r][1]] += held[r]
     named = [r for r, (tag, _) in enumerate(page.regions) if tag in ("article", "main") and held[r] > 0]
-    if named:
-        # of nested ones with the same text the inner is the article
-        best = max(named, key=lambda r: (held[r], r))
-    else:
-        best = max((r for r in range(len(held)) if held[r] >= share * held[0]), default=0)
+    def above(r):
+        while r >= 0:
+            yield r
+            r = page.regions[r][1]
+
+    best, around = set(), set()
+    # of nested ones with the same text the inner is the article; articles side by side all are
+    for r in sorted(named, key=lambda r: (held[r], r), reverse=True):
+        if r not in around and best.isdisjoint(above(r)):
+            best.add(r)
+            around.update(above(r))
+    if not named:
+        best = {max((r for r in range(len(held)) if held[r] >= share * held[0]), default=0)}
     inside = [False] * len(page.regions)
     for r, (_, parent) in enumerate(page.regions):
-        inside[r] = r == best or (parent >= 0 and inside[parent])
+        inside[r] = r in best or (parent >= 0 and inside[parent])
     return "\n\n".join(x[0] for x, ok, c in zip(lines, usable, content)
                        if ok and inside[x[3]] and (named or c or 2 * x[4] <= len(x[0])))
 

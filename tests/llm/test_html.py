@@ -54,6 +54,15 @@ def test_a_name_does_not_drop_the_article(page):
     assert main_text(f"<body>{inner}</body>") == want
 
 
+def test_text_beside_the_longest_region():
+    long = "<p>Some words of an article that goes on for a while, as they do.</p>" * 12
+    last = "<p>In the end the two of them went home and were content.</p>"
+    assert main_text(f"<body><div>{long}</div>{last}</body>").endswith("went home and were content.")
+    assert main_text(f"<body><section>{long}</section><section>{last}</section></body>").endswith("were content.")
+    two = main_text(f"<body><article>{long}</article><article>{last}</article><div class=related><article>{last}</article></div></body>")
+    assert two.count("Some words") == 12 and two.count("went home") == 1
+
+
 def test_deep_and_long_pages():
     assert main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
     assert main_text("<article>" + "<p>word word</p>" * 20_000 + "</article>").count("word word") == 20_000
