@@ -17,9 +17,11 @@ def _value(c: Column | str) -> Column:
 
 
 def quantile_row(df: DataFrame, spec: Mapping[str, tuple], relative_error: float | None = None,
-                 by: str | None = None) -> DataFrame:
+                 by: str | None = None, lower: bool = False) -> DataFrame:
     """Linear-interpolated quantiles (pandas ``quantile`` / DuckDB ``quantile_cont``), exact by default.
 
+    With ``lower``, between two values the lower one (DuckDB ``quantile_disc`` at 0.5).
+
     ``spec`` maps an output column to ``(column, p)`` (a double) or ``(column, [p, ...])`` (an array).  One row, or one
     row per value of ``by`` (few by contract; a null group is left out).
 
@@ -67,7 +69,7 @@ def quantile_row(df: DataFrame, spec: Mapping[str, tuple], relative_error: float
         F.min(F.when(F.col("upto") > F.floor(r), F.col("value"))).alias("below"),
         F.min(F.when(F.col("upto") > F.ceil(r), F.col("value"))).alias("above"))
     part = r - F.floor(r)
-    value = F.when((part == 0) | (F.col("below") == F.col("above")), F.col("below")).otherwise((1 - part) * F.col("below") + part * F.col("above"))
+    value = F.when((part == 0) | F.lit(lower) | (F.col("below") == F.col("above")), F.col("below")).otherwise((1 - part) * F.col("below") + part * F.col("above"))
     found = picked.select(*keys, (F.col("i") * 1000 + F.col("k")).alias("key"), value.alias("value")).groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("found"))
     if by:  # groups whose values are all null keep their row

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.functions.stats import attach, attach_by, one_row, quantile_row
+from assay.functions.stats import attach, attach_by, not_nan, one_row, quantile_row
 from assay.functions.text import parse_number, strip_numeric_symbols
 
 
@@ -211,14 +211,22 @@ def iqr_cap(df: DataFrame, cols: Sequence[str], k: float = 1.5, guard_zero_iqr:
                       for c in df.columns])
 
 
-def fit_imputer_model(df: DataFrame, cols: Sequence[str], relative_error: float = 1e-4):
-    """Spark ML ``Imputer(strategy='median')`` fitted on the given (train) rows.
+def fit_imputer_model(df: DataFrame, cols: Sequence[str], relative_error: float | None = None):
+    """Spark ML ``ImputerModel`` of the given (train) rows' medians, of an even number of values the lower one.
 
-    ``relative_error`` bounds the quantile summaries that tasks build and merge; at 0 they would hold every value.
+    The median is exact (``quantile_row``, no task holds a column); NaN and null are missing values and do not count, and a
+    column without any value raises.  With ``relative_error``, ``Imputer`` fits it from a sketch of the rows.
     """
     from pyspark.ml.feature import Imputer
-    return Imputer(strategy="median", inputCols=list(cols), outputCols=list(cols),
-                   relativeError=relative_error).fit(df)
+    cols = list(cols)
+    imputer = Imputer(strategy="median", inputCols=cols, outputCols=cols)
+    if relative_error is not None:
+        return imputer.setRelativeError(relative_error).fit(df)
+    values = df.select(*[not_nan(F.col(c).cast("double")).alias(c) for c in cols])
+    row = quantile_row(values, {c: (c, 0.5) for c in cols}, lower=True).first()
+    medians = df.sparkSession.createDataFrame([tuple(row) if row else (None,) * len(cols)],
+                                              ", ".join(f"`{c}` double" for c in cols))
+    return imputer.fit(medians)  # the median of one row is its value
 
 
 def impute_regression(df: DataFrame, targets: Sequence[str], rounds: int = 2) -> DataFrame:
