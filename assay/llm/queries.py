@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from assay.llm import langid
 from assay.llm import rules
 from assay.llm import urls
-from assay.llm.common import remainder, table
+from assay.llm.common import remainder, scratch, table
 from assay.llm.decontam import find_leaks
+from assay.llm.exact import deduplicate, open_index
 from assay.llm.html import extract_main_text
 from assay.llm.importance import importance_resample
 from assay.llm.neardup import near_duplicates
@@ -185,3 +187,16 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_decontam")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query("op12_exact_dedup", """
+select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size, doc_id = max(doc_id) over same as kept,
+  sha256(coalesce(text, '')) as text_sha256
+from documents window same as (partition by coalesce(text, ''))
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # each run starts an empty index, so that its figures are those of a first load
+    name = f"digest_index_{uuid.uuid4().hex}"
+    index = open_index(spark, name, int(spark.conf.get("spark.sql.shuffle.partitions")), scratch(spark, name))
+    return deduplicate(table(spark, sf_dir, "documents"), index, "first").select(
+        "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
