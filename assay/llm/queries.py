@@ -17,6 +17,7 @@ from assay.llm.html import extract_main_text
 from assay.llm.importance import importance_resample
 from assay.llm.neardup import near_duplicates
 from assay.llm.packing import pack_documents
+from assay.llm.periodic import periodic_runs
 from assay.llm.tokens import token_counts
 from assay.llm.toxicity import score_toxicity
 from pyspark.sql import functions as F
@@ -200,3 +201,39 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = open_index(spark, name, int(spark.conf.get("spark.sql.shuffle.partitions")), scratch(spark, name))
     return deduplicate(table(spark, sf_dir, "documents"), index, "first").select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """The input that the contract of operator 13 states: every tenth document (by its key's crc32) repeats a stretch of
+    its words from word ``a`` on; all other texts as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    chosen = docs.select("doc_id", "text", h.alias("h"), g.alias("g")).select(
+        "doc_id", "text", "g", F.when(F.col("h") % 10 == 0, words).alias("w"))
+    n = F.size("w")
+    a = F.col("g") % n
+    p = 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))
+    placed = chosen.select("*", F.when(n > 0, a).alias("a")).select("*", p.alias("p"))
+    again = F.transform("w", lambda x, i: F.when(i < F.col("a"), x).otherwise(
+        F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(again, " ")).otherwise(
+        F.col("text")).alias("text"))
+
+
+@_query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(planted_runs(table(spark, sf_dir, "documents")))
+    # the greatest length, then the smallest start and period
+    best = F.try_element_at(F.array_sort(F.transform("runs", lambda r: F.struct(
+        (-r["length"]).alias("order"), r["start"], r["period"]))), F.lit(1))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"),
+                       F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+                       F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    length = -F.col("best.order")
+    return out.select("doc_id", "n_runs", F.col("best.start").alias("start"), length.alias("length"),
+                      F.col("best.period").alias("period"),
+                      F.floor(1000 * length / F.col("best.period")).alias("exponent_milli"),
+                      "runs_sha256", "collapsed_sha256")
