@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from assay.llm import langid
+from assay.llm import merkle
 from assay.llm import rules
 from assay.llm import urls
 from assay.llm.common import remainder, scratch, table
@@ -237,3 +238,68 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("best.period").alias("period"),
                       F.floor(1000 * length / F.col("best.period")).alias("exponent_milli"),
                       "runs_sha256", "collapsed_sha256")
+
+
+MERKLE_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def _merkle_sql(levels: int = 6, fan: int = merkle.FAN) -> str:
+    """The trees level by level: enough levels for ``fan ** levels`` documents a source, and as many sources."""
+    def enc(c):
+        return f"case when {c} is null then '-' else strlen({c}::varchar) || ':' || {c}::varchar end"
+
+    def leaf(text):
+        return "sha256(" + " || ".join(enc(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || " + enc(text) + ")"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # The reflected CRC-32 polynomial, and all bits set
+    bit = "list_reduce([x] || [0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end)"
+    byte = bit.replace("[x]", "[xor(acc, b)]")
+    crc = (f"xor(list_reduce([4294967295] || [ascii(ch)::bigint for ch in string_split(doc_id::varchar, '')], "
+           f"lambda acc, b: {byte}), 4294967295)")
+    ctes = [f"""r as (
+  select doc_id, source, {leaf('text')} as leaf, case when {crc} % 5 = 0 then {leaf(lowered)} else {leaf('text')} end as claim
+  from documents)""", """n0 as (
+  select coalesce('1' || source, '0') as tree, row_number() over (partition by source order by doc_id) - 1 as idx,
+    count(*) over (partition by source) as cnt, leaf as h, doc_id, claim from r)"""]
+
+    def climb(prefix, first):
+        for k in range(levels):
+            here = first if k == 0 else f"{prefix}{k}"
+            ctes.append(f"""{prefix}run{k} as (
+  select tree, idx // {fan} as idx, any_value(cnt) as cnt, list(h order by idx) as hs from {here} group by tree, idx // {fan})""")
+            ctes.append(f"""{prefix}{k + 1} as (
+  select tree, idx, (cnt + {fan - 1}) // {fan} as cnt, case when cnt > 1 then sha256(array_to_string(hs, '')) else hs[1] end as h
+  from {prefix}run{k})""")
+    climb("s", "n0")
+    ctes.append(f"""subs as (
+  select '' as tree, tree as source_tree, row_number() over (order by tree) - 1 as idx, count(*) over () as cnt, h from s{levels})""")
+    climb("t", "subs")
+    prev = "p0"
+    ctes.append("""p0 as (
+  select n.doc_id, n.h as leaf, n.tree, n.idx as i, s.idx as place, s.h as subroot, n.claim as f, '' as proof
+  from n0 n join subs s on n.tree = s.source_tree)""")
+    for kind, at in (("s", "p.i"), ("t", "p.place")):
+        for k in range(levels):
+            own = f"({at} // {fan ** k}) % {fan} + 1"
+            on = "r.tree = p.tree" if kind == "s" else "true"
+            name = f"p{kind}{k}"
+            ctes.append(f"""{name} as (
+  select p.doc_id, p.leaf, p.tree, p.i, p.place, p.subroot,
+    case when r.cnt > 1 then sha256(array_to_string(list_transform(r.hs, lambda x, j: case when j = {own} then p.f else x end), ''))
+         else p.f end as f,
+    p.proof || case when r.cnt > 1 then array_to_string(r.hs[1:{own} - 1] || r.hs[{own} + 1:], '') else '' end as proof
+  from {prev} p join {kind}run{k} r on {on} and r.idx = {at} // {fan ** (k + 1)})""")
+            prev = name
+    return ("with " + ", ".join(ctes) + f"""
+select p.doc_id, p.leaf, p.subroot, t.h as root, sha256(p.proof) as proof_sha256, p.f as folded_root, p.f = t.h as verified
+from {prev} p cross join t{levels} t""")
+
+
+@_query("op11_merkle", _merkle_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", urls.UPPER, urls.LOWER)
+    claim = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0,
+                   merkle.digest([F.col(c) for c in MERKLE_COLUMNS[:-1]] + [lowered]))
+    manifest = merkle.build(table(spark, sf_dir, "documents"), "doc_id", "source", MERKLE_COLUMNS, claim)
+    return merkle.prove(manifest).select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256",
+                                         "folded_root", "verified")
