@@ -1,13 +1,13 @@
 """k-nearest neighbours and the operators built on them.
 
-Exact k-NN is a blocked nested loop: both sides are split into hash blocks,
-every (query block, reference block) pair meets in one ``cogroup`` task
-where numpy computes the distance block and keeps only the top k per
-query.  The candidate lists (at most k per query and reference block) are
-then reduced per query.  No pair table is ever materialised: the rows that
-leave a task are k per query.  Work is inherently O(n * m) for exact
-search; ``knn_lsh`` is the approximate path for tables where that is too
-much.
+Exact k-NN over a few blocks of references is a blocked nested loop: both
+sides are split into hash blocks, every (query block, reference block) pair
+meets in one ``cogroup`` task where numpy computes the distance block and
+keeps only the top k per query.  The candidate lists (at most k per query
+and reference block) are then reduced per query.  No pair table is ever
+materialised: the rows that leave a task are k per query.  Larger tables go
+through the cluster-pruned exact index of ``knn_index``; ``knn_lsh`` is the
+approximate path.
 """
 
 from __future__ import annotations
@@ -22,57 +22,46 @@ from pyspark.sql import functions as F
 
 from assay.functions.hashing import hash60, uniform
 from assay.functions.stats import attach, attach_by, one_row
+from assay.operators.knn_index import build_index, search, stacked, top_pairs
+from assay.session import write_scratch
 
 BLOCK_ROWS = 2048
+#: Reference blocks up to which all pairs are cheaper than an index.
+INDEX_BLOCKS = 8
 
 
 def _topk_block(k: int, exclude_self: bool):
     def run(key, q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if len(q) == 0 or len(r) == 0:
-            return pd.DataFrame({"qid": pd.Series([], "int64"), "rid": pd.Series([], "int64"),
-                                 "dist2": pd.Series([], "float64")})
-        Q = np.stack(q["qvec"].to_numpy()).astype(np.float64)
-        R = np.stack(r["rvec"].to_numpy()).astype(np.float64)
-        qid = q["qid"].to_numpy(np.int64)
-        rid = r["rid"].to_numpy(np.int64)
-        # screening distances by the dot-product form, exact re-check below
-        d = (Q * Q).sum(1)[:, None] + (R * R).sum(1)[None, :] - 2.0 * (Q @ R.T)
-        if exclude_self:
-            d[qid[:, None] == rid[None, :]] = np.inf
-        kk = min(k + 2, len(r))
-        idx = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk < len(r) else np.tile(np.arange(len(r)), (len(q), 1))
-        rows_q = np.repeat(np.arange(len(q)), idx.shape[1])
-        cols_r = idx.ravel()
-        exact = ((Q[rows_q] - R[cols_r]) ** 2).sum(1)
-        out = pd.DataFrame({"qid": qid[rows_q], "rid": rid[cols_r], "dist2": exact})
-        if exclude_self:
-            out = out[out["qid"] != out["rid"]]
-        out = out.sort_values(["qid", "dist2", "rid"]).groupby("qid", sort=False).head(k)
-        return out.reset_index(drop=True)
+        return top_pairs(q["qid"].to_numpy(np.int64), stacked(q["qvec"]), r["rid"].to_numpy(np.int64), stacked(r["rvec"]), k,
+                         exclude_self)
     return run
 
 
 def knn(query: DataFrame, ref: DataFrame, k: int, part: str | None = None, exclude_self: bool = False,
-        block_rows: int = BLOCK_ROWS) -> DataFrame:
+        block_rows: int = BLOCK_ROWS, index_blocks: int = INDEX_BLOCKS) -> DataFrame:
     """Exact k nearest references per query by Euclidean distance.
 
     ``query`` has ``qid, qvec`` and ``ref`` has ``rid, rvec`` (array columns),
     both optionally with a ``part`` column that restricts neighbours to the
     same partition (e.g. the class, for SMOTE).  Returns
     ``(qid, rid, dist2, rank)`` with rank 1..k; ties go to the smaller rid.
+    References of more than ``index_blocks`` blocks are searched through the
+    pruned index, with the same result.
     """
     nq, nr = query.count(), ref.count()
+    if nr > index_blocks * block_rows:
+        return search(query, build_index(ref, nr, part, block_rows), k, part, exclude_self)[0]
     bq = max(1, math.ceil(nq / block_rows))
     br = max(1, math.ceil(nr / block_rows))
     keys = (["__p"] if part else []) + ["qb", "rb"]
     pq = [F.col(part).alias("__p")] if part else []
     pr = [F.col(part).alias("__p")] if part else []
-    q = query.select(*pq, "qid", F.col("qvec").cast("array<double>").alias("qvec"),
-                     (hash60(F.col("qid"), "knn-q") % bq).alias("qb"),
-                     F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(br - 1).cast("bigint"))).alias("rb"))
-    r = ref.select(*pr, "rid", F.col("rvec").cast("array<double>").alias("rvec"),
-                   (hash60(F.col("rid"), "knn-r") % br).alias("rb"),
-                   F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bq - 1).cast("bigint"))).alias("qb"))
+    q = query.where(F.col("qvec").isNotNull()).select(
+        *pq, "qid", F.col("qvec").cast("array<double>").alias("qvec"), (hash60(F.col("qid"), "knn-q") % bq).alias("qb"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(br - 1).cast("bigint"))).alias("rb"))
+    r = ref.where(F.col("rvec").isNotNull()).select(
+        *pr, "rid", F.col("rvec").cast("array<double>").alias("rvec"), (hash60(F.col("rid"), "knn-r") % br).alias("rb"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bq - 1).cast("bigint"))).alias("qb"))
     cand = (q.groupBy(*keys).cogroup(r.groupBy(*keys))
             .applyInPandas(_topk_block(k, exclude_self), "qid long, rid long, dist2 double"))
     w = Window.partitionBy("qid").orderBy("dist2", "rid")
@@ -81,8 +70,11 @@ def knn(query: DataFrame, ref: DataFrame, k: int, part: str | None = None, exclu
 
 def knn_lsh(query: DataFrame, ref: DataFrame, k: int, bucket_length: float, num_tables: int = 4,
             max_distance: float = float("inf")) -> DataFrame:
-    """Approximate k-NN at scale: ``BucketedRandomProjectionLSH`` candidate
-    join, then the same per-query top-k reduction."""
+    """Approximate k-NN: ``BucketedRandomProjectionLSH`` candidate join, then the same per-query top-k reduction.
+
+    A query that shares buckets with fewer than k references is answered by the exact search instead (``exact`` is
+    true on its rows), so every query gets k neighbours where there are as many.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
     qv = query.select("qid", array_to_vector(F.col("qvec").cast("array<double>")).alias("v"))
@@ -93,7 +85,13 @@ def knn_lsh(query: DataFrame, ref: DataFrame, k: int, bucket_length: float, num_
     c = j.select(F.col("datasetA.qid").alias("qid"), F.col("datasetB.rid").alias("rid"),
                  (F.col("d") * F.col("d")).alias("dist2")).where(F.col("qid") != F.col("rid"))
     w = Window.partitionBy("qid").orderBy("dist2", "rid")
-    return c.select("*", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
+    top = write_scratch(c.select("*", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k), "lsh-neighbours")
+    full = top.groupBy("qid").count().where(F.col("count") >= k)
+    found = top.join(full.select("qid"), "qid").withColumn("exact", F.lit(False))
+    rest = query.join(full.select("qid"), "qid", "left_anti")
+    if max_distance != float("inf") or rest.isEmpty():
+        return top.withColumn("exact", F.lit(False))
+    return found.unionByName(knn(rest, ref, k, exclude_self=True).withColumn("exact", F.lit(True)))
 
 
 def knn_classify(train: DataFrame, test: DataFrame, k: int = 7, weighted: bool = True) -> DataFrame:

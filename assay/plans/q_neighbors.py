@@ -31,13 +31,16 @@ SQL_ESPLIT = f"""esplit as (
   from embeddings)"""
 
 
-@register("knn_join", f"""
+_KNN_SQL = f"""
 select vec_id, neighbor_id, rank, round(distance, 6) as distance from (
   select a.vec_id, b.vec_id as neighbor_id, list_distance(a.embedding::double[], b.embedding::double[]) as distance,
          row_number() over (partition by a.vec_id order by list_distance(a.embedding::double[], b.embedding::double[]), b.vec_id) as rank
-  from embeddings a join embeddings b on a.vec_id <> b.vec_id) t where rank <= {K}""")
+  from embeddings a join embeddings b on a.vec_id <> b.vec_id) t where rank <= {K}"""
+
+
+@register("knn_join", _KNN_SQL)
 def knn_join(spark, sf):
-    """Exact 7 nearest neighbours of every vector (blocked cogroup, top-k per block)."""
+    """Exact 7 nearest neighbours of every vector (blocked cogroup, top-k per block; an index beyond a few blocks)."""
     e = emb(spark, sf)
     nn = nb.knn(e.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")),
                 e.select(F.col("id").alias("rid"), F.col("vec").alias("rvec")), K, exclude_self=True)
@@ -45,6 +48,16 @@ def knn_join(spark, sf):
                      F.col("rank").cast("bigint").alias("rank"), r6(F.sqrt("dist2")).alias("distance"))
 
 
+@register("knn_pruned_join", _KNN_SQL)
+def knn_pruned_join(spark, sf):
+    """J4 scale variant: the same neighbours through the cluster-pruned index, in rings of 64 rows on any table."""
+    e = emb(spark, sf)
+    nn = nb.knn(e.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")),
+                e.select(F.col("id").alias("rid"), F.col("vec").alias("rvec")), K, exclude_self=True, block_rows=64, index_blocks=0)
+    return nn.select(F.col("qid").alias("vec_id"), F.col("rid").alias("neighbor_id"),
+                     F.col("rank").cast("bigint").alias("rank"), r6(F.sqrt("dist2")).alias("distance"))
+
+
 @register("knn_classify", f"""with {SQL_ESPLIT},
 nn as (select q.vec_id, t.label as nlabel, list_distance(q.vec, t.vec) as d,
               row_number() over (partition by q.vec_id order by list_distance(q.vec, t.vec), t.vec_id) as rk
@@ -109,12 +122,12 @@ def adasyn(spark, sf):
 
 
 @register("tomek_links", """
-with nn as (select a.vec_id as a, b.vec_id as b, a.label as label_a, b.label as label_b,
-                   row_number() over (partition by a.vec_id order by list_distance(a.embedding::double[], b.embedding::double[]), b.vec_id) as rk
-            from embeddings a join embeddings b on a.vec_id <> b.vec_id),
-n1 as (select * from nn where rk = 1)
-select x.a, x.b, x.label_a, x.label_b from n1 x join n1 y on x.a = y.b and x.b = y.a
-where x.a < x.b and x.label_a <> x.label_b""")
+with n1 as (
+  select a.vec_id as a, min({'d': list_distance(a.embedding::double[], b.embedding::double[]), 'b': b.vec_id}).b as b
+  from embeddings a join embeddings b on a.vec_id <> b.vec_id group by a.vec_id)
+select x.a, x.b, la.label as label_a, lb.label as label_b from n1 x join n1 y on x.a = y.b and x.b = y.a
+join embeddings la on la.vec_id = x.a join embeddings lb on lb.vec_id = x.b
+where x.a < x.b and la.label <> lb.label""")
 def tomek_links(spark, sf):
     """Tomek links (mutual nearest neighbours of different class)."""
     return nb.tomek_links(emb(spark, sf), "label")
@@ -128,11 +141,38 @@ def smote(spark, sf):
                     F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
 
+@register("smote_sizes", """
+with n as (select label, count(*) as n from embeddings group by label), t as (select max(n) as t from n)
+select label, false as synthetic, n as rows from n
+union all select label, true, t - n from n cross join t where n > 1 and n < t""")
+def smote_sizes(spark, sf):
+    """Rows per class of the SMOTE result, given and synthetic."""
+    return nb.smote(emb(spark, sf), "label", 5, SEED).groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("adasyn_sizes", """
+with nn as (select a.vec_id, a.label, b.label as nl,
+                   row_number() over (partition by a.vec_id order by list_distance(a.embedding::double[], b.embedding::double[]), b.vec_id) as rk
+            from embeddings a join embeddings b on a.vec_id <> b.vec_id),
+r as (select vec_id, label, sum(case when nl <> label then 1.0 else 0.0 end) / 5 as r from nn where rk <= 5 group by vec_id, label),
+s as (select label, count(*) as n, max(count(*)) over () as t from embeddings group by label)
+select vec_id as base_id, label, cast(round(g) as bigint) as rows from (
+  select vec_id, r.label, case when sum(r) over w = 0 then 0 else r / sum(r) over w end * (t - n) as g
+  from r join s on r.label = s.label where n < t and n > 1 window w as (partition by r.label)) x
+where round(g) > 0""")
+def adasyn_sizes(spark, sf):
+    """Synthetic rows that each row of a smaller class gets."""
+    s = nb.adasyn(emb(spark, sf), "label", 5, SEED).where("synthetic")
+    return s.groupBy("base_id", "label").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @register("knn_lsh_join")
 def knn_lsh_join(spark, sf):
-    """J4 scale variant: 7 approximate nearest neighbours via random-projection LSH (rows-only)."""
+    """7 approximate nearest neighbours via random-projection LSH, short queries completed exactly (rows-only).
+
+    The vectors have unit length; a bucket of a quarter is about two standard deviations of their projections."""
     e = emb(spark, sf)
     nn = nb.knn_lsh(e.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")),
-                    e.select(F.col("id").alias("rid"), F.col("vec").alias("rvec")), K, bucket_length=50.0)
+                    e.select(F.col("id").alias("rid"), F.col("vec").alias("rvec")), K, bucket_length=0.25)
     return nn.select(F.col("qid").alias("vec_id"), F.col("rid").alias("neighbor_id"),
                      F.col("rank").cast("bigint").alias("rank"), r6(F.sqrt("dist2")).alias("distance"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from assay.functions.hashing import sql_hash60, sql_uniform
 from assay.operators import sampling as sa
 from assay.plans.registry import register
@@ -99,6 +101,28 @@ def balance_noise_max(spark, sf):
     return sa.balance_noise(o, "label", "obs_id", ["total_price", "acct_bal"], scale=0.005, use_max=True, seed=SEED)
 
 
+def _noise_sizes_sql(target):
+    return f"""
+with b as (select label, count(*) as n from obs group by label), t as (select {target} as target from b)
+select label, n < target as drawn, case when n < target then target else n end as rows from b cross join t"""
+
+
+def _noise_sizes(d):
+    return d.groupBy("label", F.col("draw").isNotNull().alias("drawn")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("balance_noise_sizes", _noise_sizes_sql("cast(floor(median(n) * 1.3) as bigint)"), ("obs",))
+def balance_noise_sizes(spark, sf):
+    """Rows per class after the draw to int(1.3 * median)."""
+    return _noise_sizes(balance_noise(spark, sf))
+
+
+@register("balance_noise_max_sizes", _noise_sizes_sql("max(n)"), ("obs",))
+def balance_noise_max_sizes(spark, sf):
+    """Rows per class after the draw to the largest size."""
+    return _noise_sizes(balance_noise_max(spark, sf))
+
+
 @register("balance_poisson")
 def balance_poisson(spark, sf):
     """R1 scale variant: Poisson copies by hash, sizes right in expectation (rows-only)."""
