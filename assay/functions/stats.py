@@ -17,68 +17,96 @@ def _value(c: Column | str) -> Column:
 
 
 def quantile_row(df: DataFrame, spec: Mapping[str, tuple], relative_error: float | None = None,
-                 by: str | None = None, lower: bool = False) -> DataFrame:
+                 by: str | None = None, lower: bool = False, extra: Mapping[str, Column] | None = None) -> DataFrame:
     """Linear-interpolated quantiles (pandas ``quantile`` / DuckDB ``quantile_cont``), exact by default.
 
     With ``lower``, between two values the lower one (DuckDB ``quantile_disc`` at 0.5).
 
     ``spec`` maps an output column to ``(column, p)`` (a double) or ``(column, [p, ...])`` (an array).  One row, or one
-    row per value of ``by`` (few by contract; a null group is left out).
-
-    No task holds the values of a column.  A mergeable sketch gives bounds that surely enclose the wanted ranks; a
-    second pass counts what lies below the bounds and, value by value, what lies between them (map-side combined, about
-    ``4 / SKETCH`` of the rows at most), and the ranks are read off these counts.  With ``relative_error`` the sketch's
-    answer (``percentile_approx``) is returned after one pass.
+    row per value of ``by`` (few by contract; a null group is left out).  ``extra`` names further aggregates of ``df`` that
+    are computed along with the sketch and returned in the same row (not with ``by``).
+
+    No task holds the values of a column.  A mergeable sketch brackets the wanted ranks; its rank error is at most one
+    in SKETCH, and a bracket reaches twice as far.  The second pass is one wide aggregate: per point it counts the values
+    below the bracket and keeps the largest of them and the smallest above; only values inside a bracket (about ``4 /
+    SKETCH`` of the rows) are expanded and counted one by one.  The ranks are read off these counts, after a check that
+    the bracket holds them; if it did not, the query fails with a message and never returns a wrong number.  With
+    ``relative_error`` the sketch's answer (``percentile_approx``) is returned after one pass.
     """
+    if by and extra:
+        raise ValueError("extra aggregates are for the ungrouped form")
+    extra = dict(extra or {})
     points = {n: (list(p) if isinstance(p, (list, tuple)) else [p]) for n, (_, p) in spec.items()}
     cols = {n: f"__v{i}" for i, n in enumerate(spec)}
     keys = [by] if by else []
     src = df.select(*keys, *[_value(c).alias(cols[n]) for n, (c, _) in spec.items()])
     if by:
         src = src.where(F.col(by).isNotNull())
+    # the first pass reads the given columns, so that the extra aggregates can use any of them
+    first = (df.where(F.col(by).isNotNull()) if by else df).groupBy(*keys)
+    value = {n: _value(c) for n, (c, _) in spec.items()}
+    more = [e.alias(k) for k, e in extra.items()]
     if relative_error is not None:
         acc = int(round(1.0 / relative_error))
-        out = src.groupBy(*keys).agg(*[F.percentile_approx(cols[n], points[n], acc).alias(n) for n in spec])
-        return out.select(*keys, *[F.col(n) if isinstance(spec[n][1], (list, tuple)) else F.col(n)[0].alias(n) for n in spec])
+        out = first.agg(*[F.percentile_approx(value[n], points[n], acc).alias(n) for n in spec], *more)
+        return out.select(*keys, *[F.col(n) if isinstance(spec[n][1], (list, tuple)) else F.col(n)[0].alias(n) for n in spec],
+                          *extra)
     slack = 2.0 / SKETCH
     ex = []
     for n in spec:
         v = cols[n]
-        ex += [F.percentile_approx(v, [max(0.0, p - slack) for p in points[n]], SKETCH).alias(f"{v}_lo"),
-               F.percentile_approx(v, [min(1.0, p + slack) for p in points[n]], SKETCH).alias(f"{v}_hi"),
-               F.min(v).alias(f"{v}_min"), F.max(v).alias(f"{v}_max"), F.count(v).alias(f"{v}_n")]
-    bounds = src.groupBy(*keys).agg(*ex)
+        around = [max(0.0, p - slack) for p in points[n]] + [min(1.0, p + slack) for p in points[n]]
+        ex += [F.percentile_approx(value[n], around, SKETCH).alias(f"{v}_b"), F.min(value[n]).alias(f"{v}_min"),
+               F.max(value[n]).alias(f"{v}_max"), F.count(value[n]).alias(f"{v}_n")]
+    bounds = first.agg(*ex, *more)
     j = attach_by(src, bounds, by) if by else attach(src, bounds)
-    cells = []
+    inner, sides, wide = [], [], []
+    inside = F.lit(False)
     for i, n in enumerate(spec):
         v = F.col(cols[n])
         for k, p in enumerate(points[n]):
-            lo = F.col(f"{cols[n]}_min") if p - slack <= 0 else F.col(f"{cols[n]}_lo")[k]
-            hi = F.col(f"{cols[n]}_max") if p + slack >= 1 else F.col(f"{cols[n]}_hi")[k]
-            side = F.when(v < lo, -1).when(v > hi, 1).otherwise(0)
-            cells.append(F.when(v.isNotNull(), F.struct(
-                F.lit(i).alias("i"), F.lit(k).alias("k"), ((F.col(f"{cols[n]}_n") - 1) * F.lit(float(p))).alias("rank"),
-                side.alias("side"), F.when(side == 0, v).alias("inner"), v.alias("v"))))
-    # one cell below the bounds (its largest value may be wanted), one for each value inside, one above (its smallest)
-    seen = j.select(*keys, F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("c")).groupBy(
-        *keys, "c.i", "c.k", "c.rank", "c.side", "c.inner").agg(
-        F.count(F.lit(1)).alias("n"), F.when(F.col("side") < 0, F.max("c.v")).otherwise(F.min("c.v")).alias("value"))
+            lo = F.col(f"{cols[n]}_min") if p - slack <= 0 else F.col(f"{cols[n]}_b")[k]
+            hi = F.col(f"{cols[n]}_max") if p + slack >= 1 else F.col(f"{cols[n]}_b")[len(points[n]) + k]
+            rank = (F.col(f"{cols[n]}_n") - 1) * F.lit(float(p))
+            at = [F.lit(i).alias("i"), F.lit(k).alias("k")]
+            held = (v >= lo) & (v <= hi)
+            inside = inside | F.coalesce(held, F.lit(False))
+            inner.append(F.when(held, F.struct(*at, rank.alias("rank"), v.alias("v"))))
+            # these see every row once, in its cell without a value
+            every = F.col("c").isNull()
+            wide += [F.count_if(every & (v < lo)).alias(f"b{i}_{k}"), F.max(F.when(every & (v < lo), v)).alias(f"x{i}_{k}"),
+                     F.min(F.when(every & (v > hi), v)).alias(f"y{i}_{k}"), F.max(F.when(every, rank)).alias(f"r{i}_{k}")]
+            sides += [F.struct(*at, F.col(f"r{i}_{k}").alias("rank"), F.lit(s).alias("side"), F.col(f"{x}{i}_{k}").alias("value"),
+                               m.alias("n")) for s, x, m in ((-1, "x", F.col(f"b{i}_{k}")), (1, "y", F.lit(1).cast("long")))]
+    kind = "struct<i:int,k:int,rank:double,v:double>"
+    alone = F.array(F.lit(None).cast(kind))
+    cells = F.when(inside, F.concat(alone, F.filter(F.array(*inner), lambda x: x.isNotNull()))).otherwise(alone)
+    counted = j.select("*", F.explode(cells).alias("c")).groupBy(*keys, "c").agg(F.count(F.lit(1)).alias("n"), *wide)
+    one = F.struct(F.col("c.i").alias("i"), F.col("c.k").alias("k"), F.col("c.rank").alias("rank"), F.lit(0).alias("side"),
+                   F.col("c.v").alias("value"), F.col("n").alias("n"))
+    seen = counted.select(*keys, F.inline(F.when(F.col("c").isNull(), F.array(*sides)).otherwise(F.array(one))))
     upto = F.sum("n").over(Window.partitionBy(*keys, "i", "k").orderBy("side", "value"))
-    r = F.col("rank")
-    picked = seen.select(*keys, "i", "k", "rank", "value", upto.alias("upto")).groupBy(*keys, "i", "k", "rank").agg(
-        F.min(F.when(F.col("upto") > F.floor(r), F.col("value"))).alias("below"),
-        F.min(F.when(F.col("upto") > F.ceil(r), F.col("value"))).alias("above"))
+    r, has = F.col("rank"), F.col("value").isNotNull()
+    picked = seen.select(*keys, "i", "k", "rank", "side", "n", "value", upto.alias("upto")).groupBy(*keys, "i", "k").agg(
+        F.max("rank").alias("rank"),
+        F.min(F.when(has & (F.col("upto") > F.floor(r)), F.col("value"))).alias("below"),
+        F.min(F.when(has & (F.col("upto") > F.ceil(r)), F.col("value"))).alias("above"),
+        F.sum(F.when(F.col("side") < 0, F.col("n")).otherwise(0)).alias("left_of"),
+        F.sum(F.when(F.col("side") == 0, F.col("n")).otherwise(0)).alias("held"))
     part = r - F.floor(r)
-    value = F.when((part == 0) | F.lit(lower) | (F.col("below") == F.col("above")), F.col("below")).otherwise((1 - part) * F.col("below") + part * F.col("above"))
+    missed = (F.floor(r) < F.col("left_of") - 1) | (F.ceil(r) > F.col("left_of") + F.col("held"))
+    value = F.when(missed, F.raise_error(F.lit("a quantile's rank lies outside the bracket of its sketch"))).when(
+        (part == 0) | F.lit(lower) | (F.col("below") == F.col("above")), F.col("below")).otherwise(
+        (1 - part) * F.col("below") + part * F.col("above"))
     found = picked.select(*keys, (F.col("i") * 1000 + F.col("k")).alias("key"), value.alias("value")).groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("found"))
-    if by:  # groups whose values are all null keep their row
-        found = bounds.select(by).join(found, by, "left")
+    if extra:
+        found = attach(found, bounds)
     out = []
     for i, n in enumerate(spec):
         vals = [F.col("found")[F.lit(i * 1000 + k)] for k in range(len(points[n]))]
         out.append((F.array(*vals) if isinstance(spec[n][1], (list, tuple)) else vals[0]).alias(n))
-    return found.select(*keys, *out)
+    return found.select(*keys, *out, *extra)
 
 
 def attach_by(df: DataFrame, table: DataFrame, key: str) -> DataFrame:

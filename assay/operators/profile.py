@@ -55,7 +55,7 @@ def describe(df: DataFrame, cols: Sequence[str], relative_error: float | None =
         ex[f"{c}__std"] = F.stddev_samp(c)
         ex[f"{c}__min"] = F.min(c).cast("double")
         ex[f"{c}__max"] = F.max(c).cast("double")
-    w = attach(one_row(df, ex), quantile_row(df, {f"{c}__q": (c, [0.25, 0.5, 0.75]) for c in cols}, relative_error))
+    w = quantile_row(df, {f"{c}__q": (c, [0.25, 0.5, 0.75]) for c in cols}, relative_error, extra=ex)
     w = w.select("*", *[F.col(f"{c}__q")[i].alias(f"{c}__{n}") for c in cols
                         for i, n in enumerate(["p25", "p50", "p75"])])
     return _unpivot(w, cols, ["count", "mean", "std", "min", "p25", "p50", "p75", "max"])
@@ -69,7 +69,7 @@ def range_profile(df: DataFrame, cols: Sequence[str], relative_error: float | No
         ex[f"{c}__max"] = F.max(c).cast("double")
         ex[f"{c}__mean"] = F.avg(c)
         ex[f"{c}__n_non_negative"] = F.sum((F.col(c) >= 0).cast("bigint"))
-    w = attach(one_row(df, ex), quantile_row(df, {f"{c}__median": (c, 0.5) for c in cols}, relative_error))
+    w = quantile_row(df, {f"{c}__median": (c, 0.5) for c in cols}, relative_error, extra=ex)
     return _unpivot(w, cols, ["min", "max", "mean", "median", "n_non_negative"])
 
 

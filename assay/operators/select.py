@@ -8,6 +8,7 @@ small tables (one row per feature) that the set operations combine.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,7 +53,8 @@ def mutual_information(long: DataFrame, label: str = "label", q: int = 5,
     edges = quantile_row(long, {"__q": ("value", ps)}, relative_error, "feature").select(
         "feature", F.array_distinct("__q").alias("__e"))
     j = attach_by(long.where(F.col("value").isNotNull()), edges, "feature")
-    b = F.size(F.filter(F.col("__e"), lambda e: e < F.col("value")))
+    # edges beyond the distinct ones are null and count as not passed
+    b = reduce(lambda x, y: x + y, [F.coalesce((F.get("__e", F.lit(i)) < F.col("value")).cast("int"), F.lit(0)) for i in range(q - 1)])
     ct = j.groupBy("feature", b.alias("bin"), label).agg(F.count(F.lit(1)).alias("n"))
     wf = Window.partitionBy("feature")
     nb = F.sum("n").over(Window.partitionBy("feature", "bin"))
