@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 #: Accuracy of the sketch that brackets an exact quantile: a bracket holds about 4 / SKETCH of the rows.
 SKETCH = 10_000
+#: A bracket reaches so many times the sketch's rank error to both sides, and so many times as far where it misses a rank.
+REACH, WIDEN = 2.0, 16.0
 
 
 def _value(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("double")
 
 
+def local_table(spark: SparkSession, rows: list[dict], schema: T.StructType) -> DataFrame:
+    """A few rows of fitted statistics as a table inside the plan: no job reads it."""
+    return spark.createDataFrame(pa.Table.from_pylist(rows, schema=to_arrow_schema(schema)), schema)
+
+
 def quantile_row(df: DataFrame, spec: Mapping[str, tuple], relative_error: float | None = None,
                  by: str | None = None, lower: bool = False, extra: Mapping[str, Column] | None = None) -> DataFrame:
     """Linear-interpolated quantiles (pandas ``quantile`` / DuckDB ``quantile_cont``), exact by default.
@@ -24,89 +35,115 @@ def quantile_row(df: DataFrame, spec: Mapping[str, tuple], relative_error: float
 
     ``spec`` maps an output column to ``(column, p)`` (a double) or ``(column, [p, ...])`` (an array).  One row, or one
     row per value of ``by`` (few by contract; a null group is left out).  ``extra`` names further aggregates of ``df`` that
-    are computed along with the sketch and returned in the same row (not with ``by``).
-
-    No task holds the values of a column.  A mergeable sketch brackets the wanted ranks; its rank error is at most one
-    in SKETCH, and a bracket reaches twice as far.  The second pass is one wide aggregate: per point it counts the values
-    below the bracket and keeps the largest of them and the smallest above; only values inside a bracket (about ``4 /
-    SKETCH`` of the rows) are expanded and counted one by one.  The ranks are read off these counts, after a check that
-    the bracket holds them; if it did not, the query fails with a message and never returns a wrong number.  With
-    ``relative_error`` the sketch's answer (``percentile_approx``) is returned after one pass.
+    are computed along with the sketch and returned in the same row.
+
+    The quantiles are fitted at once, like ``approxQuantile``, in two passes, and no task holds the values of a column.  A
+    mergeable sketch brackets the wanted ranks: its rank error is at most one in ``SKETCH``, and a bracket reaches ``REACH``
+    times as far.  The second pass is one wide aggregate: per point it counts the values below the bracket and at its two
+    ends, and keeps the largest value below and the smallest above; only values strictly inside a bracket (at most about
+    ``2 * REACH / SKETCH`` of the rows, whatever their ties) are expanded and counted one by one.  The ranks are read off
+    these counts.  A bracket that does not hold its rank is seen by the counts and widened.  With ``relative_error`` the
+    sketch's answer (``percentile_approx``) is returned after one pass, when the result is read.
     """
-    if by and extra:
-        raise ValueError("extra aggregates are for the ungrouped form")
     extra = dict(extra or {})
     points = {n: (list(p) if isinstance(p, (list, tuple)) else [p]) for n, (_, p) in spec.items()}
-    cols = {n: f"__v{i}" for i, n in enumerate(spec)}
     keys = [by] if by else []
-    src = df.select(*keys, *[_value(c).alias(cols[n]) for n, (c, _) in spec.items()])
-    if by:
-        src = src.where(F.col(by).isNotNull())
-    # the first pass reads the given columns, so that the extra aggregates can use any of them
-    first = (df.where(F.col(by).isNotNull()) if by else df).groupBy(*keys)
+    rows = df.where(F.col(by).isNotNull()) if by else df
     value = {n: _value(c) for n, (c, _) in spec.items()}
     more = [e.alias(k) for k, e in extra.items()]
     if relative_error is not None:
         acc = int(round(1.0 / relative_error))
-        out = first.agg(*[F.percentile_approx(value[n], points[n], acc).alias(n) for n in spec], *more)
+        out = rows.groupBy(*keys).agg(*[F.percentile_approx(value[n], points[n], acc).alias(n) for n in spec], *more)
         return out.select(*keys, *[F.col(n) if isinstance(spec[n][1], (list, tuple)) else F.col(n)[0].alias(n) for n in spec],
                           *extra)
-    slack = 2.0 / SKETCH
+    slack, found = REACH / SKETCH, None
+    while found is None:
+        bounds = _bounds(rows, keys, value, points, slack, more)
+        found = _ranked(rows.select(*keys, *[value[n].alias(f"__v{i}") for i, n in enumerate(spec)]), bounds, by,
+                        list(points.values()), slack)
+        slack *= WIDEN
+    kinds = [T.StructField(n, T.ArrayType(T.DoubleType()) if isinstance(spec[n][1], (list, tuple)) else T.DoubleType())
+             for n in spec]
+    out = []
+    for row in bounds.collect():
+        cell = {}
+        for i, n in enumerate(spec):
+            got = [_between(found.get((row[by] if by else None, i, k)), lower) for k in range(len(points[n]))]
+            cell[n] = got if isinstance(spec[n][1], (list, tuple)) else got[0]
+        out.append(cell | {c: row[c] for c in (*keys, *extra)})
+    schema = T.StructType([*[bounds.schema[c] for c in keys], *kinds, *[bounds.schema[c] for c in extra]])
+    return local_table(df.sparkSession, out, schema)
+
+
+def _between(cell, lower: bool) -> float | None:
+    if cell is None or cell["below"] is None:
+        return None
+    part = cell["rank"] - math.floor(cell["rank"])
+    if part == 0 or lower or cell["below"] == cell["above"]:
+        return cell["below"]
+    return (1 - part) * cell["below"] + part * cell["above"]
+
+
+def _bounds(rows: DataFrame, keys: list[str], value: Mapping[str, Column], points: Mapping[str, list], slack: float,
+            more: list[Column]) -> DataFrame:
+    """First pass: per quantile column, sketched bounds around its points, least and greatest value, and count."""
     ex = []
-    for n in spec:
-        v = cols[n]
+    for i, n in enumerate(value):
         around = [max(0.0, p - slack) for p in points[n]] + [min(1.0, p + slack) for p in points[n]]
-        ex += [F.percentile_approx(value[n], around, SKETCH).alias(f"{v}_b"), F.min(value[n]).alias(f"{v}_min"),
-               F.max(value[n]).alias(f"{v}_max"), F.count(value[n]).alias(f"{v}_n")]
-    bounds = first.agg(*ex, *more)
-    j = attach_by(src, bounds, by) if by else attach(src, bounds)
+        ex += [F.percentile_approx(value[n], around, SKETCH).alias(f"__v{i}_b"), F.min(value[n]).alias(f"__v{i}_min"),
+               F.max(value[n]).alias(f"__v{i}_max"), F.count(value[n]).alias(f"__v{i}_n")]
+    fitted = rows.groupBy(*keys).agg(*ex, *more)
+    return local_table(rows.sparkSession, [r.asDict(recursive=True) for r in fitted.collect()], fitted.schema)
+
+
+def _ranked(src: DataFrame, bounds: DataFrame, by: str | None, points: list[list], slack: float) -> dict | None:
+    """Second pass: ``(group, column, point) -> rank`` and the values at its floor and ceiling; None if a bracket missed."""
+    keys = [by] if by else []
+
+    def bounded(table: DataFrame) -> DataFrame:
+        return attach_by(table, bounds, by) if by else attach(table, bounds)
     inner, sides, wide = [], [], []
     inside = F.lit(False)
-    for i, n in enumerate(spec):
-        v = F.col(cols[n])
-        for k, p in enumerate(points[n]):
-            lo = F.col(f"{cols[n]}_min") if p - slack <= 0 else F.col(f"{cols[n]}_b")[k]
-            hi = F.col(f"{cols[n]}_max") if p + slack >= 1 else F.col(f"{cols[n]}_b")[len(points[n]) + k]
-            rank = (F.col(f"{cols[n]}_n") - 1) * F.lit(float(p))
-            at = [F.lit(i).alias("i"), F.lit(k).alias("k")]
-            held = (v >= lo) & (v <= hi)
+    for i, ps in enumerate(points):
+        v = F.col(f"__v{i}")
+        for k, p in enumerate(ps):
+            lo = F.col(f"__v{i}_min") if p - slack <= 0 else F.col(f"__v{i}_b")[k]
+            hi = F.col(f"__v{i}_max") if p + slack >= 1 else F.col(f"__v{i}_b")[len(ps) + k]
+            held = (v > lo) & (v < hi)
             inside = inside | F.coalesce(held, F.lit(False))
-            inner.append(F.when(held, F.struct(*at, rank.alias("rank"), v.alias("v"))))
+            at = [F.lit(i).alias("i"), F.lit(k).alias("k")]
+            inner.append(F.when(held, F.struct(*at, v.alias("v"))))
             # these see every row once, in its cell without a value
             every = F.col("c").isNull()
             wide += [F.count_if(every & (v < lo)).alias(f"b{i}_{k}"), F.max(F.when(every & (v < lo), v)).alias(f"x{i}_{k}"),
-                     F.min(F.when(every & (v > hi), v)).alias(f"y{i}_{k}"), F.max(F.when(every, rank)).alias(f"r{i}_{k}")]
-            sides += [F.struct(*at, F.col(f"r{i}_{k}").alias("rank"), F.lit(s).alias("side"), F.col(f"{x}{i}_{k}").alias("value"),
-                               m.alias("n")) for s, x, m in ((-1, "x", F.col(f"b{i}_{k}")), (1, "y", F.lit(1).cast("long")))]
-    kind = "struct<i:int,k:int,rank:double,v:double>"
-    alone = F.array(F.lit(None).cast(kind))
+                     F.count_if(every & (v == lo)).alias(f"l{i}_{k}"), F.count_if(every & (v == hi)).alias(f"h{i}_{k}"),
+                     F.min(F.when(every & (v > hi), v)).alias(f"y{i}_{k}")]
+            rank = ((F.col(f"__v{i}_n") - 1) * F.lit(float(p))).alias("rank")
+            above = F.when(hi > lo, F.col(f"h{i}_{k}")).otherwise(0).cast("long")
+            sides += [F.struct(*at, rank, F.lit(s).alias("side"), x.alias("value"), m.alias("n")) for s, x, m in (
+                (-1, F.col(f"x{i}_{k}"), F.col(f"b{i}_{k}")), (0, lo, F.col(f"l{i}_{k}")), (0, hi, above),
+                (1, F.col(f"y{i}_{k}"), F.lit(1).cast("long")))]
+    alone = F.array(F.lit(None).cast("struct<i:int,k:int,v:double>"))
     cells = F.when(inside, F.concat(alone, F.filter(F.array(*inner), lambda x: x.isNotNull()))).otherwise(alone)
-    counted = j.select("*", F.explode(cells).alias("c")).groupBy(*keys, "c").agg(F.count(F.lit(1)).alias("n"), *wide)
-    one = F.struct(F.col("c.i").alias("i"), F.col("c.k").alias("k"), F.col("c.rank").alias("rank"), F.lit(0).alias("side"),
+    counted = bounded(src).select("*", F.explode(cells).alias("c")).groupBy(*keys, "c").agg(F.count(F.lit(1)).alias("n"), *wide)
+    one = F.struct(F.col("c.i").alias("i"), F.col("c.k").alias("k"), F.lit(None).cast("double").alias("rank"), F.lit(0).alias("side"),
                    F.col("c.v").alias("value"), F.col("n").alias("n"))
-    seen = counted.select(*keys, F.inline(F.when(F.col("c").isNull(), F.array(*sides)).otherwise(F.array(one))))
-    upto = F.sum("n").over(Window.partitionBy(*keys, "i", "k").orderBy("side", "value"))
-    r, has = F.col("rank"), F.col("value").isNotNull()
-    picked = seen.select(*keys, "i", "k", "rank", "side", "n", "value", upto.alias("upto")).groupBy(*keys, "i", "k").agg(
-        F.max("rank").alias("rank"),
-        F.min(F.when(has & (F.col("upto") > F.floor(r)), F.col("value"))).alias("below"),
+    seen = bounded(counted).select(*keys, F.inline(F.when(F.col("c").isNull(), F.array(*sides)).otherwise(F.array(one))))
+    w = Window.partitionBy(*keys, "i", "k")
+    seen = seen.select("*", F.sum("n").over(w.orderBy("side", "value")).alias("upto"), F.max("rank").over(w).alias("r"))
+    r, has = F.col("r"), F.col("value").isNotNull()
+    picked = seen.groupBy(*keys, "i", "k").agg(
+        F.max("rank").alias("rank"), F.min(F.when(has & (F.col("upto") > F.floor(r)), F.col("value"))).alias("below"),
         F.min(F.when(has & (F.col("upto") > F.ceil(r)), F.col("value"))).alias("above"),
         F.sum(F.when(F.col("side") < 0, F.col("n")).otherwise(0)).alias("left_of"),
         F.sum(F.when(F.col("side") == 0, F.col("n")).otherwise(0)).alias("held"))
-    part = r - F.floor(r)
-    missed = (F.floor(r) < F.col("left_of") - 1) | (F.ceil(r) > F.col("left_of") + F.col("held"))
-    value = F.when(missed, F.raise_error(F.lit("a quantile's rank lies outside the bracket of its sketch"))).when(
-        (part == 0) | F.lit(lower) | (F.col("below") == F.col("above")), F.col("below")).otherwise(
-        (1 - part) * F.col("below") + part * F.col("above"))
-    found = picked.select(*keys, (F.col("i") * 1000 + F.col("k")).alias("key"), value.alias("value")).groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("found"))
-    if extra:
-        found = attach(found, bounds)
-    out = []
-    for i, n in enumerate(spec):
-        vals = [F.col("found")[F.lit(i * 1000 + k)] for k in range(len(points[n]))]
-        out.append((F.array(*vals) if isinstance(spec[n][1], (list, tuple)) else vals[0]).alias(n))
-    return found.select(*keys, *out, *extra)
+    found = {}
+    for c in picked.collect():  # one row per group and point
+        # the value below the bracket is the last of left_of, the one above it the first after held
+        if c["rank"] is not None and (math.floor(c["rank"]) < c["left_of"] - 1 or math.ceil(c["rank"]) > c["left_of"] + c["held"]):
+            return None
+        found[(c[by] if by else None, c["i"], c["k"])] = c
+    return found
 
 
 def attach_by(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
