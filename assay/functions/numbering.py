@@ -37,6 +37,8 @@ def number_rows(df: DataFrame, order: Sequence[str], within: Sequence[str] = (),
     if not within:
         # one row per partition, so the table is bounded by the number of partitions
         parts = sorted(counts.select("__part", "__n").collect())
+        if len(parts) < 2:
+            return placed.select(*df.columns, F.col("__at").alias(number))
         before = [0, *accumulate(n for _, n in parts)][:-1]
         offsets = df.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(parts, before)], "__part int, __before long")
         return placed.join(F.broadcast(offsets), "__part").select(

@@ -99,6 +99,7 @@ def _bounds(rows: DataFrame, keys: list[str], value: Mapping[str, Column], point
 def _ranked(src: DataFrame, bounds: DataFrame, by: str | None, points: list[list], slack: float) -> dict | None:
     """Second pass: ``(group, column, point) -> rank`` and the values at its floor and ceiling; None if a bracket missed."""
     keys = [by] if by else []
+    bounds = bounds.select(*keys, *[c for c in bounds.columns if c.startswith("__v")])
 
     def bounded(table: DataFrame) -> DataFrame:
         return attach_by(table, bounds, by) if by else attach(table, bounds)
@@ -162,6 +163,45 @@ def attach_by(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return j.select(*df.columns, *[F.col("__row").getField(c).alias(c) for c in fields])
 
 
+#: Keys that travel to the rows as a map: a table of at most so many rows, or the keys with more than one in HEAVY rows each.
+HEAVY = 1000
+SALTS = 1024
+
+
+def lookup(df: DataFrame, table: DataFrame, key: str, weight: str | None = None) -> DataFrame:
+    """The columns of ``table``, which has one row per value of ``key`` and any number of them, on the rows of that value.
+
+    A table of at most ``HEAVY`` rows travels as a map, like :func:`attach_by`.  Of a longer one only the heavy keys do,
+    which more than one in ``HEAVY`` rows of ``df`` have each, so that they are fewer than that; ``weight`` names the column of
+    ``table`` that holds the rows of ``df`` per key (counted here without it).  All other rows are joined by key, and the
+    rows that the map has answered take part with a salt, so that no task meets a key with a large share of the rows.
+
+    Null is a key like any other.  Values that the table lacks get nulls.  ``table`` is read several times: pass a written one.
+    """
+    fields = [c for c in table.columns if c != key and c != weight]
+    packed = F.struct(*[F.col(c) for c in fields])
+    head = table.limit(HEAVY + 1).collect()
+    small = len(head) <= HEAVY
+    if small:
+        table = hot = local_table(df.sparkSession, [r.asDict(recursive=True) for r in head], table.schema)
+    null_row = table.where(F.col(key).isNull()).agg(F.first(packed).alias("__null")).scalar()
+    if not small:
+        counts = table.select(key, F.col(weight).alias("__n")) if weight else df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+        heavy = attach(counts, counts.agg(F.sum("__n").alias("__total"))).where(
+            F.col(key).isNotNull() & (F.col("__n") * HEAVY > F.col("__total"))).select(F.col(key).alias("__k"))
+        hot = table.join(F.broadcast(heavy), F.col(key) == F.col("__k"), "left_semi")
+    j = attach_by(df, hot.select(key, packed.alias("__hot")), key)
+    j = j.select(*df.columns, F.when(F.col(key).isNull(), null_row).otherwise(F.col("__hot")).alias("__found"))
+    if not small:
+        plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+        rest = F.col("__found").isNull() & F.col(key).isNotNull()
+        j = j.select("*", F.when(rest, F.col(key)).alias("__k"),
+                     F.when(rest, 0).otherwise(F.pmod(F.xxhash64(*plain), F.lit(SALTS)) + 1).cast("int").alias("__salt"))
+        others = table.where(F.col(key).isNotNull()).select(F.col(key).alias("__k"), F.lit(0).alias("__salt"), packed.alias("__cold"))
+        j = j.join(others, ["__k", "__salt"], "left").select(*df.columns, F.coalesce("__found", "__cold").alias("__found"))
+    return j.select(*df.columns, *[F.col("__found").getField(c).alias(c) for c in fields])
+
+
 def one_row(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
     """Global aggregate -> exactly one row; safe to broadcast (size is fixed)."""
     return df.agg(*[e.alias(k) for k, e in exprs.items()])

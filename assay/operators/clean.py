@@ -7,8 +7,9 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.functions.stats import attach, attach_by, not_nan, one_row, quantile_row
+from assay.functions.stats import attach, attach_by, lookup, not_nan, one_row, quantile_row
 from assay.functions.text import parse_number, strip_numeric_symbols
+from assay.session import write_scratch
 
 
 # ---------------------------------------------------------------- filters
@@ -72,10 +73,12 @@ def outlier_counts(df: DataFrame, bounds: Mapping[str, tuple]) -> DataFrame:
 def drop_singleton_classes(df: DataFrame, target: str, min_rows: int = 2) -> DataFrame:
     """Keep classes with at least ``min_rows`` rows (null is no class).
 
-    The class counts reach the rows as a map (:func:`attach_by`): rows are not shuffled on their class.
+    Class counts reach the rows as a map where classes are few; beyond that the classes of many rows do, and only the
+    rows of small classes are joined (:func:`lookup`).  No list of all classes is ever gathered.
     """
-    sizes = df.groupBy(target).agg(F.count(F.lit(1)).alias("__size"))
-    return attach_by(df, sizes, target).where(F.col("__size") >= min_rows).select(*df.columns)
+    sizes = write_scratch(df.where(F.col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("__size")), "class-sizes")
+    kept = sizes.select(target, "__size", F.col("__size").alias("__rows"))
+    return lookup(df, kept, target, "__rows").where(F.col("__size") >= min_rows).select(*df.columns)
 
 
 def numeric_detection(df: DataFrame, cols: Sequence[str], threshold: float = 0.7) -> DataFrame:
@@ -123,17 +126,22 @@ def consolidate(c: Column, mapping: Mapping[str, str]) -> Column:
 def merge_rare_classes(df: DataFrame, col: str, min_share: float = 0.01, min_count: int = 3) -> DataFrame:
     """Classes with fewer than max(min_count, int(min_share * n)) rows -> commonest class.
 
-    The count table has one row per class; the commonest class is the largest
-    count, ties to the smaller value.  No window over the data.
+    The commonest class is the largest count, ties to the smaller value (null first).  A class that stays has at least
+    ``min_share`` of the rows, so the classes that stay are at most ``1 / min_share``; they reach the rows as one map, and
+    whatever the map lacks becomes the commonest class.  Without a share, classes are looked up by size instead.
     """
-    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    tot = counts.agg(F.sum("n").alias("total"),
-                     F.min_by(F.col(col), F.struct(-F.col("n"), F.col(col))).alias("top"))
-    thr = F.greatest(F.lit(min_count), F.floor(F.col("total") * min_share).cast("bigint"))
-    rare = attach(counts, tot).where(F.col("n") < thr).select(col, F.col("top").alias("__top"))
-    null_top = rare.where(F.col(col).isNull()).agg(F.max("__top").alias("__null_top"))
-    out = attach(attach_by(df, rare, col), null_top)
-    new = F.when(F.col(col).isNull(), F.col("__null_top")).otherwise(F.coalesce(F.col("__top"), F.col(col)))
+    counts = write_scratch(df.groupBy(col).agg(F.count(F.lit(1)).alias("n")), "class-counts")
+    tot = counts.agg(F.sum("n").alias("__total"), F.min_by(F.col(col), F.struct(-F.col("n"), F.col(col))).alias("__top"))
+    thr = F.greatest(F.lit(min_count), F.floor(F.col("__total") * min_share).cast("bigint"))
+    judged = attach(counts, tot).select(F.col(col), (F.col("n") >= thr).alias("__stays"), F.col("n").alias("__n"))
+    if min_share > 0:
+        null_stays = judged.where(F.col(col).isNull()).agg(F.max("__stays").alias("__null_stays"))
+        out = attach(attach_by(df, judged.where("__stays").select(col, "__stays"), col), null_stays)
+        stays = F.when(F.col(col).isNull(), F.col("__null_stays")).otherwise(F.col("__stays"))
+    else:
+        out, stays = lookup(df, judged, col, "__n"), F.col("__stays")
+    out = attach(out, tot)
+    new = F.when(F.coalesce(stays, F.lit(False)), F.col(col)).otherwise(F.col("__top"))
     return out.select(*[new.alias(col) if c == col else F.col(c) for c in df.columns])
 
 

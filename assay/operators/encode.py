@@ -1,18 +1,20 @@
 """Encoders: fixed maps, first-seen codes, sorted label codes, one-hot (E*).
 
-Code maps are small dimension tables ``(value, code)``: one row per distinct
-value.  They are ranked on the distinct-value table, never on the rows, and
-joined back with an equi-join that AQE turns into a broadcast when the map
-is small.
+Code maps are tables ``(value, code, n)``: one row per distinct value.  They
+are numbered on the distinct-value table, never on the rows, by range
+partitions and offsets, and reach the rows as a map (few values, or those
+that many rows share) or by a join (all others).
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assay.functions.numbering import number_rows
+from assay.functions.stats import lookup
 from assay.functions.text import sanitize_name
 
 
@@ -22,28 +24,27 @@ def encode_fixed(c: Column, mapping: Mapping) -> Column:
 
 
 def first_seen_map(df: DataFrame, col: str, id_col: str) -> DataFrame:
-    """Codes in order of first appearance (smallest id); null is a value too."""
-    firsts = df.groupBy(col).agg(F.min(id_col).alias("__first"))
-    return firsts.select(F.col(col).alias("value"),
-                         (F.row_number().over(Window.orderBy("__first")) - 1).cast("bigint").alias("code"))
+    """``value, code, n``: codes in order of first appearance (smallest id), rows per value; null is a value too."""
+    firsts = df.groupBy(F.col(col).alias("value")).agg(F.min(id_col).alias("__first"), F.count(F.lit(1)).alias("n"))
+    return number_rows(firsts, ["__first", "value"], name="first-seen", number="code").select("value", "code", "n")
 
 
 def sorted_code_map(df: DataFrame, col: str) -> DataFrame:
-    """Codes in sorted value order (LabelEncoder / StringIndexer alphabetAsc)."""
-    d = df.select(F.col(col).alias("value")).where(F.col("value").isNotNull()).distinct()
-    return d.select("value", (F.row_number().over(Window.orderBy("value")) - 1).cast("bigint").alias("code"))
+    """``value, code, n``: codes in sorted value order (LabelEncoder / StringIndexer alphabetAsc), null left out."""
+    d = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return number_rows(d, ["value"], name="sorted-codes", number="code").select("value", "code", "n")
 
 
 def apply_code_map(df: DataFrame, col: str, code_map: DataFrame, out: str) -> DataFrame:
-    """Join a code map back (null-safe, so a null value can carry a code)."""
-    m = code_map.select(F.col("value").alias("__v"), F.col("code").alias(out))
-    return df.join(m, df[col].eqNullSafe(m["__v"]), "left").drop("__v")
+    """Code of every row (null-safe, so a null value can carry a code); hot values travel as a map (:func:`lookup`)."""
+    weight = "n" if "n" in code_map.columns else None
+    m = code_map.select(F.col("value").alias(col), F.col("code").alias(out), *([F.col("n").alias("__n")] if weight else []))
+    return lookup(df, m, col, "__n" if weight else None)
 
 
 def decode(df: DataFrame, code_col: str, code_map: DataFrame, out: str) -> DataFrame:
-    """Code -> value."""
-    m = code_map.select(F.col("code").alias("__c"), F.col("value").alias(out))
-    return df.join(m, df[code_col] == m["__c"], "left").drop("__c")
+    """Code -> value; codes that many rows hold travel as a map."""
+    return lookup(df, code_map.select(F.col("code").alias(code_col), F.col("value").alias(out)), code_col)
 
 
 def fit_one_hot(df: DataFrame, col: str, max_levels: int = 64) -> list[str]:

@@ -45,7 +45,7 @@ select value, cast(row_number() over (order by value) - 1 as bigint) as code
 from (select distinct label as value from obs) t""", ("obs",))
 def code_map(spark, sf):
     """The label code map as a table."""
-    return en.sorted_code_map(obs(spark, sf), "label")
+    return en.sorted_code_map(obs(spark, sf), "label").select("value", "code")
 
 
 @register("encode_label", """

@@ -37,9 +37,9 @@ def obs(spark: SparkSession, sf: str) -> DataFrame:
     n = read_table(spark, sf, "nation").select("n_nationkey", "n_name")
     q = (read_table(spark, sf, "lineitem").groupBy("l_orderkey")
          .agg(F.sum("l_quantity").alias("qty_sum")))
-    # orders and the lineitem aggregate are both hash-partitioned on the order
-    # key, so the left join reuses the aggregate's partitioning.
-    j = (o.join(q, o.o_orderkey == q.l_orderkey, "left")
+    # the aggregate has a row per order, so it is joined by its own partitioning and never broadcast: whatever the files
+    # of orders, the rows then lie spread over the shuffle partitions for the per-row work that follows
+    j = (o.join(q.hint("merge"), o.o_orderkey == q.l_orderkey, "left")
          .join(c, o.o_custkey == c.c_custkey)
          .join(n, c.c_nationkey == n.n_nationkey))
     return j.select(
