@@ -3,8 +3,8 @@
 Passages are windows of ``WINDOW`` words of documents and of benchmark items.  They are TF-IDF vectors over the words of the
 benchmark (no other word can match an item); a randomised SVD of the passages of all documents gives ``RANK`` latent dimensions, and
 passages are compared by cosine after scaling every dimension by its singular value.  The SVD is distributed: tasks sum what their
-passages add to a sketch of ``vocabulary x (RANK + EXTRA)`` numbers, the sketches are added up, and the small factorisation of their
-sum (Nyström, one pass) is done once.
+passages add to a sketch of ``vocabulary x (RANK + EXTRA)`` numbers, the sketches are added up in levels, and the small
+factorisation of their sum (Nyström, one pass) is done once.
 
 Candidates are checked on words: the longest common subsequence of the item and the words around the passage, for verbatim
 copies, copies of a window of the item, and paraphrases; a paraphrase must hold the answer (the item's last sentence) as well.
@@ -37,8 +37,12 @@ BLOCK_ITEMS = 2000
 COSINE, CONTAINED = 0.42, 0.4
 #: Least share of the item in a verbatim copy; of an item window in a partial copy; of the item, and of its answer, in a paraphrase.
 VERBATIM, PARTIAL, PARAPHRASE, ANSWER = 0.8, 0.9, 0.55, 0.6
-#: Vocabulary rows of the sketch that travel together.
+#: Least IDF: a word that stands in nearly every document still weighs something, so copies of an item are found in a
+#: table that consists of them.
+LEAST_IDF = 0.1
+#: Vocabulary rows of the sketch that travel together, and partial sketches of a slab that one task adds up.
 SLAB = 512
+ADD_AT_ONCE = 64
 
 HITS = "item_index int, cosine double, lcs double, answer double, first_word long, last_word long"
 
@@ -138,7 +142,19 @@ def _sketch(vocabulary: Vocabulary, idf: np.ndarray, probe: np.ndarray):
 
 def _add_slabs(pdf: pd.DataFrame) -> pd.DataFrame:
     total = reduce(np.add, (np.frombuffer(x, np.float32).astype(float) for x in pdf["sums"]))
-    return pd.DataFrame({"slab": [pdf["slab"].iloc[0]], "sums": [total.astype(np.float32).tobytes()]})
+    return pd.DataFrame({"slab": [pdf["slab"].iloc[0]], "part": [pdf["part"].iloc[0] // ADD_AT_ONCE],
+                         "sums": [total.astype(np.float32).tobytes()]})
+
+
+def add_sketches(partial: DataFrame, tasks: int) -> DataFrame:
+    """``slab, sums`` from the ``slab, part, sums`` of ``tasks`` tasks, added up in levels: no task holds more than
+    ``ADD_AT_ONCE`` sketches of a slab."""
+    while True:
+        partial = partial.groupBy("slab", F.floor(F.col("part") / ADD_AT_ONCE)).applyInPandas(
+            _add_slabs, "slab int, part long, sums binary")
+        if tasks <= ADD_AT_ONCE:
+            return partial.select("slab", "sums")
+        tasks = -(-tasks // ADD_AT_ONCE)
 
 
 def lcs_length(item: list[int], words: np.ndarray) -> int:
@@ -177,7 +193,7 @@ class Model:
         self.window_start -= first[self.window_item]
 
     def set_idf(self, n: int, df: np.ndarray):
-        self.idf = np.log((1 + n) / (1 + df))
+        self.idf = np.maximum(np.log((1 + n) / (1 + df)), LEAST_IDF)
         codes = np.sort(self.window_codes, axis=1)
         once = np.c_[codes[:, :1] >= 0, (codes[:, 1:] != codes[:, :-1]) & (codes[:, 1:] >= 0)]
         self.window_distinct = np.where(once, codes, -1)
@@ -273,8 +289,9 @@ def fit(texts: DataFrame, items: list[tuple[int, str]]) -> Model | None:
     model.set_idf(n[-1], df)
     size = len(model.vocabulary)
     probe, _ = np.linalg.qr(np.random.default_rng(9).standard_normal((size, min(RANK + EXTRA, size))))
-    slabs = texts.mapInArrow(_sketch(model.vocabulary, model.idf, probe), "slab int, sums binary").groupBy(
-        "slab").applyInPandas(_add_slabs, "slab int, sums binary").collect()
+    partial = texts.mapInArrow(_sketch(model.vocabulary, model.idf, probe), "slab int, sums binary").select(
+        "slab", F.spark_partition_id().cast("long").alias("part"), "sums")
+    slabs = add_sketches(partial, texts.rdd.getNumPartitions()).collect()
     sketch = np.concatenate([np.frombuffer(r.sums, np.float32) for r in sorted(slabs, key=lambda r: r.slab)])
     model.set_space(probe, sketch.reshape(probe.shape).astype(float))
     return model

@@ -131,3 +131,61 @@ def test_sums_over_passages_and_words_equal_plain_loops():
     decontam._add_passages(total, y, code, passage)
     np.add.at(want, code, y[passage])
     assert np.allclose(total, want, atol=1e-4)
+
+
+def test_copies_of_an_item_alone_or_nearly_alone_are_found(spark):
+    item = "which river flows through the old town and past the mill. it is the white river."
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    copies = [(k, item, "en") for k in range(3)]
+    assert {r.doc_id for r in decontam.find_leaks(frame(spark, copies), bench).collect()} == {0, 1, 2}
+    other = [(9, "a text of quite another kind about the weather in the mountains", "en")]
+    assert {r.doc_id for r in decontam.find_leaks(frame(spark, copies + other), bench).collect()} == {0, 1, 2}
+    # a slice whose documents all hold the words of the items, in another order
+    words = item.replace(".", "").split()
+    mixed = [(20 + k, " ".join(random.Random(k).sample(words, len(words))), "en") for k in range(30)]
+    got = {r.doc_id for r in decontam.find_leaks(frame(spark, copies + mixed), bench).collect()}
+    assert {0, 1, 2} <= got and len(got) <= 5
+
+
+def test_sketches_of_many_tasks_are_added_in_levels(spark):
+    tasks, slabs = 5000, 2
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 9, (tasks, slabs, 3)).astype(np.float32)
+    partial = spark.createDataFrame([(s, t, bytearray(x[t, s].tobytes())) for t in range(tasks) for s in range(slabs)],
+                                    "slab int, part long, sums binary")
+    added = decontam.add_sketches(partial, tasks)
+    assert {r.slab: np.frombuffer(r.sums, np.float32).tolist() for r in added.collect()} == {
+        s: x[:, s].sum(0).tolist() for s in range(slabs)}
+    plan = added._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 3  # 5000 -> 79 -> 2 -> 1, at most 64 sketches a task
+
+
+def test_short_items_in_ordinary_documents(spark):
+    """Verbatim items and paraphrases (one word in four replaced, the answer kept) of 6 to 14 words, against the LCS."""
+    rng = random.Random(12)
+    vocabulary = sorted({w for r in spark.read.parquet(f"{SF_CHECK}/documents.parquet").where("lang = 'en'").limit(300).collect()
+                         for w in _words(r.text) if w.isalpha()})
+    docs = [r.text for r in spark.read.parquet(f"{SF_CHECK}/documents.parquet").where(
+        "lang = 'en' and length(text) > 300").orderBy("doc_id").limit(240).collect()]
+    items, rows, verbatim, loose = [], [], set(), set()
+    for k, text in enumerate(docs):
+        n = (6, 8, 10, 12, 14)[k % 5]
+        question, answer = rng.sample(vocabulary, n - 2), rng.sample(vocabulary, 2)
+        items.append((k, " ".join(question) + ". " + " ".join(answer) + "."))
+        own = items[-1][1].split()
+        if k % 2:
+            own = [f"q{rng.randrange(999)}" if i % 4 == 1 and i < n - 2 else w for i, w in enumerate(own)]
+            loose.add((k, k))
+        else:
+            verbatim.add((k, k))
+        words = text.split()
+        at = rng.randrange(len(words))
+        rows.append((k, " ".join(words[:at] + own + words[at:]), "en"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(frame(spark, rows), bench).collect()}
+    assert len(verbatim & got) >= 0.95 * len(verbatim)
+    assert len(loose & got) >= 0.9 * len(loose)
+    # whatever else is found holds the item's words in order, as the brute-force LCS says
+    for d, i in got - verbatim - loose:
+        own = _words(items[i][1])
+        assert _lcs(own, _words(rows[d][1])) >= 0.55 * len(own)
