@@ -4,7 +4,7 @@ A document's ids are its tokens and one end id.  Only documents longer than a se
 are whole sequences.  Every piece is placed where the squared counts of open bins per residual gap become smallest (Csirik
 et al., "On the sum-of-squares algorithm for bin packing"), longest pieces first.  The pieces are dealt over shards by
 a hash, each shard is packed by one task that holds piece lengths only, and the bins that shards leave unfilled are
-opened and packed again in fewer shards, until one task has them all or a round no longer saves a sequence.
+opened and packed again in fewer shards, until one task has them all or ``rounds`` rounds are over.
 
 Edge cases: a null or empty text is the end id alone (one piece of length 1); rows that repeat a key are packed each on
 its own; an empty table gives no rows; columns other than ``key`` and ``text`` are never looked at.
@@ -106,18 +106,20 @@ def _pack(capacity: int, round_no: int):
 
 def pack_pieces(pieces: DataFrame, capacity: int = 2048, per_shard: int = PER_SHARD, rounds: int = 8) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces (columns of :data:`PIECES`)."""
-    schema = PIECES + ", shard long, sequence_id long, offset long, used long"
+    schema = PIECES + ", salt long, shard long, sequence_id long, offset long, used long"
     done = None
-    left, n = pieces, pieces.count()
+    # the salt deals rows that repeat key and text, or share a null key, over the shards as well
+    salted = settle(pieces.select("*", F.monotonically_increasing_id().alias("salt")), "salted-pieces")
+    left, n = salted, salted.count()
     for r in range(rounds):
         shards = max(1, -(-n // per_shard))
-        dealt = left.withColumn("shard", F.pmod(F.xxhash64("key", "piece", F.lit(r)), F.lit(shards)))
+        dealt = left.withColumn("shard", F.pmod(F.xxhash64("key", "piece", "ids_crc32", "salt", F.lit(r)), F.lit(shards)))
         packed = settle(dealt.groupBy("shard").applyInPandas(_pack(capacity, r), schema), "packed")
         if shards == 1 or r == rounds - 1:
             return packed if done is None else done.unionByName(packed)
         kept = packed.where(F.col("used") >= FULL * capacity)
         done = kept if done is None else done.unionByName(kept)
-        left = packed.where(F.col("used") < FULL * capacity).select(*pieces.columns)
+        left = packed.where(F.col("used") < FULL * capacity).select(*salted.columns)
         n = left.count()
     raise AssertionError("rounds must be at least 1")
 
@@ -125,8 +127,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, per_shard: int = PER_SH
 def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int = 2048, end_id: int = 0,
                    key: str = "doc_id", text: str = "text", per_shard: int = PER_SHARD) -> DataFrame:
     """``key, piece, start, length, ids_crc32, sequence_id, offset`` for every piece of ``docs``."""
-    pieces = settle(cut_pieces(docs, tokenizer, capacity, end_id, key, text), "pieces")
-    return pack_pieces(pieces, capacity, per_shard).select(
+    return pack_pieces(cut_pieces(docs, tokenizer, capacity, end_id, key, text), capacity, per_shard).select(
         F.col("key").alias(key), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -90,3 +90,15 @@ def test_edges_and_round_trip(spark, nasty, empty):
 def test_unknown_tokenizer_fails(nasty):
     with pytest.raises(Exception):
         packing.pack_documents(nasty, "absent.json").count()
+
+
+def test_null_and_repeated_keys_spread_over_shards(spark, monkeypatch):
+    rows = [(None if i % 2 else 7, 0, 0, 1 + i % 60, i % 3) for i in range(3000)]
+    pieces = spark.createDataFrame(rows, packing.PIECES).repartition(4)
+    sizes = []
+    settle = packing.settle
+    monkeypatch.setattr(packing, "settle", lambda df, name: (lambda t: sizes.append(
+        [r["count"] for r in t.groupBy("shard").count().collect()]) or t if name == "packed" else t)(settle(df, name)))
+    out = packing.pack_pieces(pieces, 100, per_shard=300)
+    assert out.count() == 3000
+    assert len(sizes[0]) == 10 and max(sizes[0]) < 450
