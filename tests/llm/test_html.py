@@ -63,6 +63,42 @@ def test_text_beside_the_longest_region():
     assert two.count("Some words") == 12 and two.count("went home") == 1
 
 
+COMMENT = "<p>I read the whole of it and cannot say that I agree with any of this.</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<form id=aspnetForm><div>{ARTICLE}</div></form>", f"<form><input name=q><nav>menu</nav>{ARTICLE}</form>",
+    f"<aside>Side bar<article>{ARTICLE}</article>", f"<aside><div>{ARTICLE}</div>",
+    f"<article>{ARTICLE}<form><p>Your mail</p><button>Send</button></form></article>"])
+def test_page_wide_form_and_unclosed_aside(page):
+    want = main_text(f"<article>{ARTICLE}</article>")
+    got = main_text(f"<body>{page}</body>")
+    assert got.endswith(want) and len(got) <= len(want) + 12
+
+
+@pytest.mark.parametrize("name", ["comment-list", "comments", "replies", "post-comments x", "disqus_thread"])
+@pytest.mark.parametrize("count", [1, 8, 200])
+def test_more_comments_than_text(name, count):
+    want = main_text(f"<article>{ARTICLE}</article>")
+    many = f"<div class='{name}'>" + f"<div class=item>{COMMENT}</div>" * count + "</div>"
+    if "post" in name:  # names the article as well: decided by its share alone
+        many = f"<div id=comments>{many}</div>"
+    assert main_text(f"<body><div class=post>{ARTICLE}</div>{many}</body>") == want
+    assert main_text(f"<body><article>{ARTICLE}</article>{many}</body>") == want
+    assert main_text(f"<body><article>{ARTICLE}{many}</article></body>") == want
+
+
+def test_nested_articles_and_teasers():
+    want = main_text(f"<article>{ARTICLE}</article>")
+    nested = f"<section>{f'<article>{COMMENT * 3}</article>' * 6}</section>"
+    assert main_text(f"<body><article>{ARTICLE}{nested}</article></body>") == want
+    teasers = "<article><h3><a href=x>Another story of today</a></h3><p>It begins like this and goes on</p></article>" * 4
+    assert main_text(f"<body><article>{ARTICLE}</article>{teasers}</body>") == want
+    assert main_text(f"<body><main><article>{ARTICLE}</article><div>{teasers}</div></main></body>") == want
+    wrapped = f"<article><h1>T</h1><article>{ARTICLE}</article></article>"
+    assert main_text(f"<body>{wrapped}</body>").endswith(want)
+
+
 def test_deep_and_long_pages():
     assert main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
     assert main_text("<article>" + "<p>word word</p>" * 20_000 + "</article>").count("word word") == 20_000
@@ -84,6 +120,28 @@ def test_query_equals_the_generated_articles(spark):
         assert r.text == _expected(pages[r.page_id].html) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
 
 
+def _variants(article):
+    yield f"<form id=f>{article}</form>"
+    yield f"<div class=post>{article}</div><div class=comment-list>{COMMENT * 60}</div>"
+    yield f"<div class='content comments-open'>{article}</div>"
+    yield f"<div id=main>{article}</div><aside><p>Read this too</p></aside><div class=ad>Buy now!</div>"
+
+
+def test_generated_pages_without_article_element(spark):
+    """The generated articles in other pages: wrapped in a form, without an article element, with more comments than text."""
+    right = total = 0
+    for r in spark.read.parquet(f"{SF_CHECK}/pages.parquet").collect():
+        inner = re.search(r"<article>(.*?)(?:</article>|\Z)", r.html, re.S)[1]
+        want = _expected(r.html)
+        if len(want) < 400 or "<div" in inner or "<section" in inner:
+            continue
+        for page in _variants(inner):
+            got = main_text(f"<html><head><title>t</title></head><body><nav><a href=a>Home</a></nav>{page}<footer>F</footer></body>")
+            assert got
+            right, total = right + (got == want), total + 1
+    assert total > 200 and right >= 0.99 * total
+
+
 def test_edges(spark):
     rows = [(1, None, None, "a"), (None, "u", PAGE, "b"), (2, "u", PAGE, "c"), (2, "u", PAGE, "c")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, key string")
