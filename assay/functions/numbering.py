@@ -19,6 +19,22 @@ from assay.session import write_scratch
 TIES = 1024
 
 
+def running_sum(df: DataFrame, order: str, value: str, within: Sequence[str], name: str = "running", out: str = "before") -> DataFrame:
+    """``df`` with ``out``: the sum of ``value`` over the rows of the group ``within`` that stand before, by ascending ``order``.
+
+    ``order`` is unique within a group.  The rows are cut into ranges that hold about as many rows each, wherever the
+    values of ``order`` lie; each (group, range) is summed on its own and gets the sums of the ranges before it.
+    """
+    within = list(within)
+    placed = write_scratch(df.repartitionByRange(*within, order).select("*", F.spark_partition_id().alias("__part")), name)
+    w = Window.partitionBy(*within)
+    ahead = Window.unboundedPreceding, -1
+    sums = placed.groupBy(*within, "__part").agg(F.sum(value).alias("__sum"))
+    offsets = sums.select(*within, "__part", F.coalesce(F.sum("__sum").over(w.orderBy("__part").rowsBetween(*ahead)), F.lit(0)).alias("__off"))
+    local = F.coalesce(F.sum(value).over(Window.partitionBy(*within, "__part").orderBy(order).rowsBetween(*ahead)), F.lit(0))
+    return placed.join(offsets, [*within, "__part"]).select(*df.columns, (F.col("__off") + local).alias(out))
+
+
 def number_rows(df: DataFrame, order: Sequence[str], within: Sequence[str] = (), name: str = "numbers",
                 number: str = "number", total: str = "total") -> DataFrame:
     """``df`` with ``number``: 0, 1, ... in ascending ``order`` (nulls first) within each group of the columns ``within``,

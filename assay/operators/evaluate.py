@@ -2,8 +2,8 @@
 
 Inputs are prediction tables ``(id, label, pred[, by...])`` or long
 probability tables ``(id, label, cls, p[, by...])``.  All metrics are
-aggregates; the only windows run over small tables (classes, distinct
-scores inside one salt bucket, models).
+aggregates; the only windows run over small tables (classes, the distinct
+scores of one range, models).
 """
 
 from __future__ import annotations
@@ -13,10 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assay.functions.numbering import running_sum
 from assay.functions.stats import attach
 
-AUC_BUCKETS = 65536
-
 
 def accuracy(df: DataFrame, label: str = "label", pred: str = "pred", by: Sequence[str] = ()) -> DataFrame:
     """V1: share of rows with pred == label."""
@@ -86,28 +85,19 @@ def classification_report(cm: DataFrame, label: str = "label", pred: str = "pred
 
 
 def roc_auc_ovr(scores: DataFrame, label: str = "label", cls: str = "cls", p: str = "p",
-                by: Sequence[str] = (), buckets: int = AUC_BUCKETS) -> DataFrame:
+                by: Sequence[str] = ()) -> DataFrame:
     """V6: one-vs-rest ROC AUC per class with tie-averaged ranks.
 
     AUC_c = sum_s pos(s) * (neg_below(s) + neg(s) / 2) / (npos * nneg) over the
-    distinct scores s of class c.  The running negative count is a prefix sum
-    over scores; it is split by score bucket (floor(p * buckets), monotone in p),
-    each (class, bucket) window is summed locally and bucket offsets come from
-    a small table, so no window holds all scores of a class.
-    Scores must lie in [0, 1].  A class without positives or without negatives has AUC 0.
+    distinct scores s of class c.  The running negative count is summed by
+    ranges of scores that are cut where the scores lie (``running_sum``), so no
+    window holds all scores of a class, however they crowd.  A class without
+    positives or without negatives has AUC 0.
     """
-    by = list(by)
-    k = by + [cls]
+    k = [*by, cls]
     pos = (F.col(label) == F.col(cls))
     d = scores.groupBy(*k, p).agg(F.sum(pos.cast("bigint")).alias("pos"), F.sum((~pos).cast("bigint")).alias("neg"))
-    d = d.select("*", F.least(F.floor(F.col(p) * buckets), F.lit(buckets - 1)).cast("int").alias("__b"))
-    bt = d.groupBy(*k, "__b").agg(F.sum("neg").alias("__bneg"))
-    bt = bt.select(*k, "__b", F.coalesce(F.sum("__bneg").over(
-        Window.partitionBy(*k).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
-    j = d.join(bt, k + ["__b"])
-    below = F.col("__off") + F.coalesce(F.sum("neg").over(
-        Window.partitionBy(*k, "__b").orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    e = j.select(*k, "pos", "neg", below.alias("below"))
+    e = running_sum(d, p, "neg", k, "auc-scores", "below")
     return e.groupBy(*k).agg(
         F.coalesce(F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)),
                                 F.sum("pos").cast("double") * F.sum("neg").cast("double")), F.lit(0.0)).alias("auc"))

@@ -129,17 +129,24 @@ def fit_gaussian_nb(train_long: DataFrame, label: str = "label", var_smoothing:
     return st.join(prior, label)
 
 
-def predict_gaussian_nb(test_long: DataFrame, model: DataFrame, label: str = "label") -> DataFrame:
+def predict_gaussian_nb(test: DataFrame, model: DataFrame, label: str = "label") -> DataFrame:
     """L8 predict: arg-max of log prior + sum of Gaussian log densities (ties: smaller class).
 
-    The model table has classes x dims rows; the join expands each test value
-    by the number of classes and is reduced per (id, class) map-side.
+    ``test``: (id, vec).  The model (classes x dims numbers) is packed into one array per class and travels as a scalar
+    subquery; every row sums its own log densities, so test rows are neither expanded nor shuffled.  A class that lacks a
+    dimension of the model's, and a value that is null, add nothing.
     """
-    j = test_long.join(model, "dim")
-    ll = -0.5 * F.log(2 * math.pi * F.col("var")) - (F.col("x") - F.col("mu")) ** 2 / (2 * F.col("var"))
-    s = j.groupBy("id", label, "log_prior").agg(F.sum(ll).alias("ll"))
-    s = s.select("id", label, (F.col("ll") + F.col("log_prior")).alias("score"))
-    return s.groupBy("id").agg(F.min_by(label, F.struct(-F.col("score"), F.col(label))).alias("pred"))
+    dims = F.array_sort(F.collect_list(F.struct("dim", "mu", "var")))
+    packed = model.groupBy(label).agg(F.max("log_prior").alias("prior"), dims.alias("dims")).select(F.struct(
+        F.col(label).alias("cls"), "prior", "dims").alias("c")).agg(F.array_sort(F.collect_list("c")).alias("classes")).scalar()
+
+    def density(v, d):
+        x = F.get(v, d["dim"])
+        return F.coalesce(-0.5 * F.log(2 * math.pi * d["var"]) - (x - d["mu"]) * (x - d["mu"]) / (2 * d["var"]), F.lit(0.0))
+    rows = test.select("id", F.col("vec").cast("array<double>").alias("__v"), packed.alias("__classes"))
+    scored = F.transform("__classes", lambda c: F.struct(
+        (-F.aggregate(c["dims"], c["prior"], lambda acc, d: acc + density(F.col("__v"), d))).alias("order"), c["cls"].alias("cls")))
+    return rows.select("id", F.array_min(scored)["cls"].alias("pred"))
 
 
 # ---------------------------------------------------------------- resampling by neighbours

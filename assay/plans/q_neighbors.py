@@ -92,8 +92,7 @@ def naive_bayes(spark, sf):
     s = emb_split(spark, sf)
     lng = s.select("id", "label", "split", F.posexplode(F.col("vec").cast("array<double>")).alias("dim", "x"))
     model = nb.fit_gaussian_nb(lng.where(F.col("split") == "train"))
-    test = lng.where(F.col("split") == "test").select("id", "dim", "x")
-    p = nb.predict_gaussian_nb(test, model)
+    p = nb.predict_gaussian_nb(s.where(F.col("split") == "test"), model)
     return (s.where(F.col("split") == "test").select(F.col("id").alias("vec_id"), "label")
             .join(p.withColumnRenamed("id", "vec_id"), "vec_id"))
 
