@@ -11,18 +11,21 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assay.session import write_scratch
 
 
 def prepare(df: DataFrame, features: Sequence[str], label: str = "label", scale: bool = True) -> Pipeline:
@@ -67,7 +70,7 @@ def probability_columns(pred: DataFrame, n_classes: int, col: str = "probability
     return pred.select("*", *[arr[i].alias(f"p_{i}") for i in range(n_classes)])
 
 
-def fit_gbt_ovr(train: DataFrame, n_classes: int, max_iter: int = 10, seed: int = 42) -> list:
+def fit_gbt_ovr(train: DataFrame, n_classes: int, max_iter: int = 100, seed: int = 42) -> list:
     """L4: one binary ``GBTClassifier`` per class (GBT is binary-only in Spark ML)."""
     models = []
     for c in range(n_classes):
@@ -128,6 +131,74 @@ def rff_columns(features: Sequence[str], n_out: int = 50, gamma: float = 0.5, se
     return cols
 
 
+class CalibratedSvm:
+    """A one-vs-rest linear SVM whose margins a sigmoid per class turns into probabilities (Platt scaling)."""
+
+    def __init__(self, svm, sigmoids: list[tuple[float, float]]):
+        self.svm, self.sigmoids = svm, sigmoids
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``p_0 .. p_{k-1}`` (they sum to 1), ``probability`` (their vector) and ``prediction``."""
+        k = len(self.sigmoids)
+        m = vector_to_array(F.col("rawPrediction"))
+        raw = self.svm.transform(df).select(*df.columns, *[
+            (1.0 / (1.0 + F.exp(-(F.lit(a) * m[c] + F.lit(b))))).alias(f"__s{c}") for c, (a, b) in enumerate(self.sigmoids)])
+        total = sum((F.col(f"__s{c}") for c in range(1, k)), F.col("__s0"))
+        out = raw.select(*df.columns, *[
+            F.when(total > 0, F.col(f"__s{c}") / total).otherwise(F.lit(1.0 / k)).alias(f"p_{c}") for c in range(k)])
+        return with_argmax(out.withColumn("probability", array_to_vector(F.array(*[f"p_{c}" for c in range(k)]))), k)
+
+
+def fit_calibrated_svm(train: DataFrame, n_classes: int, fold_col: str = "sfold", folds: int = 3, **params) -> CalibratedSvm:
+    """L5 with probabilities: margins of every training row come from an SVM that did not see its fold; on these a logistic
+    regression per class fits the sigmoid (Platt's targets keep it finite), and the SVM itself is fitted on all rows.
+
+    All fits are Spark ML fits over the rows; the margins are written once, since every class reads them.
+    """
+    parts = []
+    for f in range(folds):
+        m = estimator("linear_svm", **params).fit(train.where(F.col(fold_col) != f))
+        parts.append(m.transform(train.where(F.col(fold_col) == f)).select("y", vector_to_array("rawPrediction").alias("m")))
+    margins = write_scratch(reduce(DataFrame.unionByName, parts), "svm-margins")
+    sizes = {int(r["y"]): r["count"] for r in margins.groupBy("y").count().collect()}  # one row per class
+    total, sigmoids = sum(sizes.values()), []
+    for c in range(n_classes):
+        pos = sizes.get(c, 0)
+        hi, lo = (pos + 1.0) / (pos + 2.0), 1.0 / (total - pos + 2.0)
+        target = F.when(F.col("y") == c, hi).otherwise(lo)
+        # a row with target t counts as t of a positive and 1 - t of a negative
+        both = margins.select(array_to_vector(F.array(F.col("m")[c])).alias("features"), F.inline(F.array(
+            F.struct(F.lit(1.0).alias("t"), target.alias("w")), F.struct(F.lit(0.0).alias("t"), (1.0 - target).alias("w")))))
+        lr = LogisticRegression(featuresCol="features", labelCol="t", weightCol="w", maxIter=50).fit(both)
+        sigmoids.append((float(lr.coefficients[0]), float(lr.intercept)))
+    return CalibratedSvm(estimator("linear_svm", **params).fit(train), sigmoids)
+
+
+def tensor_sketch(df: DataFrame, features: str = "features", out: str = "sketch", degree: int = 2, n_out: int = 256,
+                  coef0: float = 1.0, gamma: float = 1.0, seed: int = 42) -> DataFrame:
+    """L6, polynomial form: a vector ``out`` whose inner products estimate ``(gamma x.y + coef0) ** degree``.
+
+    A tensor sketch: the vector, with ``sqrt(coef0)`` as one more component, is count-sketched ``degree`` times with
+    independent hashes, and the sketches are convolved (a product of their Fourier transforms), so the work grows with
+    the size of the vector and of the sketch and never with ``size ** degree``.  Unbiased; the error falls with ``1 / sqrt(n_out)``.
+    """
+    @F.pandas_udf("array<double>")
+    def sketch(col: pd.Series) -> pd.Series:
+        if not len(col):
+            return col
+        x = np.stack(col.to_numpy()).astype(np.float64) * math.sqrt(gamma)
+        x = np.column_stack([x, np.full(len(x), math.sqrt(coef0))])
+        rng = np.random.default_rng([seed, x.shape[1]])
+        product = 1.0
+        for _ in range(degree):
+            at, sign = rng.integers(0, n_out, x.shape[1]), rng.choice([-1.0, 1.0], x.shape[1])
+            counted = np.zeros((n_out, len(x)))
+            np.add.at(counted, at, (x * sign).T)
+            product = product * np.fft.rfft(counted, axis=0)
+        return pd.Series(list(np.fft.irfft(product, n=n_out, axis=0).T))
+    return df.withColumn(out, array_to_vector(sketch(vector_to_array(features))))
+
+
 def cross_validate(est, grid: list, train: DataFrame, fold_col: str = "fold", parallelism: int = 4):
     """Grid search with a precomputed stratified fold column."""
     ev = MulticlassClassificationEvaluator(labelCol="y", predictionCol="prediction", metricName="accuracy")

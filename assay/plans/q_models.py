@@ -13,9 +13,10 @@ from pyspark.ml.feature import IndexToString, VectorAssembler
 from pyspark.sql import functions as F
 
 from assay.functions.stats import r6
-from assay.operators import clean, models as md, profile as pr, sampling as sa
+from assay.operators import boosting as bo, clean, models as md, profile as pr, sampling as sa
 from assay.operators import scale as sc
 from assay.plans.registry import register
+from assay.session import write_scratch
 from assay.sources.views import obs
 
 SEED = 42
@@ -93,11 +94,38 @@ def model_gbt(spark, sf):
                       .alias("confidence"))
 
 
+#: Rounds of the registered boosting queries; ``fit_gbt_ovr`` itself defaults to 100.
+LOSS_ROUNDS = 40
+
+
+@register("boosting_loss")
+def boosting_loss(spark, sf):
+    """Loss of class-wise boosting after every iteration, on train and test (rows-only; invariants tested)."""
+    _, train, test = prepared(spark, sf)
+    models = md.fit_gbt_ovr(train, N_CLASSES, max_iter=LOSS_ROUNDS, seed=SEED)
+    out = bo.staged_loss(models, train.unionByName(test))
+    return out.select("split", "iteration", "rows", r6("loss").alias("loss"), r6("log_loss").alias("log_loss"))
+
+
 @register("model_linear_svm")
 def model_linear_svm(spark, sf):
-    """One-vs-rest linear SVM (no probabilities)."""
+    """One-vs-rest linear SVM with calibrated probabilities."""
     pm, train, test = prepared(spark, sf)
-    return _decoded(pm, md.estimator("linear_svm", SEED).fit(train).transform(test), with_prob=False)
+    scored = md.fit_calibrated_svm(train, N_CLASSES, folds=CV_FOLDS, maxIter=100).transform(test)
+    p = [r6(f"p_{c}", 9).alias(f"p_{c}") for c in range(N_CLASSES)]
+    return _decoded(pm, scored).join(scored.select("id", *p), "id")
+
+
+@register("model_poly_svm")
+def model_poly_svm(spark, sf):
+    """Polynomial-kernel SVM of degree 3 via a tensor sketch and a linear SVM."""
+    pm, train, test = prepared(spark, sf)
+
+    def sketched(df):
+        return md.tensor_sketch(df.select("id", "label", "y", "features"), degree=3, n_out=128, gamma=1.0 / len(FEATURES)).select(
+            "id", "label", "y", F.col("sketch").alias("features"))
+    m = md.estimator("linear_svm", SEED, maxIter=50).fit(write_scratch(sketched(train), "sketched"))
+    return _decoded(pm, m.transform(sketched(test)), with_prob=False)
 
 
 @register("model_rff_svm")

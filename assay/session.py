@@ -53,11 +53,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder path in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def write_scratch(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to a new folder in the shared checkpoint folder and read it back.
 
     Cuts the lineage like a checkpoint, but the columns that a later step does not need are not read again.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
