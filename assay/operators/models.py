@@ -16,15 +16,17 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
+from pyspark.ml.classification import (DecisionTreeClassifier, FMClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assay.functions.hashing import uniform
 from assay.session import write_scratch
 
 
@@ -61,9 +63,76 @@ def estimator(name: str, seed: int = 42, **params):
     if name == "linear_svm":
         return OneVsRest(classifier=LinearSVC(maxIter=params.get("maxIter", 10), regParam=params.get("regParam", 0.01)),
                          parallelism=3, **common)
+    if name == "gbt":
+        return OneVsRest(classifier=GBTClassifier(maxIter=params.get("maxIter", 10), maxDepth=params.get("maxDepth", 3), seed=seed),
+                         parallelism=3, **common)
+    if name == "fm":
+        return OneVsRest(classifier=FMClassifier(maxIter=params.get("maxIter", 30), stepSize=params.get("stepSize", 0.05), seed=seed),
+                         parallelism=3, **common)
     raise ValueError(name)
 
 
+#: Models that a screening compares, with the value that tuning varies and its grid.
+CANDIDATES: dict[str, tuple[str, str, list]] = {
+    "logreg": ("logreg", "regParam", [0.001, 0.01, 0.1]), "logreg_l1": ("logreg", "regParam", [0.001, 0.01, 0.1]),
+    "dt": ("dt", "maxDepth", [3, 5, 8]), "rf": ("rf", "maxDepth", [4, 6, 10]), "gbt": ("gbt", "maxDepth", [2, 4]),
+    "gaussian_nb": ("gaussian_nb", "thresholds", []), "linear_svm": ("linear_svm", "regParam", [0.001, 0.1]),
+    "mlp": ("mlp", "maxIter", [50, 150]), "fm": ("fm", "stepSize", [0.01, 0.1])}
+
+
+def candidate(name: str, n_features: int, n_classes: int, seed: int = 42, **params):
+    """Estimator of a name in :data:`CANDIDATES`."""
+    fixed = {"logreg_l1": {"regParam": 0.01, "elasticNetParam": 1.0}, "mlp": {"layers": [n_features, 32, 16, n_classes]},
+             "rf": {"numTrees": 20}, "gbt": {"maxIter": 5}}.get(name, {})
+    return estimator(CANDIDATES[name][0], seed, **(fixed | params))
+
+
+def screen_and_tune(train: DataFrame, n_features: int, n_classes: int, fold_col: str = "sfold", k: int = 3, top: int = 3,
+                    seed: int = 42) -> list[tuple[str, str, str, float, float]]:
+    """Cross-validate every candidate on one shared fold column, tune the ``top`` best of them over their grids.
+
+    Rows ``(model, stage, params, accuracy, std)``: ``screen`` for every model, ``tuned`` with the best of its grid for every top
+    model that has one, and ``final``: the tuned result where it beats the screened one, else the screened one, which models
+    outside the top keep as well.
+    """
+    def score(name, **params):
+        return cv_scores(candidate(name, n_features, n_classes, seed, **params), [{}], train, fold_col, k)[0]
+    screened = {name: score(name) for name in CANDIDATES}
+    rows = [(name, "screen", "", a, s) for name, (a, s) in screened.items()]
+    best = sorted(screened, key=lambda n: (-screened[n][0], n))[:top]
+    for name, (a, s) in screened.items():
+        _, param, grid = CANDIDATES[name]
+        final = ("", a, s)
+        if name in best and grid:
+            tried = [(f"{param}={v}", *score(name, **{param: v})) for v in grid]
+            tuned = max(tried, key=lambda t: t[1])
+            rows.append((name, "tuned", *tuned))
+            final = tuned if tuned[1] > a else final
+        rows.append((name, "final", *final))
+    return rows
+
+
+def successive_halving(est, maps: list, df: DataFrame, fold_col: str = "sfold", k: int = 3, eta: int = 3, rungs: int = 4,
+                       id_col: str = "id", seed: int = 42) -> list[dict]:
+    """Random search by successive halving: all ``maps`` on ``eta ** -(rungs - 1)`` of the rows, the best of every
+    ``eta`` of them on ``eta`` times as many, and so on; the last rung sees all rows.
+
+    The rows of a rung are those whose hash lies below its share, so every rung holds the rows of the one before, and
+    one fold column serves all.  Returns ``rung, share, map, accuracy, std`` for everything that was tried.
+    """
+    out, alive = [], list(range(len(maps)))
+    for rung in range(rungs):
+        share = float(eta) ** (rung - rungs + 1)
+        rows = df if share == 1 else df.where(uniform(F.col(id_col), seed, "rung") < share)
+        scores = cv_scores(est, [maps[i] for i in alive], rows.persist(StorageLevel.MEMORY_AND_DISK) if share < 1 else rows, fold_col, k)
+        if share < 1:
+            rows.unpersist()
+        tried = [{"rung": rung, "share": share, "map": i, "accuracy": a, "std": s} for i, (a, s) in zip(alive, scores)]
+        out += tried
+        alive = [t["map"] for t in sorted(tried, key=lambda t: (-t["accuracy"], t["map"]))[: max(1, -(-len(alive) // eta))]]
+    return out
+
+
 def probability_columns(pred: DataFrame, n_classes: int, col: str = "probability") -> DataFrame:
     """Vector probability -> ``p_0 .. p_{k-1}``; keeps every other column."""
     arr = vector_to_array(F.col(col))

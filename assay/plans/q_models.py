@@ -147,7 +147,7 @@ def model_rff_svm(spark, sf):
 def model_mlp(spark, sf):
     """Multi-layer perceptron (100, 50)."""
     pm, train, test = prepared(spark, sf)
-    m = md.estimator("mlp", SEED, layers=[len(FEATURES), 100, 50, N_CLASSES], maxIter=30).fit(train)
+    m = md.estimator("mlp", SEED, layers=[len(FEATURES), 100, 50, N_CLASSES], maxIter=100).fit(train)
     return _decoded(pm, m.transform(test))
 
 
@@ -155,7 +155,7 @@ def model_mlp(spark, sf):
 def model_stacking(spark, sf):
     """Stacking of logistic regression and random forest, logistic meta-model, 3 folds."""
     pm, train, test = prepared(spark, sf)
-    oof, tp = md.stacking_oof(train, test, ["logreg", "dt"], N_CLASSES, CV_FOLDS, SEED)
+    oof, tp = md.stacking_oof(train, test, ["logreg", "rf"], N_CLASSES, CV_FOLDS, SEED)
     meta_cols = [c for c in oof.columns if c != "id"]
     va = VectorAssembler(inputCols=meta_cols, outputCol="features")
     mtrain = va.transform(oof.join(train.select("id", "label", "y"), "id"))
@@ -181,10 +181,10 @@ def grid_search(spark, sf):
 
 @register("random_search")
 def random_search(spark, sf):
-    """4 hash-sampled draws from a 4 x 3 space."""
+    """10 hash-sampled draws from a 4 x 3 space."""
     pm, train, test = prepared(spark, sf)
     est = md.estimator("dt", SEED)
-    maps = md.sample_param_maps(est, {"maxDepth": [2, 4, 6, 8], "minInstancesPerNode": [1, 5, 20]}, 4, SEED)
+    maps = md.sample_param_maps(est, {"maxDepth": [2, 4, 6, 8], "minInstancesPerNode": [1, 5, 20]}, 10, SEED)
     cv = md.cross_validate(est, maps, train.withColumn("fold", F.col("sfold").cast("int")))
     return _cv_rows(spark, md.cv_table(cv, ["maxDepth", "minInstancesPerNode"]), "random")
 
@@ -203,37 +203,34 @@ def search_two_stage(spark, sf):
     return _cv_rows(spark, r1, "coarse").unionByName(_cv_rows(spark, r2, "fine"))
 
 
+@register("halving_search")
+def halving_search(spark, sf):
+    """50 draws from a space of 120, by successive halving on one fold table."""
+    _, train, _ = prepared(spark, sf)
+    est = md.estimator("dt", SEED)
+    space = {"maxDepth": [2, 3, 4, 6, 8], "minInstancesPerNode": [1, 5, 20, 50], "maxBins": [16, 32, 64], "impurity": ["gini", "entropy"]}
+    maps = md.sample_param_maps(est, space, 50, SEED)
+    tried = md.successive_halving(est, maps, train, "sfold", CV_FOLDS)
+    data = [(t["rung"], t["share"], json.dumps({p.name: v for p, v in maps[t["map"]].items()}, sort_keys=True),
+             round(t["accuracy"], 6), round(t["std"], 6)) for t in tried]
+    return spark.createDataFrame(data, "rung int, share double, params string, cv_accuracy double, cv_std double")
+
+
 @register("screen_then_tune")
 def screen_then_tune(spark, sf):
-    """L15 + L16: screen models by CV accuracy, tune only the top 3, keep a tuned
+    """L15 + L16: screen nine models by CV accuracy, tune the top 3, keep a tuned
     result only when it beats the screened one (gate)."""
-    pm, train, test = prepared(spark, sf)
-    t = train.withColumn("fold", F.col("sfold").cast("int"))
-    cands = {"logreg": ("regParam", [0.0, 0.1]), "dt": ("maxDepth", [4, 8]), "rf": ("maxDepth", [4, 8]),
-             "gaussian_nb": (None, None)}
-    rows = []
-    screen = {}
-    for name in cands:
-        est = md.estimator(name, SEED, numTrees=20)
-        screen[name] = float(md.cv_scores(est, [{}], t, "fold", CV_FOLDS)[0][0])
-        rows.append((name, "screen", round(screen[name], 6)))
-    top = sorted(screen, key=lambda n: (-screen[n], n))[:3]
-    for name in top:
-        p, vals = cands[name]
-        if p is None:
-            continue
-        est = md.estimator(name, SEED, numTrees=20)
-        maps = [{getattr(est, p): v} for v in vals]
-        tuned = max(m for m, _ in md.cv_scores(est, maps, t, "fold", CV_FOLDS))
-        rows.append((name, "tuned", round(float(max(tuned, screen[name])), 6)))
-    return spark.createDataFrame(rows, "model string, stage string, cv_accuracy double")
+    _, train, _ = prepared(spark, sf)
+    rows = md.screen_and_tune(train, len(FEATURES), N_CLASSES, "sfold", CV_FOLDS, 3, SEED)
+    return spark.createDataFrame([(m, st, p, round(a, 6), round(sd, 6)) for m, st, p, a, sd in rows],
+                                 "model string, stage string, params string, cv_accuracy double, cv_std double")
 
 
 @register("tree_importance")
 def tree_importance(spark, sf):
     """Random-forest importances (sum to 1) and the >= median selection."""
     pm, train, test = prepared(spark, sf)
-    m = md.estimator("rf", SEED, numTrees=30).fit(train)
+    m = md.estimator("rf", SEED, numTrees=100).fit(train)
     t = md.importance_table(m, FEATURES, spark)
     from assay.functions.stats import attach
     med = t.agg(F.median("importance").alias("med"))
