@@ -263,5 +263,7 @@ def impute_regression(df: DataFrame, targets: Sequence[str], rounds: int = 2) ->
             model = LinearRegression(featuresCol="__x", labelCol=c, predictionCol="__pred", regParam=0.0).fit(
                 data.where(~F.col(f"__gap_{c}")))
             filled = F.when(F.col(f"__gap_{c}"), F.col("__pred")).otherwise(F.col(c))
-            out = model.transform(data).select(*[filled.alias(x) if x == c else F.col(x) for x in out.columns])
+            # written, so that a later fit does not run the projections of all earlier ones again
+            out = write_scratch(model.transform(data).select(*[filled.alias(x) if x == c else F.col(x) for x in out.columns]),
+                                "imputed")
     return out.select(*df.columns)

@@ -209,19 +209,18 @@ cm as (select grid.label, grid.pred, cast(coalesce(cnt.n, 0) as bigint) as n fro
 
 @register("confusion_matrix", f"""with
 truth as (select obs_id, label from obs),
-guess as (select obs_id, pred from model_preds where model = 'rule_b' and split = 'test'),
-pr as (select t.label, g.pred from truth t join guess g on t.obs_id = g.obs_id),
-cls as (select label as c from pr union select pred from pr),
-grid as (select a.c as label, b.c as pred from cls a cross join cls b),
-cnt as (select label, pred, count(*) as n from pr group by label, pred)
-select grid.label, grid.pred, cast(coalesce(cnt.n, 0) as bigint) as n from grid left join cnt
-  on grid.label = cnt.label and grid.pred = cnt.pred""", ("model_preds",))
+guess as (select obs_id, model, pred from model_preds where split = 'test'),
+pr as (select g.model, t.label, g.pred from truth t join guess g on t.obs_id = g.obs_id),
+cls as (select model, label as c from pr union select model, pred from pr),
+grid as (select a.model, a.c as label, b.c as pred from cls a join cls b on a.model = b.model),
+cnt as (select model, label, pred, count(*) as n from pr group by model, label, pred)
+select grid.model, grid.label, grid.pred, cast(coalesce(cnt.n, 0) as bigint) as n from grid left join cnt
+  on grid.model = cnt.model and grid.label = cnt.label and grid.pred = cnt.pred""", ("model_preds",))
 def confusion_matrix(spark, sf):
-    """Truth x prediction paired by an id join, zero cells kept."""
+    """Truth x prediction of every model, paired by an id join, zero cells kept."""
     truth = obs(spark, sf).select("obs_id", "label")
-    guess = model_preds(spark, sf).where((F.col("model") == "rule_b") & (F.col("split") == "test")) \
-        .select("obs_id", "pred")
-    return ev.confusion_matrix(truth.join(guess, "obs_id"))
+    guess = model_preds(spark, sf).where(F.col("split") == "test").select("obs_id", "model", "pred")
+    return ev.confusion_matrix(truth.join(guess, "obs_id"), by=["model"])
 
 
 @register("confusion_wide", f"""with {_CM_SQL}
@@ -279,27 +278,27 @@ def log_loss(spark, sf):
 
 
 @register("prediction_table", """
-select obs_id, label as True_Label, pred as Predicted_Label,
+select obs_id, model as Model, label as True_Label, pred as Predicted_Label,
   cast(case label when 'F' then 0 when 'O' then 1 else 2 end as bigint) as True_Index,
   cast(case pred when 'F' then 0 when 'O' then 1 else 2 end as bigint) as Predicted_Index,
   round(pf, 6) as Probability_F, round(po, 6) as Probability_O, round(pp, 6) as Probability_P
-from (select m.obs_id, m.label, m.pred,
+from (select m.obs_id, m.model, m.label, m.pred,
         max(case when s.cls = 'F' then s.p end) as pf, max(case when s.cls = 'O' then s.p end) as po,
         max(case when s.cls = 'P' then s.p end) as pp
       from model_preds m join scores s on m.obs_id = s.obs_id and m.model = s.model
-      where m.model = 'rule_a' and m.split = 'test' group by m.obs_id, m.label, m.pred) t""", ("model_preds",))
+      where m.split = 'test' group by m.obs_id, m.model, m.label, m.pred) t""", ("model_preds",))
 def prediction_table(spark, sf):
-    """True / predicted label, their codes and one probability column per class."""
-    w = scores_wide(spark, sf).where((F.col("model") == "rule_a") & (F.col("split") == "test"))
+    """For every model, true / predicted label, their codes and one probability column per class."""
+    w = scores_wide(spark, sf).where(F.col("split") == "test")
     pf, po, pp = F.col("p_F"), F.col("p_O"), F.col("p_P")
     pr_ = F.when((pf >= po) & (pf >= pp), "F").when(po >= pp, "O").otherwise("P")
     code = {c: i for i, c in enumerate(CLASSES)}
 
     def idx(c):
         return F.create_map(*[F.lit(x) for kv in code.items() for x in kv])[c].cast("bigint")
-    t = w.select("obs_id", F.col("label").alias("True_Label"), pr_.alias("Predicted_Label"), *[
+    t = w.select("obs_id", F.col("model").alias("Model"), F.col("label").alias("True_Label"), pr_.alias("Predicted_Label"), *[
         F.col(f"p_{c}").alias(f"Probability_{c}") for c in CLASSES])
-    return _rnd(t.select("obs_id", "True_Label", "Predicted_Label", idx(F.col("True_Label")).alias("True_Index"),
+    return _rnd(t.select("obs_id", "Model", "True_Label", "Predicted_Label", idx(F.col("True_Label")).alias("True_Index"),
                          idx(F.col("Predicted_Label")).alias("Predicted_Index"),
                          *[f"Probability_{c}" for c in CLASSES]))
 

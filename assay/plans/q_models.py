@@ -111,7 +111,7 @@ def boosting_loss(spark, sf):
 def model_linear_svm(spark, sf):
     """One-vs-rest linear SVM with calibrated probabilities."""
     pm, train, test = prepared(spark, sf)
-    scored = md.fit_calibrated_svm(train, N_CLASSES, folds=CV_FOLDS, maxIter=100).transform(test)
+    scored = md.fit_calibrated_svm(train, N_CLASSES, folds=CV_FOLDS, maxIter=30).transform(test)
     p = [r6(f"p_{c}", 9).alias(f"p_{c}") for c in range(N_CLASSES)]
     return _decoded(pm, scored).join(scored.select("id", *p), "id")
 
