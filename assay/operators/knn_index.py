@@ -104,8 +104,14 @@ def fit_centroids(ref: DataFrame, n: int, cells: int, rounds: int = 8) -> np.nda
     return c
 
 
-def build_index(ref: DataFrame, n: int, part: str | None = None, ring_rows: int = RING_ROWS, cells: int | None = None) -> Index:
-    """Index of ``ref`` (``rid, rvec`` and the column ``part``), which has ``n`` rows."""
+def build_index(ref: DataFrame, n: int, part: str | None = None, ring_rows: int = RING_ROWS, cells: int | None = None,
+                copies: int | None = None) -> Index:
+    """Index of ``ref`` (``rid, rvec`` and the column ``part``), which has ``n`` rows.
+
+    With ``copies``, of equal vectors only the ``copies`` smallest ``rid`` are kept: with ``k``, and one more if a row is not its own
+    neighbour, no other copy can be among the ``k`` nearest of any query.  Spark limits each copy group before it
+    shuffles, so a vector that a third of the rows share costs little.
+    """
     spark = ref.sparkSession
     ring_rows = max(ring_rows, -(-2 * n // MAX_RINGS))
     cells = cells or int(np.clip(n // (2 * ring_rows), 1, MAX_CELLS))
@@ -113,6 +119,10 @@ def build_index(ref: DataFrame, n: int, part: str | None = None, ring_rows: int
         (F.col(part) if part else F.lit("")).cast("string").alias("part"), "rid", F.col("rvec").cast("array<double>").alias("rvec"))
     if part:
         ref = ref.where(F.col("part").isNotNull())
+    if copies:
+        w = Window.partitionBy("part", "rvec").orderBy("rid")
+        ref = write_scratch(ref.select("*", F.row_number().over(w).alias("__copy")).where(F.col("__copy") <= copies).drop("__copy"),
+                            "knn-distinct")
     centroids = spark.sparkContext.broadcast(fit_centroids(ref, n, cells))
 
     def locate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

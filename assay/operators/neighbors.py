@@ -50,7 +50,7 @@ def knn(query: DataFrame, ref: DataFrame, k: int, part: str | None = None, exclu
     """
     nq, nr = query.count(), ref.count()
     if nr > index_blocks * block_rows:
-        return search(query, build_index(ref, nr, part, block_rows), k, part, exclude_self)[0]
+        return search(query, build_index(ref, nr, part, block_rows, copies=k + int(exclude_self)), k, part, exclude_self)[0]
     bq = max(1, math.ceil(nq / block_rows))
     br = max(1, math.ceil(nr / block_rows))
     keys = (["__p"] if part else []) + ["qb", "rb"]

@@ -93,6 +93,20 @@ def test_queries_beside_the_references(spark):
         assert got[i] == sorted(range(400), key=lambda j: (d[j], j))[:3]
 
 
+def test_copies_beyond_k_leave_the_index(spark):
+    n = 5000
+    x = np.zeros((n, 3))
+    x[::50] = np.random.default_rng(1).normal(size=(n // 50, 3))
+    q, r = _sides(_frame(spark, x))
+    index = ki.build_index(r, n, ring_rows=64, copies=5)
+    assert index.rows.count() == n // 50 + 5
+    plan = r.selectExpr("rid", "row_number() over (partition by rvec order by rid) as c").where("c <= 5")
+    assert "WindowGroupLimit" in plan._jdf.queryExecution().executedPlan().toString()  # limited before the shuffle
+    nn = ki.search(q, index, 4, exclude_self=True)[0]
+    some = [0, 1, 2, 3, 4, 5, 6, 50, 51, 4999]
+    assert _got(nn.where(F.col("qid").isin(some))) == _brute(x, 4, rows=some)
+
+
 def test_edges(spark):
     df = _frame(spark, np.zeros((3, 2)))
     q, r = _sides(df)
