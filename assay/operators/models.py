@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
@@ -23,10 +24,11 @@ from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions.hashing import uniform
+from assay.functions.stats import attach
 from assay.session import write_scratch
 
 
@@ -133,6 +135,12 @@ def successive_halving(est, maps: list, df: DataFrame, fold_col: str = "sfold",
     return out
 
 
+def together(jobs: Sequence[Callable], threads: int = 4) -> list:
+    """Results of independent fits, in order; they run on driver threads and Spark schedules their tasks side by side."""
+    with ThreadPoolExecutor(threads) as pool:
+        return [f.result() for f in [pool.submit(job) for job in jobs]]
+
+
 def probability_columns(pred: DataFrame, n_classes: int, col: str = "probability") -> DataFrame:
     """Vector probability -> ``p_0 .. p_{k-1}``; keeps every other column."""
     arr = vector_to_array(F.col(col))
@@ -141,12 +149,10 @@ def probability_columns(pred: DataFrame, n_classes: int, col: str = "probability
 
 def fit_gbt_ovr(train: DataFrame, n_classes: int, max_iter: int = 100, seed: int = 42) -> list:
     """L4: one binary ``GBTClassifier`` per class (GBT is binary-only in Spark ML)."""
-    models = []
-    for c in range(n_classes):
+    def one(c):
         t = train.select("features", (F.col("y") == c).cast("double").alias("yc"))
-        models.append(GBTClassifier(featuresCol="features", labelCol="yc", maxIter=max_iter, maxDepth=3,
-                                    seed=seed).fit(t))
-    return models
+        return GBTClassifier(featuresCol="features", labelCol="yc", maxIter=max_iter, maxDepth=3, seed=seed).fit(t)
+    return together([lambda c=c: one(c) for c in range(n_classes)])
 
 
 def predict_gbt_ovr(models: list, df: DataFrame) -> DataFrame:
@@ -224,10 +230,10 @@ def fit_calibrated_svm(train: DataFrame, n_classes: int, fold_col: str = "sfold"
 
     All fits are Spark ML fits over the rows; the margins are written once, since every class reads them.
     """
-    parts = []
-    for f in range(folds):
-        m = estimator("linear_svm", **params).fit(train.where(F.col(fold_col) != f))
-        parts.append(m.transform(train.where(F.col(fold_col) == f)).select("y", vector_to_array("rawPrediction").alias("m")))
+    *blind, svm = together([lambda d=d: estimator("linear_svm", **params).fit(d) for d in
+                            [*[train.where(F.col(fold_col) != f) for f in range(folds)], train]])
+    parts = [m.transform(train.where(F.col(fold_col) == f)).select("y", vector_to_array("rawPrediction").alias("m"))
+             for f, m in enumerate(blind)]
     margins = write_scratch(reduce(DataFrame.unionByName, parts), "svm-margins")
     sizes = {int(r["y"]): r["count"] for r in margins.groupBy("y").count().collect()}  # one row per class
     total, sigmoids = sum(sizes.values()), []
@@ -240,7 +246,7 @@ def fit_calibrated_svm(train: DataFrame, n_classes: int, fold_col: str = "sfold"
             F.struct(F.lit(1.0).alias("t"), target.alias("w")), F.struct(F.lit(0.0).alias("t"), (1.0 - target).alias("w")))))
         lr = LogisticRegression(featuresCol="features", labelCol="t", weightCol="w", maxIter=50).fit(both)
         sigmoids.append((float(lr.coefficients[0]), float(lr.intercept)))
-    return CalibratedSvm(estimator("linear_svm", **params).fit(train), sigmoids)
+    return CalibratedSvm(svm, sigmoids)
 
 
 def tensor_sketch(df: DataFrame, features: str = "features", out: str = "sketch", degree: int = 2, n_out: int = 256,
@@ -307,6 +313,17 @@ def importance_table(model, features: Sequence[str], spark) -> DataFrame:
     return spark.createDataFrame([(f, float(v)) for f, v in zip(features, imp)], "feature string, importance double")
 
 
+def select_by_importance(table: DataFrame, top: int | None = None) -> DataFrame:
+    """``table`` (``feature, importance``) with ``rank`` (ties: name) and ``selected``: the ``top`` most important features,
+    or without ``top`` those of at least the median importance."""
+    place = F.row_number().over(Window.orderBy(F.desc("importance"), F.asc("feature")))  # one row per feature
+    ranked = table.select("*", place.alias("rank"))
+    if top is not None:
+        return ranked.select("*", (F.col("rank") <= top).alias("selected"))
+    ranked = attach(ranked, table.agg(F.median("importance").alias("__median")))
+    return ranked.select(*table.columns, "rank", (F.col("importance") >= F.col("__median")).alias("selected"))
+
+
 def coef_importance(model, features: Sequence[str], spark) -> DataFrame:
     """|coefficient| of the first class of a linear model."""
     m = model.coefficientMatrix.toArray()
@@ -334,24 +351,25 @@ def stacking_oof(train: DataFrame, test: DataFrame, base: Sequence[str], n_class
     def probs(model, df, tag):
         p = probability_columns(model.transform(df), n_classes)
         return p.select("id", *[F.col(f"p_{c}").alias(f"{tag}_p_{c}") for c in range(n_classes)])
-    oof_parts = []
-    for f in range(k):
-        tr, ho = train.where(F.col("sfold") != f), train.where(F.col("sfold") == f)
-        cols = None
-        for b in base:
-            p = probs(estimator(b, seed).fit(tr), ho, b)
-            cols = p if cols is None else cols.join(p, "id")
-        oof_parts.append(cols)
-    oof = oof_parts[0]
-    for p in oof_parts[1:]:
-        oof = oof.unionByName(p)
-    tcols = None
-    for b in base:
-        p = probs(estimator(b, seed).fit(train), test, b)
-        tcols = p if tcols is None else tcols.join(p, "id")
+    sides = [(train.where(F.col("sfold") != f), train.where(F.col("sfold") == f)) for f in range(k)] + [(train, test)]
+    fits = together([lambda b=b, tr=tr: estimator(b, seed).fit(tr) for tr, _ in sides for b in base])
+    scored = []
+    for i, (_, held) in enumerate(sides):
+        mine = [probs(m, held, b) for m, b in zip(fits[i * len(base):], base)]
+        scored.append(reduce(lambda x, y: x.join(y, "id"), mine))
+    *oof_parts, tcols = scored
+    oof = reduce(DataFrame.unionByName, oof_parts)
     return oof, tcols
 
 
+def stacked(train: DataFrame, test: DataFrame, base: Sequence[str], n_classes: int, k: int = 3, seed: int = 42) -> DataFrame:
+    """The ``test`` rows scored by a logistic model over the out-of-fold probabilities of the ``base`` models."""
+    oof, tp = stacking_oof(train, test, base, n_classes, k, seed)
+    va = VectorAssembler(inputCols=[c for c in oof.columns if c != "id"], outputCol="features")
+    meta = estimator("logreg", seed).fit(va.transform(oof.join(train.select("id", "label", "y"), "id")))
+    return meta.transform(va.transform(tp.join(test.select("id", "label", "y"), "id")))
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     """Spark ML persistence."""
     model.write().overwrite().save(path)
@@ -368,7 +386,6 @@ def cv_scores(est, maps: list, df: DataFrame, fold_col: str = "fold", k: int | N
     Fits run on driver threads (Spark schedules their tasks concurrently), the
     way ``CrossValidator(parallelism=...)`` does.
     """
-    from concurrent.futures import ThreadPoolExecutor
     folds = list(range(k)) if k is not None else sorted(r[0] for r in df.select(fold_col).distinct().collect())
     ev = MulticlassClassificationEvaluator(labelCol="y", predictionCol="prediction", metricName="accuracy")
 

@@ -23,6 +23,8 @@ SEED = 42
 FEATURES = ["qty_f", "price_k", "bal_k", "priority_score", "is_auto", "price_per_qty_k"]
 N_CLASSES = 3
 CV_FOLDS = 3
+#: Features that the top-n form of the importance selection keeps.
+TOP = 3
 
 
 def model_base(spark, sf):
@@ -155,13 +157,7 @@ def model_mlp(spark, sf):
 def model_stacking(spark, sf):
     """Stacking of logistic regression and random forest, logistic meta-model, 3 folds."""
     pm, train, test = prepared(spark, sf)
-    oof, tp = md.stacking_oof(train, test, ["logreg", "rf"], N_CLASSES, CV_FOLDS, SEED)
-    meta_cols = [c for c in oof.columns if c != "id"]
-    va = VectorAssembler(inputCols=meta_cols, outputCol="features")
-    mtrain = va.transform(oof.join(train.select("id", "label", "y"), "id"))
-    meta = md.estimator("logreg", SEED).fit(mtrain)
-    mtest = va.transform(tp.join(test.select("id", "label", "y"), "id"))
-    return _decoded(pm, meta.transform(mtest))
+    return _decoded(pm, md.stacked(train, test, ["logreg", "rf"], N_CLASSES, CV_FOLDS, SEED))
 
 
 def _cv_rows(spark, rows, stage="grid"):
@@ -228,14 +224,11 @@ def screen_then_tune(spark, sf):
 
 @register("tree_importance")
 def tree_importance(spark, sf):
-    """Random-forest importances (sum to 1) and the >= median selection."""
+    """Random-forest importances (sum to 1) and the two selections: >= median, and the top three."""
     pm, train, test = prepared(spark, sf)
     m = md.estimator("rf", SEED, numTrees=100).fit(train)
-    t = md.importance_table(m, FEATURES, spark)
-    from assay.functions.stats import attach
-    med = t.agg(F.median("importance").alias("med"))
-    return attach(t, med).select("feature", r6("importance").alias("importance"),
-                                   (F.col("importance") >= F.col("med")).alias("selected"))
+    t = md.select_by_importance(md.importance_table(m, FEATURES, spark))
+    return t.select("feature", r6("importance").alias("importance"), "selected", "rank", (F.col("rank") <= TOP).alias("in_top"))
 
 
 @register("coef_importance")
