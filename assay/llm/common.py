@@ -42,6 +42,27 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is heavy if more than 1 / HEAVY_PARTS of the rows have it, so there are fewer heavy keys than this.
+HEAVY_PARTS = 1000
+
+
+def join_spread(rows: DataFrame, named: DataFrame, key: str, weight: str) -> DataFrame:
+    """``rows`` left joined to ``named``, a written table with one row per value of ``key`` and, as ``weight``, how many of
+    ``rows`` have that value.
+
+    The few rows of ``named`` for heavy keys are broadcast, and rows with a null key join nothing, so that no task of the
+    shuffled join meets a key with more than one in ``HEAVY_PARTS`` of the rows.  ``weight`` is not returned.
+    """
+    total = named.agg(F.sum(weight)).first()[0] or 0
+    found = named.select(*[c for c in named.columns if c != weight])
+    heavy = named.where(F.col(weight) * HEAVY_PARTS > total).select(*found.columns)
+    hot = rows.join(F.broadcast(heavy), key)
+    rare = rows.where(F.col(key).isNotNull()).join(F.broadcast(heavy.select(key)), key, "left_anti").join(found, key, "left")
+    none = rows.where(F.col(key).isNull()).select("*", *[
+        F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema.fields if f.name != key])
+    return hot.unionByName(rare).unionByName(none)
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import settle
+from assay.llm.common import join_spread, settle
 
 
 def _large_star(links: DataFrame) -> DataFrame:
-    both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = settle(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "star")
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    # links run from the greater to the smaller end; a hub has most of its links at its smaller end
+    up = links.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    least = settle(links.select("u", "v").unionByName(up).groupBy("u").agg(
+        F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("links")), "star")
+    return join_spread(up, least, "u", "links").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:

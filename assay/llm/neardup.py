@@ -5,7 +5,8 @@ per class goes on.  Each class has a signature of ``K`` minwise hashes.  Indepen
 (Christiani, Pagh and Sivertsen, "Scalable and robust set similarity join"): a node picks, by its own hash, 1 / threshold
 positions of the signature on average, and a class moves to one child for each of them, named by its minwise token there.  Two sets at
 the threshold stay together in one child on average, others part quickly.  A node with few classes is compared exhaustively by
-signatures, a larger one goes on.  ``TREES`` trees leave a pair at the threshold unseen with a probability below 1e-3.
+signatures, a larger one goes on.  ``TREES`` trees are grown first and, since a pair's chance falls with every level, further ones until a
+pair at the threshold is parted in all of them with a chance below ``MISS`` at the deepest level (``trees_for``).
 
 Groups of thousands of near copies part slowly or never, and a list of their pairs would grow with the square of their size.
 So a node names no pairs but connects what its pairs that may be linked connect, in stars, and a large node links its
@@ -35,11 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import Words, mix, ngram_hashes, settle, text_or_empty, words_of
+from assay.llm.common import Words, join_spread, mix, ngram_hashes, settle, text_or_empty, words_of
 from assay.llm.components import components
 
 K = 128
-TREES = 10
+#: Trees that are grown first, and the chance to miss a pair at the threshold that the trees grown in the end stay below.
+TREES, MISS = 10, 1e-3
 #: Levels that every tree takes before node sizes are counted.
 FIRST_LEVELS = 3
 #: Classes that a node compared exhaustively may hold: at first, and once unrelated sets have parted (from this level on).
@@ -146,12 +148,24 @@ def _entries(keys: pa.Array, node: np.ndarray, row: np.ndarray) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), keys.take(pa.array(row))], names=["node", "cls"])
 
 
-def _plant(threshold: float):
+def trees_for(depth: int, threshold: float) -> int:
+    """Trees after which a pair at ``threshold`` has been parted in all of them, ``depth`` levels down, with a chance below ``MISS``.
+
+    The pair goes on in each child of a node with the chance of its similarity, independently: a branching process.
+    """
+    parted = 0.0
+    for _ in range(depth):
+        parted = float(np.prod([1 - threshold * min(1.0, 1 / threshold - j) * (1 - parted)
+                                for j in range(int(np.ceil(1 / threshold)))]))
+    return max(TREES, int(np.ceil(np.log(MISS) / np.log(parted)))) if parted > 0 else TREES
+
+
+def _plant(threshold: float, trees: range):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sig = _matrix(b.column(1), K, np.uint32)
-            node = np.repeat(mix(np.arange(1, TREES + 1).astype(np.uint64)), b.num_rows)
-            row = np.tile(np.arange(b.num_rows), TREES)
+            node = np.repeat(mix(np.arange(trees.start + 1, trees.stop + 1).astype(np.uint64)), b.num_rows)
+            row = np.tile(np.arange(b.num_rows), len(trees))
             for _ in range(FIRST_LEVELS):
                 node, row = children(node, row, sig, threshold)
             yield _entries(b.column(0), node, row)
@@ -358,7 +372,7 @@ def _connect(docs: DataFrame, classes: DataFrame, edges: list[DataFrame], large:
 
     A family of one chunk is compared whole.  Of a larger one every chunk is, with the members that all chunks share.
     """
-    member = _members(classes, edges)
+    member = _members(classes, edges + links)
     dense = member.join(large.select("cls").distinct(), "cls", "left_semi").select("cell").distinct()
     sizes = member.join(dense, "cell", "left_semi").groupBy("cell").agg(
         F.count(F.lit(1)).alias("size"), F.sum("n").alias("items"))
@@ -397,14 +411,15 @@ def _last_cells(large: DataFrame, label: DataFrame, level: int) -> tuple[DataFra
     return met, rows.where("how = 'split'").select("node", "cls")
 
 
-def _grow_cells(docs: DataFrame, classes: DataFrame, n: int, pct: int):
-    """Cells (``cell, cls``) of the trees over ``classes`` (``cls, n, sig, sig8``), family edges and confirmed links (``a, b``),
-    and the label of classes that need no comparison among themselves (``cls, label``; None if there are none)."""
+def _grow_cells(docs: DataFrame, classes: DataFrame, n: int, pct: int, trees: range, cells: list, edges: list, links: list,
+                label: DataFrame | None) -> tuple[DataFrame | None, int]:
+    """Grow ``trees`` over ``classes`` (``cls, n, sig, sig8``) and append to what earlier trees found: cells (``cell, cls``),
+    family edges and confirmed links (``a, b``).  Returns the label of classes that need no comparison among themselves
+    (``cls, label``; None if there are none), and the deepest level."""
     sig8 = classes.select("cls", "sig8")
     threshold = pct / 100
     low = threshold - SLACK
-    cells, edges, links, label = [], [], [], None
-    entries = settle(classes.select("cls", "sig").mapInArrow(_plant(threshold), "node long, cls long"), "entries")
+    entries = settle(classes.select("cls", "sig").mapInArrow(_plant(threshold, trees), "node long, cls long"), "entries")
     for level in range(FIRST_LEVELS, LAST_LEVEL + 1):
         most = SMALL if level < DENSE_LEVEL else DENSE
         # other pivots in other nodes, so that no odd one out stands for a group everywhere
@@ -416,7 +431,8 @@ def _grow_cells(docs: DataFrame, classes: DataFrame, n: int, pct: int):
         shared = settle(entries.join(sizes, "node"), "shared")
         met = shared.where(f"size <= {most}").select(F.col("node").alias("cell"), "cls")
         large = going = shared.where(f"size > {most}")
-        connect = level >= DENSE_LEVEL and (level - DENSE_LEVEL) % CONNECT_EVERY == 0
+        # further trees start from the labels that are known
+        connect = level >= DENSE_LEVEL and (level - DENSE_LEVEL) % CONNECT_EVERY == 0 and (level > DENSE_LEVEL or label is None)
         if largest > most and (connect or level < DENSE_LEVEL):
             pivots = settle(large.select("pivot").distinct().join(
                 sig8.select(F.col("cls").alias("pivot"), F.col("sig8").alias("pivot_sig")), "pivot"), "pivots")
@@ -444,15 +460,19 @@ def _grow_cells(docs: DataFrame, classes: DataFrame, n: int, pct: int):
         lists = going.groupBy("cls").agg(F.collect_list("node").alias("nodes"))
         entries = settle(classes.select("cls", "sig").join(lists, "cls").select("cls", "sig", "nodes").mapInArrow(
             _grow(threshold), "node long, cls long"), "entries")
-    return cells, edges + links, links, label
+    return label, level
 
 
 def similar_pairs(docs: DataFrame, classes: DataFrame, n: int, pct: int) -> DataFrame:
     """Pairs ``a < b`` of classes (``cls, n, sig, sig8``) that connect exactly what confirmed links connect."""
-    cells, edges, links, label = _grow_cells(docs, classes, n, pct)
+    cells, edges, links, label = [], [], [], None
+    grown, wanted = 0, TREES
+    while grown < wanted:
+        label, depth = _grow_cells(docs, classes, n, pct, range(grown, wanted), cells, edges, links, label)
+        grown, wanted = wanted, max(wanted, trees_for(depth, pct / 100))
     if not cells:
         return classes.limit(0).select(F.col("cls").alias("a"), F.col("cls").alias("b"))
-    member = _members(classes, edges)
+    member = _members(classes, edges + links)
     sizes = member.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("items"))
     giant = settle(sizes.where(f"size > {FAMILY} or items > {FAMILY_ITEMS}").select("cell"), "giants")
     rows = member.join(giant, "cell", "left_anti").select("cell", "cls")
@@ -477,13 +497,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, pct: int = 80, key: str =
     signed = settle(rows.mapInArrow(_sign(shingle), "doc long, n long, digest binary, sig binary"), "signed")
     # the partial aggregate leaves one row per class and map task, however many copies there are
     low_bytes = F.expr("unhex(array_join(transform(sequence(1, %d, 4), i -> hex(substring(sig, i, 1))), ''))" % (4 * K))
-    classes = settle(signed.where("n > 0 and doc is not null").groupBy("digest").agg(
-        F.min("doc").alias("cls"), F.first("n").alias("n"), F.first("sig").alias("sig")).withColumn("sig8", low_bytes), "classes")
-    links = similar_pairs(rows, classes.select("cls", "n", "sig", "sig8"), shingle, pct)
-    found = components(links)
-    named = settle(classes.select("digest", "cls").join(found, F.col("cls") == F.col("node"), "left").select(
-        "digest", F.coalesce("component", "cls").alias("component_id")), "named")
-    out = signed.select("doc", "n", "digest").join(named, "digest", "left")
+    tally = settle(signed.where("n > 0").groupBy("digest").agg(
+        F.min("doc").alias("cls"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies")), "tally")
+    classes = settle(tally.where("cls is not null").select("cls", "n", "sig", low_bytes.alias("sig8")), "classes")
+    found = components(similar_pairs(rows, classes, shingle, pct))
+    named = settle(tally.select("digest", "cls", "copies").join(found, F.col("cls") == F.col("node"), "left").select(
+        "digest", F.coalesce("component", "cls").alias("component_id"), "copies"), "named")
+    out = join_spread(signed.select("doc", "n", "digest"), named, "digest", "copies")
     component = F.coalesce("component_id", "doc")
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.coalesce(component == F.col("doc"), F.lit(True)).alias("kept"))

@@ -2,7 +2,8 @@
 
 Texts are normalised as the tokenizer itself normalises them (nothing, for byte-level BPE; null is the empty text) and
 named by a SHA-256 digest.  Digests join the stored counts of the same tokenizer version; only distinct misses are
-encoded, and their counts are appended to the cache, a Parquet table any later run can use.
+encoded, and their counts are appended to the cache, a Parquet table any later run can use.  Counts of texts that very
+many rows share reach these rows by a broadcast, so a hot text is no hot join key.
 
 Edge cases: a null text counts as empty (0 bytes, 0 tokens); copies share one cache row; an empty table appends nothing
 and returns no rows; columns other than ``key`` and ``text`` are never looked at.  A cache that holds a digest more than
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.llm import bpe
-from assay.llm.common import scratch, settle, text_or_empty
+from assay.llm.common import join_spread, scratch, settle, text_or_empty
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 
@@ -57,9 +58,10 @@ def count_tokens(docs: DataFrame, cache_dir: str, tokenizer: str = "byte_bpe_50k
     misses = keyed.select("digest", "text").dropDuplicates(["digest"]).join(known, "digest", "left_anti")
     fresh = misses.select("digest", "text").mapInArrow(_encode(path), "digest binary, n_tokens long")
     fresh.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_dir)
-    counts = settle(read_cache(spark, cache_dir, version), "token-counts")
-    rows = keyed.select("key", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    return rows.join(counts, "digest").select(
+    rows = settle(keyed.select("key", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
+    copies = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
+    counts = settle(copies.join(read_cache(spark, cache_dir, version), "digest"), "token-counts")
+    return join_spread(rows, counts, "digest", "copies").select(
         F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

@@ -28,6 +28,29 @@ def test_tables_equal_brute_force(spark, n):
     assert out.where("kept <> (doc_id = component_id)").count() == 0
 
 
+def test_trees_follow_depth(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    for depth in (3, 5, 8):
+        # pairs at the threshold, each child of a node shared with the chance of their similarity
+        left = np.ones((20_000, 1), int)
+        for _ in range(depth):
+            kids = rng.binomial(left, 0.8) + rng.binomial(rng.binomial(left, 0.25), 0.8)
+            left = kids
+        missed = (left[:, 0] == 0).mean() ** neardup.trees_for(depth, 0.8)
+        assert missed < 1.2 * neardup.MISS
+    counts = [neardup.trees_for(d, 0.8) for d in range(0, 61)]
+    assert counts == sorted(counts) and counts[5] == neardup.TREES < counts[8] < counts[60] < 200
+    # too few trees at first: the rest is grown, and what earlier trees found is kept
+    monkeypatch.setattr(neardup, "TREES", 2)
+    monkeypatch.setattr(neardup, "SMALL", 4)
+    monkeypatch.setattr(neardup, "DENSE", 8)
+    r = random.Random(11)
+    rows = [_edited(r, [f"g{g}w{i}" for i in range(80)], 0.03) for g in range(6) for _ in range(25)]
+    docs = list(enumerate(rows))
+    want = brute.near_duplicates(docs, 2, 80)
+    assert _got(neardup.near_duplicates(frame(spark, [(k, t, "en") for k, t in docs]), shingle=2)) == want
+
+
 def _edited(rng, words, share):
     return " ".join(f"z{rng.randrange(10**9)}" if rng.random() < share else w for w in words)
 
