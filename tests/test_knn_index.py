@@ -113,3 +113,24 @@ def test_edges(spark):
     assert nb.knn(q, r.limit(0), 2, index_blocks=0).count() == 0
     assert _got(nb.knn(q, r, 5, exclude_self=True, index_blocks=0)) == {0: [1, 2], 1: [0, 2], 2: [0, 1]}
     assert nb.knn(q.limit(0), r, 2, block_rows=1, index_blocks=0).count() == 0
+
+
+def test_a_query_travels_once_per_group_whatever_the_rings(spark):
+    """Isotropic vectors: every query visits almost every ring, and reaches each group of rings in one row."""
+    row, group, lo, hi = ki._by_group(np.array([1, 0, 0, 0]), np.array([0, 4, 2, 8]), np.array([9, 8, 4, 9]),
+                                      np.array([0, 0, 0, 1, 1, 1, 1, 2, 2]))
+    assert row.tolist() == [0, 0, 0, 1, 1, 1] and group.tolist() == [0, 1, 2, 0, 1, 2]
+    assert [x.tolist() for x in lo] == [[2], [3], [7], [0], [3], [7]] and [x.tolist() for x in hi] == [[3], [7], [9], [3], [7], [9]]
+    n = 6000
+    q, r = _sides(_frame(spark, np.random.default_rng(8).normal(size=(n, 24))))
+    index = ki.build_index(r, n, ring_rows=16)
+    assert len(index.rings) > 200
+    groups = index.rings["group"].nunique()
+    assert groups <= 6 and index.rows.select("group").distinct().count() == groups
+    nn, visits = ki.search(q, index, 3, exclude_self=True)
+    assert visits.count() > 50 * n  # as many (query, ring) pairs, which are not shuffled
+    stages = nn._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in stages.split("FlatMapCoGroupsInPandas")[0]
+    some = [0, 17, 5999]
+    x = np.random.default_rng(8).normal(size=(n, 24))
+    assert _got(nn.where(F.col("qid").isin(some))) == _brute(x, 3, rows=some)

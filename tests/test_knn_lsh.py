@@ -36,3 +36,18 @@ def test_lsh_buckets_are_selective(spark):
     lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=1.0, numHashTables=4, seed=42).fit(v)
     pairs = lsh.approxSimilarityJoin(v, v, float("inf")).count()
     assert pairs < 0.5 * 1603 ** 2
+
+
+def test_a_bucket_that_holds_every_vector_writes_no_pairs(spark):
+    from assay.operators.neighbors import _bucket_mates
+    q, r = _vectors(spark)
+    tables = F.explode(F.array(*[F.lit(t) for t in range(4)])).alias("table")
+    one = F.lit(0.0).alias("bucket")
+    mates = _bucket_mates(q.select("qid", "qvec", one, tables), r.select("rid", "rvec", one, tables), 5).persist()
+    assert mates.distinct().groupBy("qid").count().where("count < 5").count() == 0
+    # at most k rows per query and task leave a bucket of 1,603 x 1,603 pairs
+    assert mates.count() < 0.05 * 4 * 1603 ** 2
+    approx = nb.knn_lsh(q, r, 5, bucket_length=1e6)
+    exact = nb.knn(q, r, 5, exclude_self=True)
+    assert not approx.where("exact").count()
+    assert {(x.qid, x["rank"], x.rid) for x in approx.collect()} == {(x.qid, x["rank"], x.rid) for x in exact.collect()}
