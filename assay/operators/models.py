@@ -163,9 +163,14 @@ def dealt(df: DataFrame, rows: int) -> DataFrame:
     return df.repartition(parts) if parts > 1 else df.coalesce(1)
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """``df`` in at most :func:`pass_tasks` partitions."""
+    return df.coalesce(pass_tasks(df.sparkSession, df.count()))
+
+
 def held(df: DataFrame) -> DataFrame:
     """``df`` persisted for repeated passes, in at most :func:`pass_tasks` partitions."""
-    return df.coalesce(pass_tasks(df.sparkSession, df.count())).persist(StorageLevel.MEMORY_AND_DISK)
+    return gathered(df).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def fit_linear_svm(train: DataFrame, threads: int = 3, maxIter: int = 10, regParam: float = 0.01) -> OneVsRestModel:

@@ -17,6 +17,7 @@ equals the unsalted rank exactly.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,10 +31,12 @@ MAX_SALTS = 1024        # copies of a row that is picked very often
 
 
 def rank_within(df: DataFrame, keys: Sequence[str], order_key: Column, tiebreak: str,
-                salt_bits: int = SALT_BITS) -> DataFrame:
-    """Add ``__rk`` (0-based rank by (order_key, tiebreak) within ``keys``) and ``__n``.
+                salt_bits: int = SALT_BITS, parts: int | None = None) -> DataFrame:
+    """Add ``__rk`` (0-based rank by (order_key, tiebreak) within ``keys``), ``__n``, ``__h`` (the order key) and ``__b`` (its salt).
 
-    ``order_key`` must be a non-negative 60-bit hash (``hash60``).
+    ``order_key`` must be a non-negative 60-bit hash (``hash60``).  With ``parts`` the rows are dealt by salt alone over so many
+    partitions: rows of one order key lie together whatever their ``keys``, so a later window over ``__b`` and a column that
+    decides the order key needs no other shuffle.
     """
     keys = list(keys)
     d = df.select("*", order_key.alias("__h"))
@@ -44,9 +47,21 @@ def rank_within(df: DataFrame, keys: Sequence[str], order_key: Column, tiebreak:
                      F.coalesce(F.sum("__bn").over(wk.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)),
                                 F.lit(0)).alias("__off"),
                      F.sum("__bn").over(wk).alias("__n"))
-    j = d.join(off, keys + ["__b"])
-    w = Window.partitionBy(*keys, "__b").orderBy("__h", tiebreak)
-    return j.select(*df.columns, "__h", "__n",
+    if parts:
+        # a salt has one row with the offsets of all its keys, so that the join needs the rows dealt by salt only, and that is
+        # hashed, so that they are sorted once; rows with a null key are left out, as by a join on it
+        key = F.struct(*[F.col(k) for k in keys])
+        off = off.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True))).repartition(parts, "__b")
+        packed = off.groupBy("__b").agg(F.map_from_entries(F.collect_list(
+            F.struct(key.alias("k"), F.struct("__off", "__n").alias("v")))).alias("__offs"))
+        j = d.repartition(parts, "__b").join(packed.hint("shuffle_hash"), "__b").select(
+            *d.columns, F.try_element_at("__offs", key).alias("__at")).where(F.col("__at").isNotNull())
+        j = j.select(*d.columns, "__at.__off", "__at.__n")
+    else:
+        j = d.join(off, keys + ["__b"])
+    # a salt has few rows, so it leads the sort: rows of a class tie in that
+    w = Window.partitionBy(*(["__b", *keys] if parts else [*keys, "__b"])).orderBy("__h", tiebreak)
+    return j.select(*df.columns, "__b", "__h", "__n",
                     (F.col("__off") + F.row_number().over(w) - 1).cast("bigint").alias("__rk"))
 
 
@@ -104,14 +119,15 @@ def split_with_folds(df: DataFrame, label: str, id_col: str, test_fraction: floa
     Both rank a class in the same order, so the train rows of a class are its rows from some rank on, and a train row's place
     among them is its rank less that one.  The folds belong to ids: a row has the fold of the train row of its id (null without
     one) and, where an id comes repeatedly, comes once per train row of the id, numbered by ``copy`` from 0.  ``order_key``:
-    :func:`hash60` of id and seed, if a column holds it.  The rows end up dealt by id, over ``parts`` partitions if given.
+    :func:`hash60` of id and seed, if a column holds it.  The rows end up dealt by id, over ``parts`` partitions if given: then by
+    the salt of its hash, so that one shuffle serves the ranks and the ids.
     """
-    r = rank_within(df, [label], hash60(F.col(id_col), seed) if order_key is None else order_key, id_col)
+    r = rank_within(df, [label], hash60(F.col(id_col), seed) if order_key is None else order_key, id_col, parts=parts)
     place = F.col("__rk") - F.ceil(F.col("__n") * test_fraction)
-    r = r.select(*df.columns, F.when(place < 0, "test").otherwise("train").alias("split"),
+    r = r.select(*df.columns, "__b", F.when(place < 0, "test").otherwise("train").alias("split"),
                  F.when(place >= 0, place % k).cast("int").alias("__fold"))
-    r = r.repartition(parts, id_col) if parts else r
-    mine = F.when(F.col(id_col).isNotNull(), F.collect_list("__fold").over(Window.partitionBy(id_col)))
+    same_id = Window.partitionBy(id_col, "__b") if parts else Window.partitionBy(id_col)
+    mine = F.when(F.col(id_col).isNotNull(), F.collect_list("__fold").over(same_id))
     return r.select(*df.columns, "split", mine.alias("__folds")).select(
         *df.columns, "split", F.posexplode_outer("__folds").alias("copy", "fold")).withColumn("copy", F.coalesce("copy", F.lit(0)))
 

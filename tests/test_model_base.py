@@ -46,3 +46,20 @@ def test_linear_svm_equals_one_vs_rest(spark):
 def test_grid_medians_are_not_collected_in_one_task(spark):
     plan = entry.queries()["decision_grid"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "median" not in plan.lower() and "percentile" not in plan.lower()
+
+
+def test_single_fits_do_not_store_their_rows(spark, monkeypatch):
+    held, kept = md.held, []
+    monkeypatch.setattr(md, "held", lambda df: kept.append(df.columns) or held(df))
+    for name in ("coef_importance", "tree_importance"):
+        assert entry.queries()[name](spark, SF_SMALL).count() == len(q_models.FEATURES)
+    assert kept == []
+    b = q_models.model_base(spark, SF_SMALL)
+    _, train, test = q_models.prepared(spark, SF_SMALL, b, hold=False)
+    assert not train.storageLevel.useMemory and train.count() + test.count() == b.count()
+
+
+def test_selection_stores_its_code_and_features_only(spark):
+    b = q_models._coded(q_models.model_base(spark, SF_SMALL).where(F.col("split") == "train"))
+    assert b.columns == ["y", *q_models.FEATURES] and b.storageLevel.useMemory
+    b.unpersist()

@@ -31,3 +31,15 @@ def test_model_base_ranks_once(spark, monkeypatch):
     b = q_models.model_base(spark, SF_SMALL)
     assert len(calls) == 1 and b.where("split = 'train' and sfold is null").count() == 0
     assert b.where("split = 'test' and sfold is not null").count() == 0
+
+
+def test_ranks_and_folds_share_one_shuffle_of_the_rows(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(500).selectExpr("id", "concat('a', id % 3) as label", "id * 2 as x").withColumn(
+        "h", hash60(F.col("id"), 7)).write.parquet(path)
+    got = sa.split_with_folds(spark.read.parquet(path), "label", "id", 0.2, 3, 7, F.col("h"), 5)
+    lines = got._jdf.queryExecution().executedPlan().toString().split("\n")
+    # of the way of the rows: everything above the counts of the salts, which is the last and deepest branch
+    rows = lines[:next(i for i, line in enumerate(lines) if "FileScan" in line)]
+    shuffles = [line for line in rows if "Exchange" in line]
+    assert len(shuffles) == 1 and "hashpartitioning(__b" in shuffles[0] and ", 5)" in shuffles[0]
