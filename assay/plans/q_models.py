@@ -142,7 +142,7 @@ def model_poly_svm(spark, sf):
     def sketched(df):
         return md.tensor_sketch(df.select("id", "label", "y", "features"), degree=3, n_out=128, gamma=1.0 / len(FEATURES)).select(
             "id", "label", "y", F.col("sketch").alias("features"))
-    m = md.fit_linear_svm(sketched(train), threads=1, maxIter=50)
+    m = md.fit_lifted_svm(train, md.sketcher(degree=3, n_out=128, gamma=1.0 / len(FEATURES)), maxIter=50)
     return _decoded(pm, m.transform(sketched(test)), with_prob=False)
 
 
@@ -157,7 +157,7 @@ def model_rff_svm(spark, sf):
         x = df.select("id", "label", "y", *[arr[i].alias(n) for i, n in enumerate(names)])
         x = x.select("id", "label", "y", *md.rff_columns(names, 50, 0.5, SEED))
         return VectorAssembler(inputCols=[f"rff_{d}" for d in range(50)], outputCol="features").transform(x)
-    m = md.fit_linear_svm(rff(train), threads=1)
+    m = md.fit_lifted_svm(train, md.fourier(len(FEATURES), 50, 0.5, SEED))
     return _decoded(pm, m.transform(rff(test)), with_prob=False)
 
 
