@@ -359,11 +359,11 @@ def sketcher(degree: int = 2, n_out: int = 256, coef0: float = 1.0, gamma: float
         product = 1.0
         for _ in range(degree):
             at, sign = rng.integers(0, n_out, x.shape[1]), rng.choice([-1.0, 1.0], x.shape[1])
-            counted = np.zeros((n_out, len(x)))
-            for j in range(x.shape[1]):
-                counted[at[j]] += x[:, j] * sign[j]
-            product = product * np.fft.rfft(counted, axis=0)
-        return np.fft.irfft(product, n=n_out, axis=0).T
+            counted = np.zeros((x.shape[1], n_out))
+            counted[np.arange(x.shape[1]), at] = sign
+            # the transform of a count sketch is a product with the transforms of its components, interleaved real and imaginary
+            product = product * (x @ np.fft.rfft(counted, axis=1).view(np.float64)).view(np.complex128)
+        return np.fft.irfft(product, n=n_out, axis=1)
     return lift
 
 
